@@ -145,7 +145,7 @@ def quantiles(
     if not rows:
         return [None] * len(probabilities)
     if distinct <= rows_per_cell:
-        found = values.agg(F.percentile(col, list(probabilities), "_n")).first()[0]
+        found = values.agg(F.percentile(col, list(probabilities), F.col("_n"))).first()[0]
         return list(found)
     positions = [p * (rows - 1) for p in probabilities]
     wanted = sorted({int(p) for p in positions} | {min(int(p) + 1, rows - 1) for p in positions})
