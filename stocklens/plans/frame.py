@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from stocklens.functions import labels as L
 from stocklens.functions import measures as M
 from stocklens.functions.classes import stock_state4
 from stocklens.operators.joins import enrich
-from stocklens.operators.ordering import asc
+from stocklens.operators.ordering import asc, desc
 from stocklens.operators.select import active
 from stocklens.sources.tables import Tables
 
@@ -53,4 +52,5 @@ def analysis_frame(t: Tables, include_inactive: bool = False) -> DataFrame:
 
 def recent_movements(t: Tables, k: int = 100) -> DataFrame:
     """The newest movements."""
-    return t.movements.orderBy(F.col("moved_at").desc(), asc("movement_id")).limit(k)
+    ties = ("movement_id", "product_id", "kind", "quantity")
+    return t.movements.orderBy(desc("moved_at"), *[asc(c) for c in ties]).limit(k)

@@ -16,14 +16,25 @@ def _spec(table: str | Table) -> Table:
     return table if isinstance(table, Table) else ALL_TABLES[table]
 
 
+def _hadoop(spark: SparkSession, path: str):
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """True when any file matches the path, on whatever file system it names."""
-    jvm = spark._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    """Whether the path exists, on whatever file system it names."""
+    fs, hadoop_path = _hadoop(spark, path)
     return fs.exists(hadoop_path)
 
 
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the entries of a directory; none when it is missing."""
+    fs, hadoop_path = _hadoop(spark, path)
+    if not fs.exists(hadoop_path):
+        return []
+    return [s.getPath().getName() for s in fs.listStatus(hadoop_path)]
+
+
 def _parsed(col: F.Column, source: T.DataType, target: T.DataType) -> F.Column:
     """The column in the target type; values that do not parse become NULL."""
     if source == target:

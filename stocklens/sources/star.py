@@ -152,9 +152,9 @@ def movements(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-def stock_updates(spark: SparkSession, directory: str) -> DataFrame:
-    """Stock level readings: key, sequence, level, minimum."""
-    return star_table(spark, directory, "events").select(
+def as_stock_updates(events: DataFrame) -> DataFrame:
+    """Events as stock readings: key, sequence, level, minimum and a name."""
+    return events.select(
         F.col("user_id").alias("product_id"),
         F.col("event_id").alias("seq"),
         F.col("value").alias("level"),
@@ -163,6 +163,10 @@ def stock_updates(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def stock_updates(spark: SparkSession, directory: str) -> DataFrame:
+    return as_stock_updates(star_table(spark, directory, "events"))
+
+
 def alerts(spark: SparkSession, directory: str) -> DataFrame:
     """Errors as alerts; every third is resolved."""
     state = F.when(F.col("event_id") % 3 == 0, L.STATUS_RESOLVED).otherwise(L.STATUS_ACTIVE)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from stocklens.sources.readers import path_exists
+from stocklens.sources.readers import child_names, path_exists
+from stocklens.sources.scratch import run_path
 
 
 def upsert_snapshot(
@@ -65,3 +66,18 @@ def upsert_stream(
         folded.write.mode("overwrite").parquet(_version(directory, batch_id))
 
     return updates.writeStream.foreachBatch(fold)
+
+
+def run_upsert(snapshot: DataFrame, updates: DataFrame, now: str) -> DataFrame:
+    """Fold all present updates of a stream; the last version as a frame."""
+    spark = snapshot.sparkSession
+    directory = run_path(spark, "snapshot")
+    query = (
+        upsert_stream(snapshot, updates, directory, now)
+        .option("checkpointLocation", run_path(spark, "snapshot-checkpoint"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    versions = [int(n.removeprefix("version=")) for n in child_names(spark, directory)]
+    return read_version(spark, directory, max(versions)) if versions else snapshot
