@@ -1,6 +1,8 @@
 """The same queries as SQL over the star-schema tables, for comparison.
 
 ``WITH_TABLES`` defines the inventory tables; every query continues it.
+Half-up rounding goes through DECIMAL, since the rounded values are decimal
+quantities: 23 / 40 rounds to 0.58, while binary 0.575 would give 0.57.
 """
 
 from __future__ import annotations
@@ -63,7 +65,9 @@ WITH shipped AS (
   SELECT *,
     CAST(price - unit_cost AS DECIMAL(18,2)) AS unit_profit,
     CASE WHEN price <> 0
-      THEN CAST(price - unit_cost AS DOUBLE) / CAST(price AS DOUBLE) * 100.0 END AS margin,
+      THEN CAST((price - unit_cost) * 100 AS DOUBLE) / CAST(price AS DOUBLE) END AS margin,
+    CASE WHEN price <> 0
+      THEN CAST(price - unit_cost AS DOUBLE) / CAST(price AS DOUBLE) * 100.0 END AS margin_float,
     CAST((price - unit_cost) * sales_month AS DECIMAL(18,2)) AS profit_month,
     CAST(price * sales_month AS DECIMAL(18,2)) AS revenue_month,
     CAST(price * sales_prev_month AS DECIMAL(18,2)) AS revenue_prev_month,
@@ -71,6 +75,9 @@ WITH shipped AS (
     CAST(unit_cost * stock AS DECIMAL(18,2)) AS stock_value,
     CASE WHEN sales_prev_month > 0
       THEN CAST(sales_month - sales_prev_month AS DOUBLE) / sales_prev_month ELSE 0.0 END AS growth,
+    CASE WHEN sales_prev_month > 0
+      THEN CAST(100 * (sales_month - sales_prev_month) AS DOUBLE) / sales_prev_month ELSE 0.0 END
+      AS growth_exact,
     CASE WHEN stock > 0 THEN CAST(sales_month AS DOUBLE) / stock ELSE 0.0 END AS turnover_month,
     CASE WHEN sales_month > 0 THEN CAST(stock AS DOUBLE) / sales_month END AS months,
     date_diff('day', last_sale, {DAY}) AS idle_days
@@ -78,7 +85,7 @@ WITH shipped AS (
 ), inv AS (
   SELECT * FROM allp WHERE active
 ), frame AS (
-  SELECT inv.*, round_even(margin, 2) AS margin_pct, growth * 100.0 AS growth_pct,
+  SELECT inv.*, round_even(margin_float, 2) AS margin_pct, growth * 100.0 AS growth_pct,
     category, supplier, lead_days, rating,
     CASE WHEN stock = 0 THEN '{L.STATE_ICON[0]}' WHEN stock <= min_stock THEN '{L.STATE_ICON[1]}'
       WHEN stock <= reorder_point THEN '{L.STATE_ICON[2]}' ELSE '{L.STATE_ICON[3]}' END
@@ -91,6 +98,11 @@ WITH shipped AS (
 """
 
 
+def _up(value: str, digits: int = 2) -> str:
+    """A double rounded half away from zero in decimal."""
+    return f"CAST(round(CAST({value} AS DECIMAL(28,12)), {digits}) AS DOUBLE)"
+
+
 def _case(pairs, otherwise) -> str:
     """A CASE over (condition, label) pairs."""
     arms = " ".join(f"WHEN {c} THEN '{label}'" for c, label in pairs)
@@ -212,13 +224,14 @@ ABC_RANKED = """
       ROWS UNBOUNDED PRECEDING) AS running, sum(revenue_month) OVER () AS total
   FROM frame WHERE sales_month > 0 {where}
 ), shares AS (
-  SELECT *, CAST(running AS DOUBLE) / CAST(total AS DOUBLE) * 100.0 AS share FROM revenue
+  SELECT *, CAST(running AS DOUBLE) / CAST(total AS DOUBLE) * 100.0 AS share,
+    CAST(100 * running AS DOUBLE) / CAST(total AS DOUBLE) AS share_exact FROM revenue
 )"""
 ABC_ALL = ABC_RANKED.format(where="")
 ABC_FULL = ABC_ALL + f"""
 SELECT product_id, name, category, rank, revenue_month, cumulative_pct,
   {_abc('cumulative_pct', L.ABC_FULL)} AS abc_class
-FROM (SELECT *, round(share, 2) AS cumulative_pct FROM shares)"""
+FROM (SELECT *, {_up("share_exact")} AS cumulative_pct FROM shares)"""
 
 TOP_PRODUCTS = """
 SELECT product_id, name, category, sales_month, sales_quarter, sales_year, profit_month, stock,
@@ -228,7 +241,7 @@ FROM inv LEFT JOIN cat USING (category_id) WHERE sales_month > 0"""
 
 CATEGORY = f"""
 SELECT category_id, category, count(*) AS products, {_units('stock', 'stock')},
-  round(avg(margin), 2) AS mean_margin_pct, {_sum('stock_value', 'stock_value')},
+  {_up("avg(margin)")} AS mean_margin_pct, {_sum('stock_value', 'stock_value')},
   {_sum('profit_month', 'profit_month')}, {_sum('revenue_month', 'revenue_month')} {{more}}
 FROM inv JOIN cat USING (category_id) GROUP BY category_id, category"""
 
@@ -246,9 +259,9 @@ REPORTS = {
 SELECT product_id, name, category, stock, min_stock, reorder_point, supplier, lead_days,
   sales_month, {_state4(L.STATE_PLAIN)} AS stock_state
 FROM inv LEFT JOIN cat USING (category_id) LEFT JOIN sup USING (supplier_id)""",
-    "view_profitability": """
-SELECT product_id, name, category, unit_cost, price, unit_profit, round(margin, 2) AS margin_pct,
-  sales_month, profit_month, stock_value, round(months, 2) AS months_of_stock
+    "view_profitability": f"""
+SELECT product_id, name, category, unit_cost, price, unit_profit, {_up("margin")} AS margin_pct,
+  sales_month, profit_month, stock_value, {_up("months")} AS months_of_stock
 FROM inv LEFT JOIN cat USING (category_id)""",
     "view_top_products": TOP_PRODUCTS,
     "view_top_products_bucketed": TOP_PRODUCTS,
@@ -262,27 +275,28 @@ FROM inv JOIN cat USING (category_id) JOIN sup USING (supplier_id)
 ORDER BY sales_month DESC, product_id LIMIT 10""",
     "urgent_reorder": f"""
 SELECT product_id, name, category, stock, min_stock, reorder_point, sales_month, supplier,
-  lead_days, round(months * 30.0, 1) AS days_of_stock, reorder_point - stock AS reorder_qty,
+  lead_days, {_up("CAST(30 * stock AS DOUBLE) / nullif(sales_month, 0)", 1)} AS days_of_stock,
+  reorder_point - stock AS reorder_qty,
   CAST((reorder_point - stock) * unit_cost AS {MONEY}) AS investment
 FROM inv JOIN cat USING (category_id) JOIN sup USING (supplier_id) WHERE stock <= min_stock""",
     "category_profitability": CATEGORY.format(more=", " + _units("sales_month", "units_month")),
     "category_profitability_brief": CATEGORY.format(more=""),
-    "top15_profitable": """
-SELECT product_id, name, category, unit_cost, price, unit_profit, round(margin, 2) AS margin_pct,
+    "top15_profitable": f"""
+SELECT product_id, name, category, unit_cost, price, unit_profit, {_up("margin")} AS margin_pct,
   sales_month, profit_month, revenue_month
 FROM inv JOIN cat USING (category_id) WHERE sales_month > 0
 ORDER BY profit_month DESC, product_id LIMIT 15""",
     "supplier_performance": f"""
 SELECT supplier_id, supplier, rating AS supplier_rating, lead_days,
   count(product_id) AS products, {_units('stock', 'stock')}, {_sum('stock_value', 'stock_value')},
-  {_sum('revenue_month', 'revenue_month')}, round(avg(margin), 2) AS mean_margin_pct,
+  {_sum('revenue_month', 'revenue_month')}, {_up("avg(margin)")} AS mean_margin_pct,
   {CRITICAL} AS critical_products
 FROM sup JOIN inv USING (supplier_id) GROUP BY supplier_id, supplier, rating, lead_days""",
     "inventory_turnover": f"""
 SELECT product_id, name, category, stock, sales_month, unit_cost,
-  CASE WHEN stock > 0 THEN round(months, 2) END AS months_of_stock, turns AS turnover_year,
+  CASE WHEN stock > 0 THEN {_up("months")} END AS months_of_stock, turns AS turnover_year,
   stock_value, {TURNOVER_YEAR} AS turnover_class
-FROM (SELECT *, round({TURNS}, 2) AS turns FROM inv) JOIN cat USING (category_id)""",
+FROM (SELECT *, {_up(TURNS)} AS turns FROM inv) JOIN cat USING (category_id)""",
     "slow_movers": f"""
 SELECT product_id, name, category, stock, sales_month, sales_quarter, last_sale,
   CAST(idle_days AS INT) AS idle_days, stock_value AS tied_up_value,
@@ -292,13 +306,13 @@ WHERE (sales_month <= 2 OR last_sale < {DAY} - 60) AND stock > 5""",
     "location_utilization": f"""
 SELECT location_id, concat(section, '-', aisle, '-', shelf, '-', level) AS location_code,
   capacity, count(product_id) AS products, {_units('stock', 'units')},
-  round(CAST(sum(stock) AS DOUBLE) / capacity * 100.0, 2) AS occupancy_pct,
+  {_up("CAST(100 * sum(stock) AS DOUBLE) / capacity")} AS occupancy_pct,
   {_sum('stock_value', 'value')}, description
 FROM loc LEFT JOIN inv USING (location_id)
 GROUP BY location_id, section, aisle, shelf, level, capacity, description""",
     "sales_projection": f"""
 SELECT product_id, name, category, sales_month, sales_prev_month,
-  round(growth * 100.0, 2) AS growth_pct, next AS projection, stock, reorder_point,
+  {_up("growth_exact")} AS growth_pct, next AS projection, stock, reorder_point,
   {_cover('next', L.FUTURE_STOCK)} AS future_stock,
   greatest(0, next - stock) AS suggested_purchase
 FROM (SELECT *, {UP} AS next FROM inv) JOIN cat USING (category_id)""",
@@ -306,33 +320,31 @@ FROM (SELECT *, {UP} AS next FROM inv) JOIN cat USING (category_id)""",
 SELECT '{L.SUMMARY_TITLE}' AS section, count(*) AS products,
   count(*) FILTER (WHERE stock > 0) AS in_stock, {CRITICAL} AS critical_products,
   {_sum('stock_value', 'stock_value')}, {_sum('revenue_month', 'revenue_month')},
-  {_sum('profit_month', 'profit_month')}, round(avg(margin), 2) AS mean_margin_pct,
+  {_sum('profit_month', 'profit_month')}, {_up("avg(margin)")} AS mean_margin_pct,
   {_units('sales_month', 'units_month')} FROM inv""",
     "abc_analysis": ABC_FULL,
     "abc_analysis_bucketed": ABC_FULL,
     "auto_alerts": ALERTS,
     "monthly_comparison": f"""
 SELECT '{L.MONTHLY_TITLE}' AS period, *,
-  round(CASE WHEN units_prev_month <> 0
-    THEN CAST(units_month - units_prev_month AS DOUBLE) / units_prev_month * 100.0 END, 2)
+  {_up("CAST(100 * (units_month - units_prev_month) AS DOUBLE) / nullif(units_prev_month, 0)")}
     AS units_growth_pct,
-  round(CASE WHEN revenue_prev_month <> 0
-    THEN CAST(revenue_month - revenue_prev_month AS DOUBLE) / CAST(revenue_prev_month AS DOUBLE)
-      * 100.0 END, 2) AS revenue_growth_pct
+  {_up("CAST(100 * (revenue_month - revenue_prev_month) AS DOUBLE)"
+       " / nullif(CAST(revenue_prev_month AS DOUBLE), 0)")} AS revenue_growth_pct
 FROM (SELECT {_units('sales_month', 'units_month')}, {_units('sales_prev_month', 'units_prev_month')},
   {_sum('revenue_month', 'revenue_month')}, {_sum('revenue_prev_month', 'revenue_prev_month')}
   FROM inv)""",
     "seasonal_patterns": f"""
 SELECT product_id, name, category, sales_month, sales_prev_month, sales_quarter, sales_year,
-  round(CAST(sales_quarter AS DOUBLE) / 3.0, 2) AS avg_quarter,
-  round(CAST(sales_year AS DOUBLE) / 12.0, 2) AS avg_year, {SEASON} AS season, {ADVICE} AS advice
+  {_up("CAST(sales_quarter AS DOUBLE) / 3.0")} AS avg_quarter,
+  {_up("CAST(sales_year AS DOUBLE) / 12.0")} AS avg_year, {SEASON} AS season, {ADVICE} AS advice
 FROM inv JOIN cat USING (category_id) WHERE sales_year > 0""",
     "category_supplier_efficiency": f"""
 SELECT category, supplier, rating AS supplier_rating, lead_days,
-  count(product_id) AS products, round(avg(sales_month), 2) AS mean_sales,
-  round(avg(margin), 2) AS mean_margin_pct, {_sum('stock_value', 'tied_up_value')},
+  count(product_id) AS products, {_up("avg(sales_month)")} AS mean_sales,
+  {_up("avg(margin)")} AS mean_margin_pct, {_sum('stock_value', 'tied_up_value')},
   {CRITICAL} AS critical_products,
-  round(CAST({CRITICAL} AS DOUBLE) / count(*) * 100.0, 2) AS critical_pct
+  {_up(f"CAST(100 * {CRITICAL} AS DOUBLE) / count(*)")} AS critical_pct
 FROM inv JOIN cat USING (category_id) JOIN sup USING (supplier_id)
 GROUP BY category, supplier, rating, lead_days""",
     "critical_products": f"""
@@ -443,21 +455,21 @@ UNION ALL SELECT 'executive_kpis', 1""",
 }
 
 MEASURES = {
-    "with_margin": """
-SELECT product_id, unit_profit, round(margin, 2) AS margin_pct, profit_month, stock_value FROM allp""",
+    "with_margin": f"""
+SELECT product_id, unit_profit, {_up("margin")} AS margin_pct, profit_month, stock_value FROM allp""",
     "with_revenue": "SELECT product_id, revenue_month, cost_month FROM allp",
     "with_turnover": "SELECT product_id, turnover_month FROM allp",
     "with_months_of_stock": """
 SELECT product_id, months AS months_or_null, CASE WHEN stock > 0 THEN months END AS months_strict,
   coalesce(months, 999.0) AS months_or_999 FROM allp""",
     "with_annual_turnover": f"""
-SELECT product_id, round({TURNS}, 2) AS turnover_rounded, {TURNS} AS turnover_raw FROM allp""",
+SELECT product_id, {_up(TURNS)} AS turnover_rounded, {TURNS} AS turnover_raw FROM allp""",
     "with_days_of_stock": f"""
-SELECT product_id, round(months * 30.0, 1) AS days,
+SELECT product_id, {_up("CAST(30 * stock AS DOUBLE) / nullif(sales_month, 0)", 1)} AS days,
   CASE WHEN sales_month > 0 THEN printf('%.1f', round_even(months * 30.0, 1))
     ELSE '{L.NO_SALES}' END AS days_text FROM allp""",
-    "with_growth": """
-SELECT product_id, growth AS fraction, round(growth * 100.0, 2) AS pct FROM allp""",
+    "with_growth": f"""
+SELECT product_id, growth AS fraction, {_up("growth_exact")} AS pct FROM allp""",
     "with_projection": f"SELECT product_id, {UP} AS half_up, {EVEN} AS half_even FROM allp",
     "with_reorder_qty": f"""
 SELECT product_id, reorder_point - stock AS reorder_qty,
@@ -467,9 +479,9 @@ SELECT product_id, greatest(0, {UP} - stock) AS suggested_purchase FROM allp""",
     "with_idle": f"""
 SELECT product_id, CAST(idle_days AS INT) AS idle_days, stock_value AS tied_up_value,
   CAST(round(price * CAST('0.7' AS DECIMAL(2,1)), 2) AS {MONEY}) AS clearance_price FROM allp""",
-    "with_averages": """
-SELECT product_id, round(CAST(sales_quarter AS DOUBLE) / 3.0, 2) AS avg_quarter,
-  round(CAST(sales_year AS DOUBLE) / 12.0, 2) AS avg_year FROM allp""",
+    "with_averages": f"""
+SELECT product_id, {_up("CAST(sales_quarter AS DOUBLE) / 3.0")} AS avg_quarter,
+  {_up("CAST(sales_year AS DOUBLE) / 12.0")} AS avg_year FROM allp""",
     "location_code": """
 SELECT location_id, concat(section, '-', aisle, '-', shelf, '-', level) AS four_parts,
   section || '-' || aisle || '-' || shelf AS three_parts FROM loc""",
@@ -485,7 +497,7 @@ CLASSES = {
     "stock_state4_icon": _labelled(_state4(L.STATE_ICON)),
     "stock_state3": _labelled(_state3(L.STATE3_ICON)),
     "turnover_class_annual": _labelled(
-        TURNOVER_YEAR, f"(SELECT *, round({TURNS}, 2) AS turns FROM allp)"),
+        TURNOVER_YEAR, f"(SELECT *, {_up(TURNS)} AS turns FROM allp)"),
     "turnover_class_months": _labelled(
         TURNOVER_MONTHS, "(SELECT *, coalesce(months, 999.0) AS m FROM allp)"),
     "season_class": _labelled(SEASON),

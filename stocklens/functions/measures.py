@@ -18,7 +18,15 @@ AMOUNT = "decimal(18,2)"
 
 
 def rounded(col: Column, digits: int, half_even: bool = False) -> Column:
-    return F.bround(col, digits) if half_even else F.round(col, digits)
+    """Rounded halves away from zero, in decimal: 0.575 gives 0.58.
+
+    ``half_even`` rounds the scaled binary value to the nearest even number,
+    as array libraries do: 0.575 is a little less and gives 0.57.
+    """
+    if not half_even:
+        return F.round(col, digits)
+    scale = F.lit(10.0**digits)
+    return F.rint(col * scale) / scale if digits else F.rint(col)
 
 
 def ratio(num: Column, den: Column) -> Column:
@@ -27,7 +35,13 @@ def ratio(num: Column, den: Column) -> Column:
 
 
 def percent(num: Column, den: Column) -> Column:
-    return ratio(num, den) * F.lit(100.0)
+    """100 * num / den with one inexact step, so that exact halves stay halves."""
+    return ratio(num * 100, den)
+
+
+def percent_of_ratio(num: Column, den: Column) -> Column:
+    """The same through the ratio, for reports that take 100 times a ratio."""
+    return ratio(num, den) * 100.0
 
 
 # E1 ------------------------------------------------------------------------
@@ -37,9 +51,10 @@ def unit_profit() -> Column:
     return F.col("price") - F.col("unit_cost")
 
 
-def margin_pct() -> Column:
+def margin_pct(half_even: bool = False) -> Column:
     """Profit as a percentage of the price, unrounded."""
-    return percent(unit_profit(), F.col("price"))
+    formula = percent_of_ratio if half_even else percent
+    return formula(unit_profit(), F.col("price"))
 
 
 def profit_month() -> Column:
@@ -53,7 +68,7 @@ def stock_value() -> Column:
 def with_margin(df: DataFrame, half_even: bool = False) -> DataFrame:
     return df.withColumns({
         "unit_profit": unit_profit().cast(AMOUNT),
-        "margin_pct": rounded(margin_pct(), 2, half_even),
+        "margin_pct": rounded(margin_pct(half_even), 2, half_even),
         "profit_month": profit_month(),
         "stock_value": stock_value(),
     })
@@ -120,7 +135,9 @@ def with_annual_turnover(df: DataFrame, digits: int | None = 2) -> DataFrame:
 
 def days_of_stock(half_even: bool = False) -> Column:
     """Days until the stock is sold at the current rate; NULL without sales."""
-    return rounded(ratio(F.col("stock"), F.col("sales_month")) * 30.0, 1, half_even)
+    if half_even:
+        return rounded(ratio(F.col("stock"), F.col("sales_month")) * 30.0, 1, half_even=True)
+    return F.round(ratio(F.col("stock") * 30, F.col("sales_month")), 1)
 
 
 def days_of_stock_text() -> Column:
@@ -144,13 +161,17 @@ def growth() -> Column:
     ).otherwise(0.0)
 
 
-def growth_pct() -> Column:
-    return growth() * 100.0
+def growth_pct(digits: int | None = None) -> Column:
+    """Growth in percent, unrounded or rounded in decimal."""
+    if digits is None:
+        return growth() * 100.0
+    change = F.col("sales_month") - F.col("sales_prev_month")
+    pct = F.round(percent(change, F.col("sales_prev_month")), digits)
+    return F.when(F.col("sales_prev_month") > 0, pct).otherwise(0.0)
 
 
 def with_growth(df: DataFrame, digits: int | None = None) -> DataFrame:
-    pct = growth_pct() if digits is None else F.round(growth_pct(), digits)
-    return df.withColumn("growth_pct", pct)
+    return df.withColumn("growth_pct", growth_pct(digits))
 
 
 def projection(half_even: bool = False) -> Column:

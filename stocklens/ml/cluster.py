@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from stocklens.functions import measures as M
 from stocklens.functions.classes import cluster_name
 from stocklens.ml.features import CLUSTER_FEATURES, assembled, build_features
+from stocklens.operators.aggregates import mean
 from stocklens.operators.prefix import quantiles
 from stocklens.sources.scratch import materialized
 
@@ -40,7 +41,7 @@ def best_kmeans(vectors: DataFrame, k: int, starts: int = STARTS) -> KMeansModel
 def cluster_products(df: DataFrame, as_of: str, k: int = 5, starts: int = STARTS) -> Clusters:
     """M7: k-means on standardised features of an enriched frame."""
     features = build_features(df, as_of, codes=False).withColumn(
-        "margin_pct", F.bround(M.margin_pct(), 2)
+        "margin_pct", M.rounded(M.margin_pct(half_even=True), 2, half_even=True)
     )
     vectors = assembled(features, CLUSTER_FEATURES).select(
         "product_id", "name", "category", "sales_month", "margin_pct", "turnover_year",
@@ -69,10 +70,10 @@ def cluster_stats(clustered: DataFrame) -> DataFrame:
     margin_good, margin_high = quantiles(clustered, "margin_pct", [0.7, 0.8])
     (turnover_low,) = quantiles(clustered, "turnover_year", [0.3])
     means = clustered.groupBy("cluster").agg(
-        F.bround(F.avg("sales_month"), 2).alias("mean_sales"),
-        F.bround(F.avg("margin_pct"), 2).alias("mean_margin_pct"),
-        F.bround(F.avg("turnover_year"), 2).alias("mean_turnover"),
-        F.bround(F.avg("price"), 2).alias("mean_price"),
+        mean("sales_month", half_even=True).alias("mean_sales"),
+        mean("margin_pct", half_even=True).alias("mean_margin_pct"),
+        mean("turnover_year", half_even=True).alias("mean_turnover"),
+        mean("price", half_even=True).alias("mean_price"),
         F.count("*").alias("products"),
     )
     name = cluster_name(

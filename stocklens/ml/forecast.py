@@ -41,7 +41,7 @@ def _with_actions(df: DataFrame) -> DataFrame:
     short = (F.col("forecast") * 12 - F.col("stock") * 10).cast("double") / 10.0
     return df.withColumns({
         "risk": stockout_risk(F.col("forecast")),
-        "suggested_purchase": F.bround(F.greatest(F.lit(0.0), short), 0).cast("bigint"),
+        "suggested_purchase": F.rint(F.greatest(F.lit(0.0), short)).cast("bigint"),
     })
 
 
@@ -50,7 +50,7 @@ def simple_forecast(df: DataFrame, horizon_days: int = 30) -> DataFrame:
     months = horizon_days / 30
     both = (F.col("sales_month") + F.col("sales_prev_month")).cast("double") / 2.0 * months
     only = F.col("sales_month").cast("double") * months
-    expected = F.bround(F.when(F.col("sales_prev_month") > 0, both).otherwise(only), 0)
+    expected = F.rint(F.when(F.col("sales_prev_month") > 0, both).otherwise(only))
     out = df.select(
         "product_id", "name", "sales_month", "stock", expected.cast("bigint").alias("forecast")
     )
@@ -104,7 +104,7 @@ def forecast_demand(
         predicted.select(
             "product_id", "name", "sales_month", "stock",
             F.greatest(
-                F.lit(0.0), F.bround(F.col("prediction") * (horizon_days / 30), 0)
+                F.lit(0.0), F.rint(F.col("prediction") * (horizon_days / 30))
             ).cast("bigint").alias("forecast"),
             F.lit(metrics["confidence"]).alias("confidence"),
         )

@@ -122,9 +122,12 @@ def running_total(df: DataFrame, order: str, value: str, out: str = "running",
     return distributed_prefix(df, order, unique, running=(value, out), **options)
 
 
-def with_totals(df: DataFrame, totals: Mapping[str, Column]) -> DataFrame:
-    """Aggregates over the whole frame on every row, as scalar subqueries."""
-    return df.withColumns({n: df.agg(c.alias(n)).scalar() for n, c in totals.items()})
+def with_totals(
+    df: DataFrame, totals: Mapping[str, Column], of: DataFrame | None = None
+) -> DataFrame:
+    """Aggregates over the whole frame (or ``of``) on every row, as scalar subqueries."""
+    whole = df if of is None else of
+    return df.withColumns({n: whole.agg(c.alias(n)).scalar() for n, c in totals.items()})
 
 
 def quantiles(

@@ -98,18 +98,13 @@ def category_supplier_efficiency(t: Tables) -> DataFrame:
     )
 
 
-def _share(cumulative: Column, whole: Column) -> Column:
-    return M.percent(cumulative, whole)
-
-
 def _accumulated(rows: DataFrame, **prefix_options) -> DataFrame:
     """Rank, running revenue and revenue total of products with sales."""
     ranked = distributed_prefix(
         rows, "revenue_month", "product_id",
         row_number="rank", running=("revenue_month", "cumulative_revenue"), **prefix_options,
     )
-    totals = rows.agg(F.sum("revenue_month").alias("total")).scalar()
-    return ranked.withColumn("_share", _share(F.col("cumulative_revenue"), totals))
+    return with_totals(ranked, {"_total": F.sum("revenue_month")}, of=rows)
 
 
 def abc_analysis(t: Tables, **prefix_options) -> DataFrame:
@@ -118,9 +113,10 @@ def abc_analysis(t: Tables, **prefix_options) -> DataFrame:
     rows = join_dims(sold, t.categories).select(
         "product_id", "name", "category", M.revenue().alias("revenue_month")
     )
+    share = M.percent(F.col("cumulative_revenue"), F.col("_total"))
     return (
         _accumulated(rows, **prefix_options)
-        .withColumn("cumulative_pct", F.round("_share", 2))
+        .withColumn("cumulative_pct", F.round(share, 2))
         .select(
             "product_id", "name", "category", "rank", "revenue_month", "cumulative_pct",
             abc_class(F.col("cumulative_pct")).alias("abc_class"),
@@ -135,9 +131,10 @@ def abc_analysis(t: Tables, **prefix_options) -> DataFrame:
 def abc_table(df: DataFrame, **prefix_options) -> DataFrame:
     """ABC classes within the selection, by the unrounded share."""
     sold = df.filter(F.col("sales_month") > 0).withColumn("revenue_month", M.revenue())
-    out = _accumulated(sold, **prefix_options).withColumn("cumulative_pct", F.col("_share"))
+    share = M.percent_of_ratio(F.col("cumulative_revenue"), F.col("_total"))
+    out = _accumulated(sold, **prefix_options).withColumn("cumulative_pct", share)
     label = abc_class(F.col("cumulative_pct"), labels=L.ABC_SELECTION)
-    return out.withColumn("abc_class", label).drop("_share")
+    return out.withColumn("abc_class", label).drop("_total")
 
 
 def abc_filtered(df: DataFrame, **prefix_options) -> DataFrame:
@@ -185,7 +182,7 @@ def financial_kpis(df: DataFrame) -> DataFrame:
 
 def net_margin() -> Column:
     """Profit share of the revenue in percent; 0 without revenue."""
-    share = M.percent(F.col("profit_month"), F.col("revenue_month"))
+    share = M.percent_of_ratio(F.col("profit_month"), F.col("revenue_month"))
     return F.when(F.col("revenue_month") > 0, share).otherwise(0.0)
 
 

@@ -34,7 +34,7 @@ def mean_turnover() -> Column:
 
 
 def _share(part: str, whole: str) -> Column:
-    return F.coalesce(M.percent(F.col(part), F.col(whole)), F.lit(0.0))
+    return F.coalesce(M.percent_of_ratio(F.col(part), F.col(whole)), F.lit(0.0))
 
 
 def _kpis(df: DataFrame, *extra: Column) -> DataFrame:
