@@ -26,17 +26,22 @@ Query = Callable[[SparkSession, str], DataFrame]
 SMALL_CELL = 64
 
 
-def _tables(report: Callable[[Tables], DataFrame]) -> Query:
-    return lambda spark, d: report(star.star_tables(spark, d))
+def _tables(report: Callable[[Tables], DataFrame], suppliers: bool = False) -> Query:
+    """A report on the tables; ``suppliers`` when it looks at the main supplier."""
+    return lambda spark, d: report(star.star_tables(spark, d, main_supplier=suppliers))
 
 
-def _selection(report: Callable[[DataFrame], DataFrame]) -> Query:
-    """A report on the analysis frame of all active products."""
-    return lambda spark, d: report(frame.analysis_frame(star.star_tables(spark, d)))
+def _selection(report: Callable[[DataFrame], DataFrame], *dims: str) -> Query:
+    """A report on the analysis frame of all active products with some dimensions."""
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        t = star.star_tables(spark, d, main_supplier="suppliers" in dims)
+        return report(frame.analysis_frame(t, dims=dims))
 
+    return run
 
-def _products(report: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, d: report(star.products(spark, d))
+
+def _products(report: Callable[[DataFrame], DataFrame], suppliers: bool = False) -> Query:
+    return lambda spark, d: report(star.products(spark, d, main_supplier=suppliers))
 
 
 def _measure(transform: Callable[[DataFrame], DataFrame], *columns: str) -> Query:
@@ -183,7 +188,7 @@ def _sold(p: DataFrame) -> DataFrame:
 OPERATORS: dict[str, Query] = {
     "active": _products(lambda p: select.active(p).select("product_id")),
     "select_inventory": _picked,
-    "facets": _selection(lambda df: select.facets(df, "supplier")),
+    "facets": _selection(lambda df: select.facets(df, "supplier"), "suppliers"),
     "critical": _products(lambda p: select.critical(p).select("product_id", "stock")),
     "slow_moving": _products(lambda p: select.slow_moving(p, AS_OF).select("product_id")),
     "idle": _products(lambda p: select.idle(p, AS_OF).select("product_id", "last_sale")),
@@ -204,7 +209,8 @@ OPERATORS: dict[str, Query] = {
         )
     ),
     "supplier_join": _tables(
-        lambda t: joins.supplier_join(t.suppliers, t.products).select("supplier_id", "product_id")
+        lambda t: joins.supplier_join(t.suppliers, t.products).select("supplier_id", "product_id"),
+        suppliers=True,
     ),
     "conditional_counts": _products(_conditional_counts),
     "value_counts": _selection(lambda df: value_counts(df, "stock_state")),
@@ -225,13 +231,15 @@ OPERATORS: dict[str, Query] = {
     "with_totals": _selection(finance.revenue_share),
     "quintile_label": _products(_quintiles),
     "dense_codes": _products(
-        lambda p: prefix.dense_codes(p.select("product_id", "supplier_id"), "supplier_id", "code")
+        lambda p: prefix.dense_codes(p.select("product_id", "supplier_id"), "supplier_id", "code"),
+        suppliers=True,
     ),
     "top_k": _selection(sales.best_sellers),
     "union_alert_kinds": _tables(
         lambda t: alerts.auto_alerts(t, AS_OF).groupBy("alert_kind", "priority").agg(
             F.count("*").alias("alerts"), F.sum("investment").cast(M.AMOUNT).alias("investment")
-        )
+        ),
+        suppliers=True,
     ),
 }
 
@@ -255,19 +263,19 @@ def _suite(spark: SparkSession, d: str) -> DataFrame:
 
 
 REPORTS: dict[str, Query] = {
-    "view_critical_stock": _tables(views.critical_stock),
+    "view_critical_stock": _tables(views.critical_stock, suppliers=True),
     "view_profitability": _tables(views.profitability),
     "view_top_products": _tables(views.top_products),
     "view_top_products_bucketed": _tables(
         lambda t: views.top_products(t, rows_per_cell=SMALL_CELL)
     ),
     "register_views": _registered_views,
-    "top10_sales": _tables(sales.top10_sales),
-    "urgent_reorder": _tables(stock.urgent_reorder),
+    "top10_sales": _tables(sales.top10_sales, suppliers=True),
+    "urgent_reorder": _tables(stock.urgent_reorder, suppliers=True),
     "category_profitability": _tables(finance.category_profitability),
     "category_profitability_brief": _tables(finance.category_profitability_brief),
     "top15_profitable": _tables(finance.top15_profitable),
-    "supplier_performance": _tables(finance.supplier_performance),
+    "supplier_performance": _tables(finance.supplier_performance, suppliers=True),
     "inventory_turnover": _tables(stock.inventory_turnover),
     "slow_movers": _tables(lambda t: stock.slow_movers(t, AS_OF)),
     "location_utilization": _tables(stock.location_utilization),
@@ -277,13 +285,13 @@ REPORTS: dict[str, Query] = {
     "abc_analysis_bucketed": _tables(
         lambda t: finance.abc_analysis(t, rows_per_cell=SMALL_CELL)
     ),
-    "auto_alerts": _tables(lambda t: alerts.auto_alerts(t, AS_OF)),
+    "auto_alerts": _tables(lambda t: alerts.auto_alerts(t, AS_OF), suppliers=True),
     "monthly_comparison": _tables(sales.monthly_comparison),
     "seasonal_patterns": _tables(sales.seasonal_patterns),
-    "category_supplier_efficiency": _tables(finance.category_supplier_efficiency),
-    "critical_products": _tables(stock.critical_products),
+    "category_supplier_efficiency": _tables(finance.category_supplier_efficiency, suppliers=True),
+    "critical_products": _tables(stock.critical_products, suppliers=True),
     "top15_sales": _tables(sales.top15_sales),
-    "enriched_inventory": _tables(frame.enriched_inventory),
+    "enriched_inventory": _tables(frame.enriched_inventory, suppliers=True),
     "recent_movements": _tables(
         lambda t: frame.recent_movements(t).select(
             "movement_id", "product_id", "kind", "quantity", "moved_at"
@@ -292,25 +300,26 @@ REPORTS: dict[str, Query] = {
     "business_kpis": _selection(kpis.business_kpis),
     "dashboard_kpis": _selection(kpis.dashboard_kpis),
     "insights": _selection(kpis.insights),
-    "critical_list": _selection(stock.critical_list),
+    "critical_list": _selection(stock.critical_list, "categories", "suppliers"),
     "critical_summary": _selection(stock.critical_summary),
-    "purchase_recommendations": _selection(stock.purchase_recommendations),
+    "purchase_recommendations": _selection(stock.purchase_recommendations, "suppliers"),
     "purchase_total": _selection(stock.purchase_total),
     "trend_forecast": _selection(sales.trend_forecast),
     "trend_forecast_kpis": _selection(sales.trend_forecast_kpis),
-    "category_trend": _selection(sales.category_trend),
+    "category_trend": _selection(sales.category_trend, "categories"),
     "financial_kpis": _selection(finance.financial_kpis),
     "abc_filtered": _selection(
-        lambda df: finance.abc_filtered(select.select_inventory(df, category="SMALL"))
+        lambda df: finance.abc_filtered(select.select_inventory(df, category="SMALL")),
+        "categories",
     ),
     "abc_class_counts": _selection(finance.abc_class_counts),
     "abc_top_a": _selection(finance.abc_top_a),
-    "category_summary": _selection(finance.category_summary),
-    "supplier_summary": _selection(finance.supplier_summary),
-    "full_inventory_report": _selection(stock.full_inventory_report),
+    "category_summary": _selection(finance.category_summary, "categories"),
+    "supplier_summary": _selection(finance.supplier_summary, "suppliers"),
+    "full_inventory_report": _selection(stock.full_inventory_report, "categories", "suppliers"),
     "top20_sales_report": _selection(sales.top20_sales_report),
     "turnover_report": _selection(stock.turnover_report),
-    "no_movement_report": _selection(stock.no_movement_report),
+    "no_movement_report": _selection(stock.no_movement_report, "categories"),
     "no_movement_total": _selection(stock.no_movement_total),
     "margin_report": _selection(finance.margin_report),
     "margin_stats": _selection(finance.margin_stats),
@@ -329,8 +338,7 @@ def _event_rows(events: DataFrame) -> DataFrame:
 
 
 def _event_stream(spark: SparkSession, d: str) -> DataFrame:
-    schema = star.star_table(spark, d, "events").schema
-    return live.file_stream(spark, d, schema, "events.parquet")
+    return live.file_stream(spark, d, star.STAR_SCHEMAS["events"], "events.parquet")
 
 
 def _crossings_stream(spark: SparkSession, d: str) -> DataFrame:
@@ -348,7 +356,7 @@ def _upserted(spark: SparkSession, d: str) -> DataFrame:
         "product_id", "seq", F.floor("level").cast("int").alias("stock")
     )
     after = snapshot.upsert_snapshot(
-        star.products(spark, d), readings, now="2001-08-02 00:00:00"
+        star.products(spark, d, main_supplier=False), readings, now="2001-08-02 00:00:00"
     )
     return after.select("product_id", "name", "stock", "updated_at")
 
@@ -359,7 +367,7 @@ def _upserted_stream(spark: SparkSession, d: str) -> DataFrame:
         "product_id", "seq", F.floor("level").cast("int").alias("stock")
     )
     return snapshot.run_upsert(
-        star.products(spark, d), updates, now="2001-08-02 00:00:00"
+        star.products(spark, d, main_supplier=False), updates, now="2001-08-02 00:00:00"
     ).select("product_id", "name", "stock", "updated_at")
 
 
@@ -378,7 +386,9 @@ def _on_hand_breaks(spark: SparkSession, d: str) -> DataFrame:
 
 MOVEMENTS: dict[str, Query] = {
     "table_stats": _tables(lambda t: sinks.table_stats(t.as_dict())),
-    "check_integrity": _tables(lambda t: quality.check_integrity(t.as_dict())),
+    "check_integrity": _tables(
+        lambda t: quality.check_integrity(t.as_dict()), suppliers=True
+    ),
     "crossing_alerts": lambda spark, d: crossings.crossing_alerts(star.stock_updates(spark, d)),
     "crossing_alerts_split_keys": lambda spark, d: crossings.crossing_alerts(
         star.stock_updates(spark, d), hot_rows=50
@@ -416,7 +426,7 @@ def _importance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _clusters(spark: SparkSession, d: str) -> cluster.Clusters:
-    t = star.star_tables(spark, d)
+    t = star.star_tables(spark, d, main_supplier=False)
     return cluster.cluster_products(
         joins.join_dims(select.active(t.products), t.categories, how="left"), AS_OF
     )

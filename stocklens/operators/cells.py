@@ -15,6 +15,7 @@ balance the work.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -54,11 +55,17 @@ def sort_key(col: Column, dtype: T.DataType, descending: bool = False) -> Column
     return -key if descending else key
 
 
+def _array(values: Sequence[int | float]) -> Column:
+    """An array literal, parsed in one go instead of built element by element."""
+    items = (f"{v!r}D" if isinstance(v, float) else f"{v}L" for v in values)
+    return F.expr(f"array({', '.join(items)})")
+
+
 def _count_cuts(cuts: tuple, key: Column, inclusive: bool) -> Column:
     """Number of cuts below the key (``inclusive``: or equal), by bisection."""
     if not cuts:
         return F.lit(0)
-    array = F.lit(list(cuts))
+    array = _array(cuts)
     steps = F.lit([2**i for i in range((len(cuts) + 1).bit_length() - 2, -1, -1)])
 
     def advance(position: Column, step: Column) -> Column:
@@ -97,17 +104,27 @@ class Cuts:
 
 def measure_cuts(
     df: DataFrame,
-    key: Column,
-    tie: Column | None = None,
+    orders: Sequence[tuple[Column, Column | None]],
     rows_per_cell: int = ROWS_PER_CELL,
-) -> Cuts:
-    """One aggregation over the two columns; the driver gets the cuts only."""
-    probabilities = [i / (MAX_CUTS + 1) for i in range(1, MAX_CUTS + 1)]
+    extra: Sequence[Column] = (),
+) -> tuple[list[Cuts], list]:
+    """Cuts for each (key, tie), and the values of further aggregates.
+
+    One aggregation over the key columns for all of them; the driver gets the
+    cuts and the values only.
+    """
+    probabilities = _array([i / (MAX_CUTS + 1) for i in range(1, MAX_CUTS + 1)])
     accuracy = 10 * (MAX_CUTS + 1)
-    aggregates = [F.count("*"), F.percentile_approx(key, probabilities, accuracy)]
-    if tie is not None:
-        aggregates.append(F.percentile_approx(tie, probabilities, accuracy))
-    rows, *cuts = df.agg(*aggregates).first()
+    columns = [c for order in orders for c in order if c is not None]
+    rows, *values = df.agg(
+        F.count("*"),
+        *[F.percentile_approx(c, probabilities, accuracy) for c in columns],
+        *extra,
+    ).first()
     levels = min(LEVELS, max(0, (-(-rows // rows_per_cell) - 1).bit_length()))
-    thinned = [_thin(c, levels) if c else () for c in cuts]
-    return Cuts(rows, thinned[0], thinned[1] if tie is not None else ())
+    found = iter(values)
+    measured = []
+    for order in orders:
+        key, tie = (_thin(next(found) or [], levels) if c is not None else () for c in order)
+        measured.append(Cuts(rows, key, tie))
+    return measured, list(found)

@@ -68,15 +68,20 @@ def join_dims(
 
 
 def enrich(
-    products: DataFrame, categories: DataFrame, suppliers: DataFrame, locations: DataFrame
+    products: DataFrame,
+    categories: DataFrame | None = None,
+    suppliers: DataFrame | None = None,
+    locations: DataFrame | None = None,
 ) -> DataFrame:
-    """All three dimensions, keeping every product.
+    """The given dimensions, keeping every product.
 
     Attributes that clash carry the dimension's name as prefix, so ``active``
     and ``description`` stay the product's.
     """
     joined = join_dims(products, categories, suppliers, how="left")
-    return joined.join(location_dim(locations), "location_id", "left")
+    if locations is not None:
+        joined = joined.join(location_dim(locations), "location_id", "left")
+    return joined
 
 
 def location_left_join(locations: DataFrame, products: DataFrame) -> DataFrame:

@@ -30,17 +30,17 @@ def split_hot_keys(
     Returns the frame and whether any key can be hot. The first order column
     cuts; where its values repeat a lot, the second (a whole number) does.
     """
-    types = {f.name: f.dataType for f in df.schema.fields}
-    keyed = df.withColumn(_ORDER, sort_key(F.col(order[0]), types[order[0]]))
+    rows = df.count()
+    if rows <= hot_rows:
+        return df.withColumn(CELL, F.lit(0)), False
+    keyed = df.withColumn(_ORDER, sort_key(F.col(order[0]), df.schema[order[0]].dataType))
     tie = None
     if len(order) > 1:
         keyed = keyed.withColumn(_TIE, F.col(order[1]).cast("bigint"))
         tie = F.col(_TIE)
-    cuts = measure_cuts(keyed, F.col(_ORDER), tie, hot_rows)
-    if cuts.rows <= hot_rows:
-        return df.withColumn(CELL, F.lit(0)), False
+    (cuts,), _ = measure_cuts(keyed, [(F.col(_ORDER), tie)], hot_rows)
     # At most rows / limit keys can exceed the limit, so this side is bounded.
-    limit = max(hot_rows, cuts.rows // MAX_HOT_KEYS)
+    limit = max(hot_rows, rows // MAX_HOT_KEYS)
     hot = (
         df.groupBy(F.col(key).alias(_HOT)).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit)
     ).select(_HOT)

@@ -13,13 +13,24 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stocklens.operators.cells import CODE, ROWS_PER_CELL, SUB, measure_cuts, sort_key
+from stocklens.operators.cells import (
+    CODE,
+    ROWS_PER_CELL,
+    SUB,
+    Cuts,
+    measure_cuts,
+    sort_key,
+)
 
-WIDE = "decimal(38,2)"
 _KEY, _TIE = "_key", "_tie"
 _BEFORE_CELL, _BEFORE_CODE, _SUM_BEFORE = "_before_cell", "_before_code", "_sum_before"
 
 
+def _order(df: DataFrame, order: str, unique: str | None, descending: bool):
+    key = sort_key(F.col(order), df.schema[order].dataType, descending)
+    return key, None if unique is None else F.col(unique).cast("bigint")
+
+
 def distributed_prefix(
     df: DataFrame,
     order: str,
@@ -29,49 +40,51 @@ def distributed_prefix(
     rank: str | None = None,
     row_number: str | None = None,
     running: tuple[str, str] | None = None,
+    totals: Mapping[str, Column] | None = None,
     rows_per_cell: int = ROWS_PER_CELL,
+    cuts: Cuts | None = None,
 ) -> DataFrame:
     """Add global ``rank``, ``row_number`` and/or ``running`` columns.
 
     ``order`` is a number, date or timestamp column; ``unique`` a whole-number
     column that breaks its ties. It may be left out when ``order`` itself has
     no ties. ``running`` is (value column, output column); the sum covers all
-    rows up to and including the row. NULL order keys come first.
+    rows up to and including the row. NULL order keys come first. ``totals``
+    are aggregates over all rows, taken in the pass that measures the cuts and
+    added to every row. ``cuts`` that are already measured save that pass.
     """
-    key = sort_key(F.col(order), df.schema[order].dataType, descending)
-    tie = None if unique is None else F.col(unique).cast("bigint")
-    keyed = df.withColumn(_KEY, key)
-    if tie is not None:
-        keyed = keyed.withColumn(_TIE, tie)
-    tie_column = None if tie is None else F.col(_TIE)
-    cuts = measure_cuts(keyed, F.col(_KEY), tie_column, rows_per_cell)
-
-    by = [F.col(_KEY)] + ([] if tie is None else [F.col(_TIE)])
-    cells = cuts.assign(keyed, F.col(_KEY), tie_column)
-    in_cell = Window.partitionBy(CODE, SUB)
-    ordered = in_cell.orderBy(*by)
-    upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
+    key, tie = _order(df, order, unique, descending)
+    if cuts is None:
+        extra = [c.alias(n) for n, c in (totals or {}).items()]
+        (cuts,), values = measure_cuts(df, [(key, tie)], rows_per_cell, extra)
+        df = df.withColumns({n: F.lit(v) for n, v in zip(totals or {}, values)})
+    by = {_KEY: key} if tie is None else {_KEY: key, _TIE: tie}
+    keyed = df.withColumns(by)
     if cuts.single:
         # The whole set is one bounded cell: nothing comes before it.
-        offsets = None
+        cells, offsets = keyed, None
+        in_cell = Window.partitionBy(F.lit(0))
         before_cell, before_code, sum_before = F.lit(0), F.lit(0), F.lit(0)
     else:
+        cells = cuts.assign(keyed, F.col(_KEY), None if tie is None else F.col(_TIE))
         offsets = _cell_offsets(cells, running)
+        in_cell = Window.partitionBy(CODE, SUB)
         before_cell, before_code, sum_before = (
             F.col(_BEFORE_CELL), F.col(_BEFORE_CODE), F.col(_SUM_BEFORE)
         )
 
+    ordered = in_cell.orderBy(*by)
     local: dict[str, Column] = {}
     final: dict[str, Column] = {}
     if rank:
         local[rank] = F.rank().over(in_cell.orderBy(_KEY))
-        final[rank] = F.col(rank) + before_code
+        final[rank] = (F.col(rank) + before_code).cast("bigint")
     if row_number:
         local[row_number] = F.row_number().over(ordered)
-        final[row_number] = F.col(row_number) + before_cell
+        final[row_number] = (F.col(row_number) + before_cell).cast("bigint")
     if running:
         value, out = running
+        upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         local[out] = F.sum(value).over(upto)
         final[out] = F.col(out) + sum_before
 
@@ -79,11 +92,23 @@ def distributed_prefix(
     if offsets is not None:
         # The window left the rows partitioned by these same two columns.
         result = result.join(offsets, [CODE, SUB])
-    casts = {n: c.cast("bigint") for n, c in final.items() if not (running and n == running[1])}
-    if running:
-        casts[running[1]] = final[running[1]]
     helpers = [_KEY, _TIE, CODE, SUB, _BEFORE_CELL, _BEFORE_CODE, _SUM_BEFORE]
-    return result.withColumns(casts).drop(*helpers)
+    return result.withColumns(final).drop(*helpers)
+
+
+def global_ranks(
+    df: DataFrame, ranks: Mapping[str, str], unique: str = "product_id",
+    rows_per_cell: int = ROWS_PER_CELL,
+) -> DataFrame:
+    """Competition ranks by several columns, output name -> order column.
+
+    The cuts of all orders come from one pass over the frame.
+    """
+    orders = [_order(df, column, unique, True) for column in ranks.values()]
+    measured, _ = measure_cuts(df, orders, rows_per_cell)
+    for (out, column), cuts in zip(ranks.items(), measured):
+        df = distributed_prefix(df, column, unique, rank=out, cuts=cuts)
+    return df
 
 
 def _cell_offsets(cells: DataFrame, running: tuple[str, str] | None) -> DataFrame:
@@ -122,12 +147,9 @@ def running_total(df: DataFrame, order: str, value: str, out: str = "running",
     return distributed_prefix(df, order, unique, running=(value, out), **options)
 
 
-def with_totals(
-    df: DataFrame, totals: Mapping[str, Column], of: DataFrame | None = None
-) -> DataFrame:
-    """Aggregates over the whole frame (or ``of``) on every row, as scalar subqueries."""
-    whole = df if of is None else of
-    return df.withColumns({n: whole.agg(c.alias(n)).scalar() for n, c in totals.items()})
+def with_totals(df: DataFrame, totals: Mapping[str, Column]) -> DataFrame:
+    """Aggregates over the whole frame on every row, as scalar subqueries."""
+    return df.withColumns({n: df.agg(c.alias(n)).scalar() for n, c in totals.items()})
 
 
 def quantiles(

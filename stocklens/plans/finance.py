@@ -100,11 +100,11 @@ def category_supplier_efficiency(t: Tables) -> DataFrame:
 
 def _accumulated(rows: DataFrame, **prefix_options) -> DataFrame:
     """Rank, running revenue and revenue total of products with sales."""
-    ranked = distributed_prefix(
+    return distributed_prefix(
         rows, "revenue_month", "product_id",
-        row_number="rank", running=("revenue_month", "cumulative_revenue"), **prefix_options,
+        row_number="rank", running=("revenue_month", "cumulative_revenue"),
+        totals={"_total": F.sum("revenue_month")}, **prefix_options,
     )
-    return with_totals(ranked, {"_total": F.sum("revenue_month")}, of=rows)
 
 
 def abc_analysis(t: Tables, **prefix_options) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame
 
 from stocklens.functions import labels as L
@@ -40,14 +42,18 @@ def with_measures(df: DataFrame) -> DataFrame:
     )
 
 
-def analysis_frame(t: Tables, include_inactive: bool = False) -> DataFrame:
+def analysis_frame(
+    t: Tables, include_inactive: bool = False,
+    dims: Collection[str] = ("categories", "suppliers", "locations"),
+) -> DataFrame:
     """Enriched products with all measures; input of the selection reports.
 
-    Cache it when several reports are taken from one selection.
+    ``dims`` names the dimensions to join. A left join is not pruned when its
+    columns go unused, so reports that need fewer should say so. Cache the
+    frame when several reports are taken from one selection.
     """
     products = active(t.products, include_inactive)
-    joined = enrich(products, t.categories, t.suppliers, t.locations)
-    return with_measures(joined)
+    return with_measures(enrich(products, **{name: getattr(t, name) for name in dims}))
 
 
 def recent_movements(t: Tables, k: int = 100) -> DataFrame:

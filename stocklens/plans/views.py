@@ -9,7 +9,7 @@ from stocklens.functions import measures as M
 from stocklens.functions.classes import stock_state4
 from stocklens.operators.joins import join_dims
 from stocklens.operators.ordering import asc, desc, top_first
-from stocklens.operators.prefix import distributed_prefix
+from stocklens.operators.prefix import global_ranks
 from stocklens.operators.select import active
 from stocklens.sources.sinks import register_views
 from stocklens.sources.tables import Tables
@@ -45,13 +45,8 @@ def top_products(t: Tables, **prefix_options) -> DataFrame:
         "product_id", "name", "category", "sales_month", "sales_quarter", "sales_year",
         M.profit_month().alias("profit_month"), "stock",
     )
-    ranked = distributed_prefix(
-        base, "sales_month", "product_id", rank="rank_sales", **prefix_options
-    )
-    ranked = distributed_prefix(
-        ranked, "profit_month", "product_id", rank="rank_profit", **prefix_options
-    )
-    return top_first(ranked, "sales_month")
+    ranks = {"rank_sales": "sales_month", "rank_profit": "profit_month"}
+    return top_first(global_ranks(base, ranks, **prefix_options), "sales_month")
 
 
 # Names under which SQL users know the views.

@@ -149,25 +149,22 @@ def load_directory(
     def path(name: str) -> str:
         return f"{directory.rstrip('/')}/{FILE_NAMES[name]}{suffix}"
 
-    needed = ("products", "categories", "suppliers", "locations")
-    frames = {n: read_table(spark, n, path(n), fmt, now) for n in needed}
-    for n in ("movements", "alerts"):
-        frames[n] = read_optional(spark, n, path(n), fmt, now)
-    return Tables(**frames)
+    def opener(name: str):
+        read = read_optional if name in ("movements", "alerts") else read_table
+        return lambda: read(spark, name, path(name), fmt, now)
+
+    return Tables(**{name: opener(name) for name in FILE_NAMES})
 
 
 def load_database(
     spark: SparkSession, url: str, options: dict[str, str] | None = None
 ) -> Tables:
     """The same set from a database, one query per table."""
-    names = ("products", "categories", "suppliers", "locations", "movements", "alerts")
-    frames = {
-        n: conform(
-            read_jdbc(spark, url, f"SELECT * FROM {ALL_TABLES[n].header}", options), n
-        )
-        for n in names
-    }
-    return Tables(**frames)
+    def opener(name: str):
+        query = f"SELECT * FROM {ALL_TABLES[name].header}"
+        return lambda: conform(read_jdbc(spark, url, query, options), name)
+
+    return Tables(**{name: opener(name) for name in FILE_NAMES})
 
 
 def load_inventory(

@@ -1,9 +1,9 @@
 """Inventory tables derived from a retail star schema.
 
 Maps part, supplier, lineitem, orders and events tables (Parquet) to the
-inventory tables. ``AS_OF`` stands for "today". The product snapshot takes
-two aggregations: per part and supplier, then per part. Both combine on the
-map side, so a frequent part costs one row per task in the shuffle.
+inventory tables. ``AS_OF`` stands for "today". The product snapshot is
+aggregated per part and supplier, then per part. Both steps combine on the
+map side, so a frequent part costs one row per supplier and task in the shuffle.
 """
 
 from __future__ import annotations
@@ -19,15 +19,33 @@ AS_OF = "2001-08-01"
 NOW = "2001-08-01 00:00:00"
 LEVEL_MIN = 100
 
+# Supplier keys lie below this.
+KEY_SPAN = 2**31
+
 # The part types; a category's id is its position.
 PART_TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 
 
+# The columns that are used. With a schema Spark need not open files to plan.
+STAR_SCHEMAS = {
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+            "p_retailprice double",
+    "supplier": "s_suppkey bigint, s_name string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+                "l_quantity double, l_extendedprice double, l_returnflag string, "
+                "l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+              "value double, props string",
+}
+
+
 def star_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{directory}/{name}.parquet")
+    return spark.read.schema(STAR_SCHEMAS[name]).parquet(f"{directory}/{name}.parquet")
 
 
-def _sales(lineitem: DataFrame, as_of: str) -> DataFrame:
+def _sales(lineitem: DataFrame, as_of: str, main_supplier: bool) -> DataFrame:
     """Units per window, last sale and main supplier per part."""
     day = F.lit(as_of).cast("date")
     upto = lineitem.filter(F.col("l_shipdate") <= F.lit(as_of).cast("timestamp_ntz"))
@@ -43,17 +61,26 @@ def _sales(lineitem: DataFrame, as_of: str) -> DataFrame:
         "sales_quarter": units(0, 90),
         "sales_year": units(0, 365),
     }
+    last_sale = F.max(shipped).alias("last_sale")
+    if not main_supplier:
+        return upto.groupBy("l_partkey").agg(
+            *[c.cast("int").alias(n) for n, c in windows.items()], last_sale
+        )
     per_supplier = upto.groupBy("l_partkey", "l_suppkey").agg(
         *[c.alias(n) for n, c in windows.items()],
         F.sum("l_quantity").alias("quantity"),
-        F.max(shipped).alias("last_sale"),
+        last_sale,
     )
-    main = F.max_by("l_suppkey", F.struct("quantity", -F.col("l_suppkey")))
-    return per_supplier.groupBy("l_partkey").agg(
+    # Largest quantity, then lowest key, packed into one number: the maximum of
+    # a long is hash-aggregated, while that of a struct would need a sort.
+    packed = F.col("quantity").cast("bigint") * KEY_SPAN + (KEY_SPAN - 1 - F.col("l_suppkey"))
+    per_part = per_supplier.groupBy("l_partkey").agg(
         *[F.sum(n).cast("int").alias(n) for n in windows],
         F.max("last_sale").alias("last_sale"),
-        main.alias("supplier_id"),
+        F.max(packed).alias("packed"),
     )
+    main = F.lit(KEY_SPAN - 1) - F.col("packed") % KEY_SPAN
+    return per_part.withColumn("supplier_id", main).drop("packed")
 
 
 def _unit_cost():
@@ -68,16 +95,23 @@ def _brand_number():
     return F.substring("p_brand", 7, 4).cast("int")
 
 
-def products(spark: SparkSession, directory: str, as_of: str = AS_OF) -> DataFrame:
+def products(
+    spark: SparkSession, directory: str, as_of: str = AS_OF, main_supplier: bool = True
+) -> DataFrame:
+    """The product snapshot.
+
+    The main supplier needs every (part, supplier) pair. Reports that do not
+    look at suppliers can leave it out, and one aggregation per part is left.
+    """
     part = star_table(spark, directory, "part")
-    sales = _sales(star_table(spark, directory, "lineitem"), as_of)
+    sales = _sales(star_table(spark, directory, "lineitem"), as_of, main_supplier)
     key = F.col("p_partkey")
     counters = ("sales_month", "sales_prev_month", "sales_quarter", "sales_year")
     snapshot = part.join(sales, key == F.col("l_partkey"), "left").select(
         key.alias("product_id"),
         F.col("p_name").alias("name"),
         F.array_position(F.lit(list(PART_TYPES)), F.col("p_type")).cast("int").alias("category_id"),
-        "supplier_id",
+        *(["supplier_id"] if main_supplier else []),
         _brand_number().alias("location_id"),
         F.when(key % 20 == 0, 0).otherwise(F.col("p_size")).alias("stock"),
         _unit_cost().alias("unit_cost"),
@@ -215,14 +249,16 @@ def purchase_lines(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-def star_tables(spark: SparkSession, directory: str, as_of: str = AS_OF) -> Tables:
+def star_tables(
+    spark: SparkSession, directory: str, as_of: str = AS_OF, main_supplier: bool = True
+) -> Tables:
     return Tables(
-        products=products(spark, directory, as_of),
-        categories=categories(spark, directory),
-        suppliers=suppliers(spark, directory),
-        locations=locations(spark, directory),
-        movements=movements(spark, directory),
-        alerts=alerts(spark, directory),
-        purchases=purchases(spark, directory),
-        purchase_lines=purchase_lines(spark, directory),
+        products=lambda: products(spark, directory, as_of, main_supplier),
+        categories=lambda: categories(spark, directory),
+        suppliers=lambda: suppliers(spark, directory),
+        locations=lambda: locations(spark, directory),
+        movements=lambda: movements(spark, directory),
+        alerts=lambda: alerts(spark, directory),
+        purchases=lambda: purchases(spark, directory),
+        purchase_lines=lambda: purchase_lines(spark, directory),
     )

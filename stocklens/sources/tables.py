@@ -2,23 +2,47 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+from stocklens.sources.schemas import ALL_TABLES
+
+Source = DataFrame | Callable[[], DataFrame]
+
 
-@dataclass(frozen=True)
 class Tables:
+    """Inventory tables by name, as attributes.
+
+    A table is given as a frame or as a function that opens it; the function
+    is called when a report first asks for the table.
+    """
+
     products: DataFrame
     categories: DataFrame
     suppliers: DataFrame
     locations: DataFrame
-    movements: DataFrame | None = None
-    alerts: DataFrame | None = None
-    purchases: DataFrame | None = None
-    purchase_lines: DataFrame | None = None
+    movements: DataFrame
+    alerts: DataFrame
+    purchases: DataFrame
+    purchase_lines: DataFrame
+
+    def __init__(self, **sources: Source) -> None:
+        unknown = set(sources) - set(ALL_TABLES)
+        if unknown:
+            raise ValueError(f"unknown tables: {sorted(unknown)}")
+        self._sources = sources
+
+    def __getattr__(self, name: str) -> DataFrame:
+        # Only called for tables that are not open yet.
+        sources = self.__dict__.get("_sources", {})
+        if name not in sources:
+            raise AttributeError(f"no table {name!r}")
+        source = sources[name]
+        frame = source() if callable(source) else source
+        self.__dict__[name] = frame
+        return frame
 
     def as_dict(self) -> dict[str, DataFrame]:
-        """Table name -> frame, without the absent ones."""
-        pairs = ((f.name, getattr(self, f.name)) for f in fields(self))
-        return {name: df for name, df in pairs if df is not None}
+        """Table name -> frame, for all tables of the set."""
+        return {name: getattr(self, name) for name in self._sources}

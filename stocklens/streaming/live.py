@@ -36,7 +36,7 @@ def live_kpis(movements: DataFrame, window: str = WINDOW, lateness: str = LATENE
 
 
 def file_stream(
-    spark: SparkSession, directory: str, schema: T.StructType, glob: str = "*.parquet",
+    spark: SparkSession, directory: str, schema: T.StructType | str, glob: str = "*.parquet",
     files_per_trigger: int = 64,
 ) -> DataFrame:
     """A Parquet directory as a stream whose micro-batches are bounded."""
