@@ -94,12 +94,17 @@ class Cuts:
 
     def assign(self, df: DataFrame, key: Column, tie: Column | None = None) -> DataFrame:
         """Add the cell columns; (code, sub) ascends with (key, tie)."""
-        below = _count_cuts(self.order, key, inclusive=False)
-        upto = _count_cuts(self.order, key, inclusive=True)
-        frequent = key.isNull() | (upto - below >= 2)
+        counted = df.withColumns({
+            "_below": _count_cuts(self.order, key, inclusive=False),
+            "_upto": _count_cuts(self.order, key, inclusive=True),
+        })
+        frequent = key.isNull() | (F.col("_upto") - F.col("_below") >= 2)
         sub = F.lit(0) if tie is None else _count_cuts(self.tie, tie, inclusive=False)
-        code = F.when(key.isNull(), -1).otherwise(below * 2 + frequent.cast("int"))
-        return df.withColumns({CODE: code, SUB: F.when(frequent, sub).otherwise(0)})
+        code = F.col("_below") * 2 + frequent.cast("int")
+        return counted.withColumns({
+            CODE: F.when(key.isNull(), -1).otherwise(code),
+            SUB: F.when(frequent, sub).otherwise(0),
+        }).drop("_below", "_upto")
 
 
 def measure_cuts(

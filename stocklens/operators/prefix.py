@@ -148,8 +148,10 @@ def running_total(df: DataFrame, order: str, value: str, out: str = "running",
 
 
 def with_totals(df: DataFrame, totals: Mapping[str, Column]) -> DataFrame:
-    """Aggregates over the whole frame on every row, as scalar subqueries."""
-    return df.withColumns({n: df.agg(c.alias(n)).scalar() for n, c in totals.items()})
+    """Aggregates over the whole frame on every row, by one scalar subquery."""
+    row = df.agg(F.struct(*[c.alias(n) for n, c in totals.items()]).alias("_totals")).scalar()
+    with_row = df.withColumn("_totals", row)
+    return with_row.withColumns({n: F.col(f"_totals.{n}") for n in totals}).drop("_totals")
 
 
 def quantiles(

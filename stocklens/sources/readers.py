@@ -5,10 +5,9 @@ from __future__ import annotations
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stocklens.sources.schemas import ALL_TABLES, FILE_NAMES, NOW, Table
+from stocklens.sources.schemas import ALL_TABLES, FILE_NAMES, NOW, Field, Table
 from stocklens.sources.tables import Tables
 
 
@@ -35,17 +34,24 @@ def child_names(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(hadoop_path)]
 
 
-def _parsed(col: F.Column, source: T.DataType, target: T.DataType) -> F.Column:
+def _parsed(column: str, source: T.DataType, target: T.DataType) -> str:
     """The column in the target type; values that do not parse become NULL."""
     if source == target:
-        return col
+        return column
     if isinstance(source, T.StringType):
-        text = F.trim(col)
+        column = f"trim({column})"
         if isinstance(target, T.DateType):
             # A time of day is allowed and cut off.
-            return F.to_date(F.try_to_timestamp(text))
-        return text.try_cast(target)
-    return col.try_cast(target)
+            return f"to_date(try_to_timestamp({column}))"
+    return f"try_cast({column} AS {target.simpleString()})"
+
+
+def _default(field: Field, now: str | None) -> str:
+    value = now if field.default is NOW else field.default
+    if field.default is NOW and now is None:
+        return "localtimestamp()"
+    text = "NULL" if value is None else f"'{value}'"
+    return f"CAST({text} AS {field.type.simpleString()})"
 
 
 def conform(df: DataFrame, table: str | Table, now: str | None = None) -> DataFrame:
@@ -57,20 +63,16 @@ def conform(df: DataFrame, table: str | Table, now: str | None = None) -> DataFr
     the load time for time defaults (ISO text); without it the time of the
     query is used.
     """
-    spec = _spec(table)
     present = {f.name: f.dataType for f in df.schema.fields}
-    stamp = F.localtimestamp() if now is None else F.lit(now).cast("timestamp_ntz")
-    out = []
-    for f in spec.fields:
-        source = f.name if f.name in present else f.header if f.header in present else None
-        if source is not None:
-            col = _parsed(F.col(f"`{source}`"), present[source], f.type)
-        elif f.default is NOW:
-            col = stamp
+    columns = []
+    for f in _spec(table).fields:
+        source = next((n for n in (f.name, f.header) if n in present), None)
+        if source is None:
+            value = _default(f, now)
         else:
-            col = F.lit(f.default).cast(f.type)
-        out.append(col.alias(f.name))
-    return df.select(*out)
+            value = _parsed(f"`{source}`", present[source], f.type)
+        columns.append(f"{value} AS {f.name}")
+    return df.selectExpr(*columns)
 
 
 def read_table(

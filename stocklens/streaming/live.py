@@ -37,15 +37,15 @@ def live_kpis(movements: DataFrame, window: str = WINDOW, lateness: str = LATENE
 
 def file_stream(
     spark: SparkSession, directory: str, schema: T.StructType | str, glob: str = "*.parquet",
-    files_per_trigger: int = 64,
+    files_per_trigger: int | None = None, bytes_per_trigger: str = "256m",
 ) -> DataFrame:
-    """A Parquet directory as a stream whose micro-batches are bounded."""
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", glob)
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .parquet(directory)
-    )
+    """A Parquet directory as a stream whose micro-batches are bounded, by size or by files."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+    if files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    else:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_trigger)
+    return reader.parquet(directory)
 
 
 def start_to_files(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
