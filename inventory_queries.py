@@ -445,6 +445,15 @@ def _scenarios(spark: SparkSession, d: str) -> DataFrame:
     return rows
 
 
+def _recommendations(spark: SparkSession, d: str) -> DataFrame:
+    """Every part of the bundle, as rows per part."""
+    t = star.star_tables(spark, d)
+    products = joins.join_dims(select.active(t.products), t.categories, how="left")
+    return sinks.table_stats(actions.recommendations(products, AS_OF)).withColumnsRenamed(
+        {"table_name": "part", "live_rows": "rows"}
+    )
+
+
 MODELS: dict[str, Query] = {
     "build_features": lambda spark, d: features.build_features(
         star.products(spark, d), AS_OF
@@ -463,6 +472,7 @@ MODELS: dict[str, Query] = {
     "cluster_products": lambda spark, d: _clusters(spark, d).rows,
     "cluster_stats": lambda spark, d: _clusters(spark, d).stats,
     "opportunities": lambda spark, d: actions.opportunities(_clusters(spark, d).rows),
+    "recommendations": _recommendations,
 }
 
 QUERIES: dict[str, Query] = {

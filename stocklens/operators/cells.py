@@ -84,14 +84,12 @@ def _thin(cuts: list, levels: int) -> tuple:
 
 @dataclass(frozen=True)
 class Cuts:
-    rows: int
+    """Cuts of an order key and of its tie-breaker; ``single`` if one cell holds all rows."""
+
+    single: bool
     order: tuple
     tie: tuple
 
-    @property
-    def single(self) -> bool:
-        return not self.order
-
     def assign(self, df: DataFrame, key: Column, tie: Column | None = None) -> DataFrame:
         """Add the cell columns; (code, sub) ascends with (key, tie)."""
         counted = df.withColumns({
@@ -131,5 +129,5 @@ def measure_cuts(
     measured = []
     for order in orders:
         key, tie = (_thin(next(found) or [], levels) if c is not None else () for c in order)
-        measured.append(Cuts(rows, key, tie))
+        measured.append(Cuts(levels == 0, key, tie))
     return measured, list(found)

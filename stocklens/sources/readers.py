@@ -11,6 +11,10 @@ from stocklens.sources.schemas import ALL_TABLES, FILE_NAMES, NOW, Field, Table
 from stocklens.sources.tables import Tables
 
 
+# Column, lower bound, upper bound, partitions of a parallel database read.
+Split = tuple[str, int, int, int]
+
+
 def _spec(table: str | Table) -> Table:
     return table if isinstance(table, Table) else ALL_TABLES[table]
 
@@ -114,7 +118,7 @@ def read_jdbc(
     url: str,
     query: str,
     options: dict[str, str] | None = None,
-    split: tuple[str, int, int, int] | None = None,
+    split: Split | None = None,
 ) -> DataFrame:
     """Run a query at a database.
 
@@ -159,12 +163,20 @@ def load_directory(
 
 
 def load_database(
-    spark: SparkSession, url: str, options: dict[str, str] | None = None
+    spark: SparkSession,
+    url: str,
+    options: dict[str, str] | None = None,
+    splits: dict[str, Split] | None = None,
 ) -> Tables:
-    """The same set from a database, one query per table."""
+    """The same set from a database, one query per table.
+
+    ``splits`` names the tables that are read in parallel, and how.
+    """
+
     def opener(name: str):
         query = f"SELECT * FROM {ALL_TABLES[name].header}"
-        return lambda: conform(read_jdbc(spark, url, query, options), name)
+        split = (splits or {}).get(name)
+        return lambda: conform(read_jdbc(spark, url, query, options, split), name)
 
     return Tables(**{name: opener(name) for name in FILE_NAMES})
 
@@ -178,11 +190,12 @@ def load_inventory(
 ) -> tuple[Tables, bool]:
     """The tables and whether they come from the database.
 
-    The database is used when it is configured and holds products; otherwise
-    the directory is. Errors of the database are raised.
+    The database is used when it is configured (``jdbc`` holds the arguments
+    of ``load_database``) and has products; otherwise the directory is. Errors
+    of the database are raised.
     """
     if jdbc:
-        tables = load_database(spark, jdbc["url"], jdbc.get("options"))
+        tables = load_database(spark, **jdbc)
         if directory is None or not tables.products.isEmpty():
             return tables, True
     if directory is None:

@@ -37,7 +37,7 @@ def live_kpis(movements: DataFrame, window: str = WINDOW, lateness: str = LATENE
 
 def file_stream(
     spark: SparkSession, directory: str, schema: T.StructType | str, glob: str = "*.parquet",
-    files_per_trigger: int | None = None, bytes_per_trigger: str = "256m",
+    files_per_trigger: int | None = None, bytes_per_trigger: int = 256 * 2**20,
 ) -> DataFrame:
     """A Parquet directory as a stream whose micro-batches are bounded, by size or by files."""
     reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)

@@ -13,7 +13,7 @@ DIRECTORY = Path("/root/testdata/sf0.001")
 FITTED = {
     "forecast_demand", "forecast_metrics", "critical_actions", "feature_importance",
     "simulate_scenarios", "detect_anomalies", "cluster_products", "cluster_stats",
-    "opportunities",
+    "opportunities", "recommendations",
 }
 
 pytestmark = pytest.mark.skipif(not DIRECTORY.exists(), reason="no test tables")

@@ -83,6 +83,19 @@ def test_null_keys_come_first(spark):
         assert [r.product_id for r in out.orderBy("row_number").collect()] == [1, 3, 4, 2]
 
 
+@pytest.mark.parametrize("known", [0, 30])
+def test_many_null_keys_are_spread(spark, known):
+    rows = [(i, None if i >= known else i) for i in range(300)]
+    df = spark.createDataFrame(rows, "product_id long, v int")
+    out = prefix.global_row_number(df, "v", rows_per_cell=10)
+    order = [r.product_id for r in out.orderBy("row_number").collect()]
+    assert order == list(range(known, 300)) + list(range(known - 1, -1, -1))
+    key = -F.col("v").cast("bigint")
+    (cuts,), _ = measure_cuts(df, [(key, F.col("product_id"))], rows_per_cell=10)
+    cells = cuts.assign(df, key, F.col("product_id"))
+    assert cells.groupBy(CODE, SUB).count().agg(F.max("count")).first()[0] <= 40
+
+
 def test_wall_clock_keys_ignore_the_zone(spark):
     """Half past two does not exist on this night in the zone; order must hold."""
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")

@@ -61,11 +61,30 @@ def test_conform_of_typed_frames(spark):
     assert out.first().target_margin == Decimal("0.30")
 
 
-def test_parquet_round_trip(spark, directory, tmp_path):
+@pytest.mark.parametrize("fmt", ["parquet", "orc", "json"])
+def test_round_trip(spark, directory, tmp_path, fmt):
     t, _ = readers.load_inventory(spark, directory=directory, now=NOW)
-    t.products.write.parquet(f"{tmp_path}/p")
-    back = readers.read_table(spark, "products", f"{tmp_path}/p", fmt="parquet")
-    assert sorted(back.collect()) == sorted(t.products.collect())
+    t.products.write.format(fmt).option("ignoreNullFields", False).save(f"{tmp_path}/p")
+    back = readers.read_table(spark, "products", f"{tmp_path}/p", fmt=fmt)
+    assert back.schema.simpleString() == t.products.schema.simpleString()
+    assert back.orderBy("product_id").collect() == t.products.orderBy("product_id").collect()
+
+
+def test_database_comes_first_unless_empty(spark, directory, tables, monkeypatch):
+    asked = []
+
+    def fake(spark, url, query, options=None, split=None):
+        asked.append((query, split))
+        return tables.products.limit(0) if url == "jdbc:empty" else tables.products
+
+    monkeypatch.setattr(readers, "read_jdbc", fake)
+    splits = {"products": ("producto_id", 0, 9, 3)}
+    jdbc = {"url": "jdbc:full", "splits": splits}
+    t, from_database = readers.load_inventory(spark, jdbc=jdbc, directory=directory)
+    assert from_database and t.products.count() == 10
+    assert asked[0] == ("SELECT * FROM inventario", splits["products"])
+    t, from_database = readers.load_inventory(spark, {"url": "jdbc:empty"}, directory)
+    assert not from_database and t.products.count() == 2
 
 
 def test_missing_optional_tables_are_empty(spark, directory):

@@ -79,6 +79,19 @@ def test_stock_on_hand(tables):
     assert out == {1: (5, 4), 2: (-1, 1), 3: (2, 2)}
 
 
+def test_stock_on_hand_as_a_stream(spark, tables, tmp_path):
+    slim = tables.movements.select("product_id", "kind", "quantity")
+    for product in (1, 3):
+        slim.filter(f"product_id = {product}").coalesce(1).write.mode("append").parquet(str(tmp_path / "m"))
+    stream = live.file_stream(spark, str(tmp_path / "m"), slim.schema, files_per_trigger=1)
+    query = (
+        ledger.stock_on_hand(stream).writeStream.outputMode("complete").format("memory")
+        .queryName("on_hand").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    assert {r.product_id: r.net_quantity for r in spark.table("on_hand").collect()} == {1: 5, 3: 2}
+
+
 NOW = "2024-03-02 00:00:00"
 UPDATES = "product_id long, seq long, stock int, name string"
 
