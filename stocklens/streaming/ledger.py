@@ -36,10 +36,10 @@ def apply_movements(
     rows = ledger.withColumns({"_signed": signed_quantity(), "_opening": F.lit(False)})
     slim = ledger.select("product_id", "stock_before", *order)
     opening = slim.groupBy("product_id").agg(
-        F.min(order[0]).alias(order[0]),
         F.coalesce(F.min_by("stock_before", F.struct(*order)), F.lit(0))
-        .cast("bigint").alias("_signed"),
+        .cast("bigint").alias("_signed")
     )
+    # No time sorts before every time.
     opening = opening.withColumns(
         {"movement_id": F.lit(_FIRST).cast("bigint"), "_opening": F.lit(True)}
     )
