@@ -55,25 +55,28 @@ def sort_key(col: Column, dtype: T.DataType, descending: bool = False) -> Column
     return -key if descending else key
 
 
+def _literal(value: int | float) -> str:
+    return f"{value!r}D" if isinstance(value, float) else f"{value}L"
+
+
 def _array(values: Sequence[int | float]) -> Column:
     """An array literal, parsed in one go instead of built element by element."""
-    items = (f"{v!r}D" if isinstance(v, float) else f"{v}L" for v in values)
-    return F.expr(f"array({', '.join(items)})")
+    return F.expr(f"array({', '.join(map(_literal, values))})")
 
 
-def _count_cuts(cuts: tuple, key: Column, inclusive: bool) -> Column:
-    """Number of cuts below the key (``inclusive``: or equal), by bisection."""
-    if not cuts:
-        return F.lit(0)
-    array = _array(cuts)
-    steps = F.lit([2**i for i in range((len(cuts) + 1).bit_length() - 2, -1, -1)])
+def _cuts_below(cuts: Sequence[int | float], column: str) -> Column:
+    """Number of cuts below the column: a balanced tree of comparisons.
 
-    def advance(position: Column, step: Column) -> Column:
-        cut = F.element_at(array, position + step)
-        passed = cut <= key if inclusive else cut < key
-        return F.when(passed, position + step).otherwise(position)
+    Each row takes about log2 of the number of cuts steps, in generated code.
+    """
+    def tree(low: int, high: int) -> str:
+        if low == high:
+            return str(low)
+        middle = (low + high) // 2
+        above, upto = tree(middle + 1, high), tree(low, middle)
+        return f"if({column} > {_literal(cuts[middle])}, {above}, {upto})"
 
-    return F.aggregate(steps, F.lit(0), advance)
+    return F.expr(tree(0, len(cuts)))
 
 
 def _thin(cuts: list, levels: int) -> tuple:
@@ -90,19 +93,19 @@ class Cuts:
     order: tuple
     tie: tuple
 
-    def assign(self, df: DataFrame, key: Column, tie: Column | None = None) -> DataFrame:
+    def assign(self, df: DataFrame, key: str, tie: str | None = None) -> DataFrame:
         """Add the cell columns; (code, sub) ascends with (key, tie)."""
-        counted = df.withColumns({
-            "_below": _count_cuts(self.order, key, inclusive=False),
-            "_upto": _count_cuts(self.order, key, inclusive=True),
-        })
-        frequent = key.isNull() | (F.col("_upto") - F.col("_below") >= 2)
-        sub = F.lit(0) if tie is None else _count_cuts(self.tie, tie, inclusive=False)
-        code = F.col("_below") * 2 + frequent.cast("int")
-        return counted.withColumns({
-            CODE: F.when(key.isNull(), -1).otherwise(code),
+        distinct = sorted(set(self.order))
+        repeated = [c for c in distinct if self.order.count(c) > 1]
+        frequent = F.col(key).isNull()
+        if repeated:
+            frequent = frequent | F.col(key).isin(repeated)
+        code = _cuts_below(distinct, key) * 2 + frequent.cast("int")
+        sub = F.lit(0) if tie is None else _cuts_below(sorted(set(self.tie)), tie)
+        return df.withColumns({
+            CODE: F.when(F.col(key).isNull(), -1).otherwise(code),
             SUB: F.when(frequent, sub).otherwise(0),
-        }).drop("_below", "_upto")
+        })
 
 
 def measure_cuts(
@@ -117,7 +120,7 @@ def measure_cuts(
     cuts and the values only.
     """
     probabilities = _array([i / (MAX_CUTS + 1) for i in range(1, MAX_CUTS + 1)])
-    accuracy = 10 * (MAX_CUTS + 1)
+    accuracy = 4 * (MAX_CUTS + 1)
     columns = [c for order in orders for c in order if c is not None]
     rows, *values = df.agg(
         F.count("*"),

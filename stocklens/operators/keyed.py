@@ -37,14 +37,15 @@ def split_hot_keys(
     tie = None
     if len(order) > 1:
         keyed = keyed.withColumn(_TIE, F.col(order[1]).cast("bigint"))
-        tie = F.col(_TIE)
-    (cuts,), _ = measure_cuts(keyed, [(F.col(_ORDER), tie)], hot_rows)
+        tie = _TIE
+    columns = (F.col(_ORDER), None if tie is None else F.col(tie))
+    (cuts,), _ = measure_cuts(keyed, [columns], hot_rows)
     # At most rows / limit keys can exceed the limit, so this side is bounded.
     limit = max(hot_rows, rows // MAX_HOT_KEYS)
     hot = (
         df.groupBy(F.col(key).alias(_HOT)).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit)
     ).select(_HOT)
-    cells = cuts.assign(keyed, F.col(_ORDER), tie)
+    cells = cuts.assign(keyed, _ORDER, tie)
     number = (F.col(CODE) + 1) * (MAX_CUTS + 1) + F.col(SUB) + 1
     joined = cells.join(F.broadcast(hot), F.col(key) == F.col(_HOT), "left")
     cell = F.when(F.col(_HOT).isNotNull(), number).otherwise(0)
@@ -63,10 +64,10 @@ def lag_by_key(
     )
     if not any_hot:
         return lagged.drop("_n", CELL)
+    # A plain order column is hash-aggregated, a struct needs a sort.
+    latest = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     ends = (
-        cells.filter(F.col(CELL) > 0)
-        .groupBy(key, CELL)
-        .agg(F.max_by(value, F.struct(*order)).alias("_end"))
+        cells.filter(F.col(CELL) > 0).groupBy(key, CELL).agg(F.max_by(value, latest).alias("_end"))
     )
     along = Window.partitionBy(key).orderBy(CELL)
     carried = ends.select(key, CELL, F.lag("_end").over(along).alias("_carried"))

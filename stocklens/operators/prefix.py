@@ -66,7 +66,7 @@ def distributed_prefix(
         in_cell = Window.partitionBy(F.lit(0))
         before_cell, before_code, sum_before = F.lit(0), F.lit(0), F.lit(0)
     else:
-        cells = cuts.assign(keyed, F.col(_KEY), None if tie is None else F.col(_TIE))
+        cells = cuts.assign(keyed, _KEY, None if tie is None else _TIE)
         offsets = _cell_offsets(cells, running)
         in_cell = Window.partitionBy(CODE, SUB)
         before_cell, before_code, sum_before = (
