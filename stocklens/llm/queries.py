@@ -6,8 +6,9 @@ import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stocklens.llm import token_files
+from stocklens.llm import decontamination, token_files
 from stocklens.sources.scratch import SETTING, run_path
 
 END_ID = 2
@@ -30,6 +31,18 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def op2_decontamination(spark: SparkSession, directory: str) -> DataFrame:
+    found = decontamination.contamination(
+        table(spark, directory, "documents"), table(spark, directory, "benchmark"))
+    items = F.array_join("item_ids", ",")
+    return found.select(
+        "doc_id", "n_words", decontamination.hit_words().alias("n_hit"),
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(items.cast("binary"), 256).alias("items_sha256"),
+        (F.size("hits") > 0).alias("contaminated"),
+    )
+
+
 def op8_token_files(spark: SparkSession, directory: str) -> DataFrame:
     shared(spark)
     path = run_path(spark, "tokens")
@@ -39,6 +52,7 @@ def op8_token_files(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontamination": op2_decontamination,
     "op8_token_files": op8_token_files,
 }
 ORACLE: dict[str, str] = {}
