@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stocklens.llm import decontamination, token_files
+from stocklens.llm import decontamination, quality, token_files
+from stocklens.llm.labelled import held_out
 from stocklens.sources.scratch import SETTING, run_path
 
 END_ID = 2
@@ -43,6 +44,17 @@ def op2_decontamination(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def op5_quality(spark: SparkSession, directory: str) -> DataFrame:
+    documents = table(spark, directory, "documents")
+    test = held_out(5, 0)
+    forest = quality.train(documents, table(spark, directory, "labels"), ~test)
+    scored = quality.score(documents.select("doc_id", "text"), forest)
+    return scored.select(
+        "doc_id", test.alias("held_out"), "score",
+        (F.col("score") >= quality.LIMIT).cast("int").alias("predicted"),
+    )
+
+
 def op8_token_files(spark: SparkSession, directory: str) -> DataFrame:
     shared(spark)
     path = run_path(spark, "tokens")
@@ -53,6 +65,7 @@ def op8_token_files(spark: SparkSession, directory: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
+    "op5_quality": op5_quality,
     "op8_token_files": op8_token_files,
 }
 ORACLE: dict[str, str] = {}
