@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stocklens.llm import decontamination, quality, token_files
+from stocklens.llm import decontamination, quality, token_files, toxicity
 from stocklens.llm.labelled import held_out
 from stocklens.sources.scratch import SETTING, run_path
 
@@ -55,6 +55,18 @@ def op5_quality(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def op7_toxicity(spark: SparkSession, directory: str) -> DataFrame:
+    shared(spark)
+    documents = table(spark, directory, "documents")
+    test = held_out(4, 2)
+    model = toxicity.train(documents, table(spark, directory, "labels"), ~test)
+    scored = toxicity.score(documents.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id", test.alias("held_out"), "score",
+        (F.col("score") >= toxicity.LIMIT).cast("int").alias("predicted"),
+    )
+
+
 def op8_token_files(spark: SparkSession, directory: str) -> DataFrame:
     shared(spark)
     path = run_path(spark, "tokens")
@@ -66,6 +78,7 @@ def op8_token_files(spark: SparkSession, directory: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op5_quality": op5_quality,
+    "op7_toxicity": op7_toxicity,
     "op8_token_files": op8_token_files,
 }
 ORACLE: dict[str, str] = {}
