@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stocklens.llm import decontamination, quality, token_files, toxicity
+from stocklens.llm import decontamination, line_dedup, oracle, quality, token_files, toxicity
 from stocklens.llm.labelled import held_out
 from stocklens.sources.scratch import SETTING, run_path
 
@@ -44,6 +44,15 @@ def op2_decontamination(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def op3_line_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    shared(spark)
+    documents = table(spark, directory, "documents").select("doc_id", "text")
+    return line_dedup.drop_repeated_lines(documents).select(
+        "doc_id", "n_lines", "n_dropped",
+        F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 def op5_quality(spark: SparkSession, directory: str) -> DataFrame:
     documents = table(spark, directory, "documents")
     test = held_out(5, 0)
@@ -77,8 +86,9 @@ def op8_token_files(spark: SparkSession, directory: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
+    "op3_line_dedup": op3_line_dedup,
     "op5_quality": op5_quality,
     "op7_toxicity": op7_toxicity,
     "op8_token_files": op8_token_files,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = oracle.ORACLE
