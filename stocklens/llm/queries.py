@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stocklens.llm import decontamination, line_dedup, oracle, quality, token_files, toxicity
+from stocklens.llm import decontamination, line_dedup, oracle, quality, secret_scan, token_files, toxicity
 from stocklens.llm.labelled import held_out
 from stocklens.sources.scratch import SETTING, run_path
 
@@ -53,6 +53,17 @@ def op3_line_dedup(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def op4_secret_scan(spark: SparkSession, directory: str) -> DataFrame:
+    shared(spark)
+    found = secret_scan.scan_secrets(table(spark, directory, "documents"))
+    base = secret_scan.span_list(secret_scan.KINDS[:3])
+    return found.select(
+        "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in secret_scan.KINDS[:3]],
+        F.sha2(base.cast("binary"), 256).alias("base_sha256"),
+        secret_scan.span_list(secret_scan.KINDS).alias("spans"),
+    )
+
+
 def op5_quality(spark: SparkSession, directory: str) -> DataFrame:
     documents = table(spark, directory, "documents")
     test = held_out(5, 0)
@@ -87,6 +98,7 @@ def op8_token_files(spark: SparkSession, directory: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_line_dedup": op3_line_dedup,
+    "op4_secret_scan": op4_secret_scan,
     "op5_quality": op5_quality,
     "op7_toxicity": op7_toxicity,
     "op8_token_files": op8_token_files,
