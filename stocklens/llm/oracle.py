@@ -7,6 +7,54 @@ def _lower(text: str) -> str:
     return f"translate({text}, '{_UPPER}', '{_UPPER.lower()}')"
 
 
+def _op1(rounds: int = 20, cut_rounds: int = 12, budget: float = 0.8) -> str:
+    flatten = {"source": 0.7, "lang": 0.8, "topic": 0.9}
+    parts = ["""
+docs AS MATERIALIZED (
+    SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
+           CASE WHEN contains(coalesce(text, ''), 'icensed under') THEN 'legal'
+                WHEN contains(coalesce(text, ''), ' | ') THEN 'table'
+                WHEN contains(coalesce(text, ''), '!!') THEN 'shouting' ELSE 'prose' END AS topic,
+           len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens
+    FROM documents
+), cells AS MATERIALIZED (
+    SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS n FROM docs GROUP BY ALL
+), total AS MATERIALIZED (SELECT sum(n) AS n FROM cells)"""]
+    for m, power in flatten.items():
+        parts.append(f"""
+t_{m} AS MATERIALIZED (
+    SELECT {m}, p / sum(p) OVER () AS share
+    FROM (SELECT {m}, pow(sum(n), {power}) AS p FROM cells GROUP BY {m}))""")
+    parts.append("""
+w0 AS MATERIALIZED (SELECT cells.*, cells.n / total.n AS w FROM cells, total)""")
+    last = "w0"
+    for i in range(rounds):
+        for m in flatten:
+            new = f"w{i}_{m}"
+            parts.append(f"""
+{new} AS MATERIALIZED (
+    SELECT a.* REPLACE (w * coalesce(share / nullif(sum(w) OVER (PARTITION BY a.{m}), 0), 1) AS w)
+    FROM {last} a JOIN t_{m} USING ({m}))""")
+            last = new
+    parts.append(f"""
+f AS MATERIALIZED (
+    SELECT a.*, coalesce(w * total.n / nullif(a.n, 0), 1) AS factor FROM {last} a, total),
+c0 AS MATERIALIZED (SELECT {budget}::DOUBLE AS c)""")
+    for i in range(cut_rounds):
+        parts.append(f"""
+c{i + 1} AS MATERIALIZED (
+    SELECT greatest(c, coalesce(({budget} * sum(n) - coalesce(sum(n) FILTER (factor * c >= 1), 0))
+           / nullif(sum(n * factor) FILTER (factor * c < 1), 0), c)) AS c
+    FROM f, c{i} GROUP BY c)""")
+    return "WITH " + ",".join(parts) + f"""
+SELECT doc_id, source, lang, topic, n_tokens, round(factor, 6) AS factor,
+       round(least(factor * c, 1), 6) AS probability,
+       ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT
+           / 281474976710656.0 < round(least(factor * c, 1), 6) AS sampled
+FROM docs JOIN f USING (source, lang, topic), c{cut_rounds}
+"""
+
+
 _OP3 = f"""
 WITH lines AS (
     SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -29,5 +77,6 @@ FROM judged GROUP BY doc_id
 """
 
 ORACLE: dict[str, str] = {
+    "op1_mixing": _op1(),
     "op3_line_dedup": _OP3,
 }

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stocklens.llm import decontamination, line_dedup, oracle, quality, secret_scan, token_files, toxicity
+from stocklens.llm import decontamination, line_dedup, mixing, oracle, quality, secret_scan, token_files, toxicity
 from stocklens.llm.labelled import held_out
 from stocklens.sources.scratch import SETTING, run_path
 
@@ -32,6 +32,11 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, directory: str) -> DataFrame:
+    shared(spark)
+    return mixing.mixture(table(spark, directory, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, directory: str) -> DataFrame:
     found = decontamination.contamination(
         table(spark, directory, "documents"), table(spark, directory, "benchmark"))
@@ -96,6 +101,7 @@ def op8_token_files(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
     "op3_line_dedup": op3_line_dedup,
     "op4_secret_scan": op4_secret_scan,
