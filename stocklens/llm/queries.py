@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stocklens.llm import decontamination, line_dedup, mixing, oracle, quality, secret_scan, token_files, toxicity
+from stocklens.llm import decontamination, fingerprints, line_dedup, mixing, oracle, quality, secret_scan, token_files, toxicity
 from stocklens.llm.labelled import held_out
 from stocklens.sources.scratch import SETTING, run_path
 
@@ -80,6 +80,10 @@ def op5_quality(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def op6_fingerprints(spark: SparkSession, directory: str) -> DataFrame:
+    return fingerprints.compare_with_next(table(spark, directory, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, directory: str) -> DataFrame:
     shared(spark)
     documents = table(spark, directory, "documents")
@@ -106,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_secret_scan": op4_secret_scan,
     "op5_quality": op5_quality,
+    "op6_fingerprints": op6_fingerprints,
     "op7_toxicity": op7_toxicity,
     "op8_token_files": op8_token_files,
 }
