@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stocklens.llm.text import LETTERS, Hasher, byte_rows, grams, mix, sliding_argmin, whole
+from stocklens.llm.text import LETTERS, Hasher, byte_rows, distinct, grams, mix, sliding_argmin, whole
 
 #: Words of a gram and grams of a window: spans of 10 words are never missed.
 GRAM, WINDOW = 5, 6
@@ -40,7 +40,7 @@ SCHEMA = (
 def fingerprints(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and places of the winnowed grams of a text of at least ``SPAN`` words."""
     hashes = grams(words, GRAM)
-    places = np.unique(sliding_argmin(hashes, WINDOW))
+    places = distinct(sliding_argmin(hashes, WINDOW))
     return hashes[places], places
 
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stocklens.llm import decontamination, fingerprints, line_dedup, mixing, oracle, quality, secret_scan, token_files, toxicity
+from stocklens.llm import decontamination, fingerprints, line_dedup, mixing, ngram_join, oracle, quality, secret_scan, token_files, toxicity
 from stocklens.llm.labelled import held_out
 from stocklens.sources.scratch import SETTING, run_path
 
@@ -104,6 +104,11 @@ def op8_token_files(spark: SparkSession, directory: str) -> DataFrame:
     return token_files.checksums(token_files.read_tokens(spark, path))
 
 
+def op9_ngram_join(spark: SparkSession, directory: str) -> DataFrame:
+    shared(spark)
+    return ngram_join.ngram_components(table(spark, directory, "documents"), k=4, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
@@ -113,5 +118,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_fingerprints": op6_fingerprints,
     "op7_toxicity": op7_toxicity,
     "op8_token_files": op8_token_files,
+    "op9_ngram_join": op9_ngram_join,
 }
 ORACLE: dict[str, str] = oracle.ORACLE
