@@ -76,7 +76,34 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped
 FROM judged GROUP BY doc_id
 """
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+_OP10 = f"""
+WITH docs AS MATERIALIZED (SELECT doc_id, {_WORDS} AS words FROM documents),
+placed AS (
+    SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS place FROM docs
+), windows AS MATERIALIZED (
+    SELECT doc_id, place, array_to_string(words[place:place + 12], ' ') AS phrase FROM placed
+), held AS (SELECT phrase, min(doc_id) AS holder FROM windows GROUP BY phrase),
+gone AS (
+    SELECT DISTINCT doc_id, unnest(range(place, place + 13)) AS place
+    FROM windows JOIN held USING (phrase) WHERE holder < doc_id
+), words AS (
+    SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM docs
+), judged AS (
+    SELECT words.*, gone.place IS NOT NULL AS dropped FROM words LEFT JOIN gone USING (doc_id, place)
+), counted AS (
+    SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE dropped) AS n_removed,
+           string_agg(word, ' ' ORDER BY place) FILTER (WHERE NOT dropped) AS kept
+    FROM judged GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN counted USING (doc_id)
+"""
+
 ORACLE: dict[str, str] = {
     "op1_mixing": _op1(),
     "op3_line_dedup": _OP3,
+    "op10_substring_dedup": _OP10,
 }

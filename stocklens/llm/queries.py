@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stocklens.llm import decontamination, fingerprints, line_dedup, mixing, ngram_join, oracle, quality, secret_scan, token_files, toxicity
+from stocklens.llm import decontamination, fingerprints, line_dedup, mixing, ngram_join, oracle, quality, secret_scan, substring_dedup, token_files, toxicity
 from stocklens.llm.labelled import held_out
 from stocklens.sources.scratch import SETTING, run_path
 
@@ -109,6 +109,13 @@ def op9_ngram_join(spark: SparkSession, directory: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, directory, "documents"), k=4, percent=85)
 
 
+def op10_substring_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    shared(spark)
+    return substring_dedup.remove_repeats(
+        table(spark, directory, "documents"), value=lambda kept: F.sha2(kept.cast("binary"), 256),
+    ).select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
@@ -119,5 +126,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op8_token_files": op8_token_files,
     "op9_ngram_join": op9_ngram_join,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLE: dict[str, str] = oracle.ORACLE
