@@ -30,8 +30,7 @@ WITH shipped AS (
   SELECT *, CAST(round(p_retailprice * 100, 0) AS BIGINT) * (55 + p_size % 30) AS scaled FROM part
 ), every_product AS (
   SELECT p_partkey AS product_id, p_name AS name,
-    CAST(list_position(['ECONOMY','LARGE','MEDIUM','PROMO','SMALL','STANDARD'], p_type) AS INT)
-      AS category_id,
+    ('0x' || substr(md5(p_type), 1, 15))::BIGINT AS category_id,
     d.supp AS supplier_id, CAST(substring(p_brand, 7) AS INT) AS location_id,
     CAST(CASE WHEN p_partkey % 20 = 0 THEN 0 ELSE p_size END AS INT) AS stock,
     5 AS min_stock, 10 AS reorder_point, 100 AS max_stock,
@@ -45,8 +44,7 @@ WITH shipped AS (
   LEFT JOIN delivered d ON d.part = p_partkey AND d.place = 1
 ), cat AS (
   SELECT DISTINCT p_type AS category,
-    CAST(list_position(['ECONOMY','LARGE','MEDIUM','PROMO','SMALL','STANDARD'], p_type) AS INT)
-      AS category_id
+    ('0x' || substr(md5(p_type), 1, 15))::BIGINT AS category_id
   FROM part
 ), sup AS (
   SELECT s_suppkey AS supplier_id, s_name AS supplier, CAST(2 + s_suppkey % 9 AS INT) AS lead_days,
@@ -178,7 +176,7 @@ FROM (SELECT count(*) AS products, count(*) FILTER (WHERE active) AS active_prod
   {CRITICAL} AS critical_products, {_sum('stock_value', 'stock_value')},
   {_sum('revenue_month', 'revenue_month')}, {_sum('cost_month', 'cost_month')},
   {EXACT_MEAN} AS mean_margin_pct,
-  coalesce(round(avg(turnover_month) FILTER (WHERE turnover_month > 0), 6), 0.0) AS mean_turnover,
+  coalesce(avg(turnover_month) FILTER (WHERE turnover_month > 0), 0.0) AS mean_turnover,
   count(*) FILTER (WHERE sales_month = 0) AS no_sales_products FROM frame)"""
 
 
@@ -375,7 +373,7 @@ SELECT l_orderkey * 10 + l_linenumber AS movement_id, l_partkey AS product_id,
   CASE WHEN l_returnflag = 'R' THEN 'ENTRADA' ELSE 'SALIDA' END AS kind,
   CAST(l_quantity AS INT) AS quantity, l_shipdate AS moved_at
 FROM lineitem ORDER BY l_shipdate DESC, 1, 2, 3, 4 LIMIT 100""",
-    "business_kpis": KPIS,
+    "business_kpis": f"SELECT * REPLACE (round(mean_turnover, 6) AS mean_turnover) FROM ({KPIS})",
     "dashboard_kpis": f"""
 SELECT products, active_products, critical_products, stock_value, revenue_month, profit_month,
   mean_margin_pct, critical_pct FROM ({KPIS})""",
@@ -561,7 +559,7 @@ SELECT {CRITICAL} AS critical_products, count(*) FILTER (WHERE stock > 0) AS in_
   count(last_sale) AS ever_sold, count(*) AS products FROM allp""",
     "value_counts": "SELECT stock_state, count(*) AS products FROM frame GROUP BY stock_state",
     "mean_turnover": """
-SELECT coalesce(round(avg(turnover_month) FILTER (WHERE turnover_month > 0), 6), 0.0)
+SELECT round(coalesce(avg(turnover_month) FILTER (WHERE turnover_month > 0), 0.0), 6)
   AS mean_turnover FROM frame""",
     "quantiles": _QUANTILES,
     "global_rank": f"SELECT product_id, sales_month, rank FROM {_SOLD_RANKS}",

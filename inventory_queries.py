@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,33 +27,51 @@ Query = Callable[[SparkSession, str], DataFrame]
 SMALL_CELL = 64
 
 
-def _tables(report: Callable[[Tables], DataFrame], suppliers: bool = False) -> Query:
+@dataclass(frozen=True)
+class Report:
+    """A query that may look back a number of days only."""
+
+    make: Callable[[SparkSession, str, int | None], DataFrame]
+    days: int | None = None
+
+    def __call__(self, spark: SparkSession, directory: str) -> DataFrame:
+        return self.make(spark, directory, self.days)
+
+
+def _tables(report: Callable[[Tables], DataFrame], suppliers: bool = False) -> Report:
     """A report on the tables; ``suppliers`` when it looks at the main supplier."""
-    return lambda spark, d: report(star.star_tables(spark, d, main_supplier=suppliers))
+    return Report(lambda spark, d, days: report(
+        star.star_tables(spark, d, main_supplier=suppliers, days=days)))
 
 
-def _selection(report: Callable[[DataFrame], DataFrame], *dims: str) -> Query:
+def _selection(report: Callable[[DataFrame], DataFrame], *dims: str) -> Report:
     """A report on the analysis frame of all active products with some dimensions."""
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        t = star.star_tables(spark, d, main_supplier="suppliers" in dims)
+    def make(spark: SparkSession, d: str, days: int | None) -> DataFrame:
+        t = star.star_tables(spark, d, main_supplier="suppliers" in dims, days=days)
         return report(frame.analysis_frame(t, dims=dims))
 
-    return run
+    return Report(make)
 
 
-def _products(report: Callable[[DataFrame], DataFrame], suppliers: bool = False) -> Query:
-    return lambda spark, d: report(star.products(spark, d, main_supplier=suppliers))
+def _products(report: Callable[[DataFrame], DataFrame], suppliers: bool = False) -> Report:
+    return Report(lambda spark, d, days: report(
+        star.products(spark, d, main_supplier=suppliers, days=days)))
 
 
-def _measure(transform: Callable[[DataFrame], DataFrame], *columns: str) -> Query:
+def _measure(transform: Callable[[DataFrame], DataFrame], *columns: str) -> Report:
     return _products(lambda p: transform(p).select("product_id", *columns))
 
 
-def _label(column) -> Query:
+def _label(column) -> Report:
     """A classification of every product; the column is built per call."""
     return _products(lambda p: p.select("product_id", column().alias("label")))
 
 
+def _digits(df: DataFrame, column: str) -> DataFrame:
+    """A mean of doubles to the digits that do not depend on the order of adding."""
+    return df.withColumn(column, F.round(column, 6))
+
+
 # Measures ------------------------------------------------------------------
 
 MEASURES: dict[str, Query] = {
@@ -214,7 +233,8 @@ OPERATORS: dict[str, Query] = {
     ),
     "conditional_counts": _products(_conditional_counts),
     "value_counts": _selection(lambda df: value_counts(df, "stock_state")),
-    "mean_turnover": _selection(lambda df: df.agg(kpis.mean_turnover().alias("mean_turnover"))),
+    "mean_turnover": _selection(lambda df: _digits(
+        df.agg(kpis.mean_turnover().alias("mean_turnover")), "mean_turnover")),
     "quantiles": _products(_quantiles),
     "global_rank": _products(lambda p: prefix.global_rank(_sold(p), "sales_month")),
     "global_row_number": _products(
@@ -297,7 +317,7 @@ REPORTS: dict[str, Query] = {
             "movement_id", "product_id", "kind", "quantity", "moved_at"
         )
     ),
-    "business_kpis": _selection(kpis.business_kpis),
+    "business_kpis": _selection(lambda df: _digits(kpis.business_kpis(df), "mean_turnover")),
     "dashboard_kpis": _selection(kpis.dashboard_kpis),
     "insights": _selection(kpis.insights),
     "critical_list": _selection(stock.critical_list, "categories", "suppliers"),
@@ -305,8 +325,10 @@ REPORTS: dict[str, Query] = {
     "purchase_recommendations": _selection(stock.purchase_recommendations, "suppliers"),
     "purchase_total": _selection(stock.purchase_total),
     "trend_forecast": _selection(sales.trend_forecast),
-    "trend_forecast_kpis": _selection(sales.trend_forecast_kpis),
-    "category_trend": _selection(sales.category_trend, "categories"),
+    "trend_forecast_kpis": _selection(
+        lambda df: _digits(sales.trend_forecast_kpis(df), "mean_growth_pct")),
+    "category_trend": _selection(
+        lambda df: _digits(sales.category_trend(df), "mean_growth_pct"), "categories"),
     "financial_kpis": _selection(finance.financial_kpis),
     "abc_filtered": _selection(
         lambda df: finance.abc_filtered(select.select_inventory(df, category="SMALL")),
@@ -421,7 +443,7 @@ def _forecast(spark: SparkSession, d: str, **options) -> forecast.Forecast:
 
 
 def _importance(spark: SparkSession, d: str) -> DataFrame:
-    result = _forecast(spark, d, feature_cols=features.DEMAND_FEATURES, trees=20)
+    result = _forecast(spark, d, feature_cols=features.DEMAND_FEATURES)
     return forecast.feature_importance(result, spark)
 
 
@@ -440,7 +462,7 @@ def _scenarios(spark: SparkSession, d: str) -> DataFrame:
             "high_season": {"demand_multiplier": 1.5},
             "dearer": {"price_change": 0.1},
         },
-        AS_OF, trees=20,
+        AS_OF,
     )
     return rows
 
@@ -475,6 +497,39 @@ MODELS: dict[str, Query] = {
     "recommendations": _recommendations,
 }
 
+# Days of sales history that a report looks back; the others need all of it.
+LOOK_BACK: dict[int, tuple[str, ...]] = {
+    30: (
+        "view_profitability", "category_profitability", "category_profitability_brief",
+        "top15_profitable", "inventory_turnover", "location_utilization", "executive_kpis",
+        "abc_analysis", "abc_analysis_bucketed", "top15_sales", "with_margin", "with_revenue",
+        "with_turnover", "with_months_of_stock", "with_annual_turnover", "with_days_of_stock",
+        "with_reorder_qty", "stock_state4", "stock_state4_icon", "stock_state3",
+        "turnover_class_annual", "turnover_class_months", "reorder_priority", "active",
+        "critical", "slow_moving", "location_left_join", "quantiles", "global_rank",
+        "global_row_number", "running_total", "distributed_prefix", "quintile_label",
+    ),
+    60: (
+        "sales_projection", "monthly_comparison", "business_kpis", "dashboard_kpis", "insights",
+        "critical_summary", "purchase_total", "trend_forecast", "trend_forecast_kpis",
+        "category_trend", "financial_kpis", "abc_filtered", "abc_class_counts", "abc_top_a",
+        "category_summary", "top20_sales_report", "turnover_report", "no_movement_total",
+        "margin_report", "margin_stats", "stock_state_distribution", "selection_totals",
+        "with_growth", "with_projection", "with_suggested_purchase", "future_stock_risk",
+        "stockout_risk", "notable_forecasts", "value_counts", "mean_turnover", "with_totals",
+        "top_k",
+    ),
+    90: (
+        "anomaly_kind",
+    ),
+    365: (
+        "view_top_products", "view_top_products_bucketed", "seasonal_patterns", "with_averages",
+        "season_class",
+    ),
+}
+
 QUERIES: dict[str, Query] = {
     **REPORTS, **MEASURES, **CLASSES, **OPERATORS, **MOVEMENTS, **MODELS
 }
+QUERIES |= {name: replace(QUERIES[name], days=days)
+            for days, names in LOOK_BACK.items() for name in names}

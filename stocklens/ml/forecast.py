@@ -139,7 +139,7 @@ def feature_importance(forecast: Forecast, spark) -> DataFrame:
 def apply_scenario(df: DataFrame, demand_multiplier: float = 1.0, price_change: float = 0.0) -> DataFrame:
     return df.withColumns({
         "sales_month": F.col("sales_month") * F.lit(float(demand_multiplier)),
-        "price": (F.col("price") * F.lit(str(1 + price_change)).cast("decimal(9,4)")).cast("decimal(18,4)"),
+        "price": (F.col("price") * F.lit(f"{1 + price_change:.12f}").cast("decimal(18,12)")).cast("decimal(28,12)"),
     })
 
 

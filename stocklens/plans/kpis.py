@@ -30,7 +30,7 @@ def executive_kpis(t: Tables) -> DataFrame:
 def mean_turnover() -> Column:
     """A5: mean over the products that turn at all; 0 if none does."""
     turning = F.when(F.col("turnover_month") > 0, F.col("turnover_month"))
-    return F.coalesce(F.round(F.avg(turning), 6), F.lit(0.0))
+    return F.coalesce(F.avg(turning), F.lit(0.0))
 
 
 def _share(part: str, whole: str) -> Column:

@@ -125,7 +125,7 @@ def trend_forecast_kpis(df: DataFrame) -> DataFrame:
     """Products at risk, mean growth and units to buy."""
     return forecast_frame(df).agg(
         F.count_if(F.col("risk") == L.FUTURE_STOCK[0]).alias("at_risk"),
-        F.round(F.avg("growth_pct"), 6).alias("mean_growth_pct"),
+        F.avg("growth_pct").alias("mean_growth_pct"),
         F.coalesce(total("suggested_purchase"), F.lit(0)).alias("suggested_purchase"),
     )
 
@@ -139,7 +139,7 @@ def category_trend(df: DataFrame) -> DataFrame:
         .agg(
             total("sales_month").alias("units_month"),
             total("sales_prev_month").alias("units_prev_month"),
-            F.round(F.avg("growth_pct"), 6).alias("mean_growth_pct"),
+            F.avg("growth_pct").alias("mean_growth_pct"),
         )
         .orderBy("category")
     )

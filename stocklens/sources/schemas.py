@@ -55,7 +55,7 @@ def _f(name, header, type_, *, required=False, default=None) -> Field:
 
 # File headers, defaults, required columns and foreign keys.
 CATEGORIES = Table("categories", "categorias", "category_id", (
-    _f("category_id", "categoria_id", INT, required=True),
+    _f("category_id", "categoria_id", LONG, required=True),
     _f("category", "nombre_categoria", STR, required=True),
     _f("description", "descripcion", STR),
     _f("target_margin", "margen_promedio", T.DecimalType(5, 2), default="0.30"),
@@ -92,7 +92,7 @@ PRODUCTS = Table("products", "inventario", "product_id", (
     _f("product_id", "producto_id", LONG, required=True),
     _f("name", "nombre", STR, required=True),
     _f("description", "descripcion", STR),
-    _f("category_id", "categoria_id", INT),
+    _f("category_id", "categoria_id", LONG),
     _f("supplier_id", "proveedor_id", LONG),
     _f("location_id", "ubicacion_id", INT),
     _f("stock", "stock_actual", INT, required=True, default=0),

@@ -8,6 +8,8 @@ map side, so a frequent part costs one row per supplier and task in the shuffle.
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,12 +21,6 @@ AS_OF = "2001-08-01"
 NOW = "2001-08-01 00:00:00"
 LEVEL_MIN = 100
 
-# Supplier keys lie below this.
-KEY_SPAN = 2**31
-
-# The part types; a category's id is its position.
-PART_TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
-
 
 # The columns that are used. With a schema Spark need not open files to plan.
 STAR_SCHEMAS = {
@@ -45,26 +41,37 @@ def star_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.schema(STAR_SCHEMAS[name]).parquet(f"{directory}/{name}.parquet")
 
 
-def _sales(lineitem: DataFrame, as_of: str, main_supplier: bool) -> DataFrame:
-    """Units per window, last sale and main supplier per part."""
+# Sales counters: the days before "today" that they leave out and reach back to.
+COUNTERS = {
+    "sales_month": (0, 30),
+    "sales_prev_month": (30, 60),
+    "sales_quarter": (0, 90),
+    "sales_year": (0, 365),
+}
+
+
+def _sales(lineitem: DataFrame, as_of: str, main_supplier: bool, days: int | None) -> DataFrame:
+    """Units per window, last sale and main supplier per part.
+
+    With ``days`` only that many days are read, and only what they tell is given.
+    """
     day = F.lit(as_of).cast("date")
     upto = lineitem.filter(F.col("l_shipdate") <= F.lit(as_of).cast("timestamp_ntz"))
+    if days is not None:
+        first = date.fromisoformat(as_of) - timedelta(days=days - 1)
+        upto = upto.filter(F.col("l_shipdate") >= F.lit(str(first)).cast("timestamp_ntz"))
     shipped = F.col("l_shipdate").cast("date")
 
     def units(first_age: int, last_age: int):
         inside = (shipped > F.date_sub(day, last_age)) & (shipped <= F.date_sub(day, first_age))
         return F.sum(F.when(inside, F.col("l_quantity")).otherwise(0.0))
 
-    windows = {
-        "sales_month": units(0, 30),
-        "sales_prev_month": units(30, 60),
-        "sales_quarter": units(0, 90),
-        "sales_year": units(0, 365),
-    }
+    windows = {n: units(*ages) for n, ages in counters(days).items()}
     last_sale = F.max(shipped).alias("last_sale")
     if not main_supplier:
         return upto.groupBy("l_partkey").agg(
-            *[c.cast("int").alias(n) for n, c in windows.items()], last_sale
+            *[c.cast("int").alias(n) for n, c in windows.items()],
+            *([last_sale] if days is None else []),
         )
     per_supplier = upto.groupBy("l_partkey", "l_suppkey").agg(
         *[c.alias(n) for n, c in windows.items()],
@@ -72,14 +79,17 @@ def _sales(lineitem: DataFrame, as_of: str, main_supplier: bool) -> DataFrame:
         last_sale,
     )
     # Largest quantity, then lowest key, packed into one number: the maximum of
-    # a long is hash-aggregated, while that of a struct would need a sort.
-    packed = F.col("quantity").cast("bigint") * KEY_SPAN + (KEY_SPAN - 1 - F.col("l_suppkey"))
+    # a decimal is hash-aggregated, while that of a struct would need a sort. A
+    # number that does not fit raises an error.
+    span, top = (F.lit(str(n)).cast("decimal(20,0)") for n in (2**64, 2**63 - 1))
+    units_sold = F.col("quantity").cast("decimal(17,0)")
+    packed = units_sold * span + (top - F.col("l_suppkey").cast("decimal(20,0)"))
     per_part = per_supplier.groupBy("l_partkey").agg(
         *[F.sum(n).cast("int").alias(n) for n in windows],
         F.max("last_sale").alias("last_sale"),
         F.max(packed).alias("packed"),
     )
-    main = F.lit(KEY_SPAN - 1) - F.col("packed") % KEY_SPAN
+    main = (top - F.pmod(F.col("packed"), span)).cast("bigint")
     return per_part.withColumn("supplier_id", main).drop("packed")
 
 
@@ -95,39 +105,55 @@ def _brand_number():
     return F.substring("p_brand", 7, 4).cast("int")
 
 
+def counters(days: int | None) -> dict[str, tuple[int, int]]:
+    """The counters that can be told from the last ``days`` days."""
+    return {n: ages for n, ages in COUNTERS.items() if days is None or ages[1] <= days}
+
+
+def _category_id():
+    """A number of 60 bits from the part type: any type has its own, without a list."""
+    return F.conv(F.substring(F.md5(F.col("p_type").cast("binary")), 1, 15), 16, 10).cast("bigint")
+
+
 def products(
-    spark: SparkSession, directory: str, as_of: str = AS_OF, main_supplier: bool = True
+    spark: SparkSession, directory: str, as_of: str = AS_OF, main_supplier: bool = True,
+    days: int | None = None,
 ) -> DataFrame:
     """The product snapshot.
 
     The main supplier needs every (part, supplier) pair. Reports that do not
     look at suppliers can leave it out, and one aggregation per part is left.
+    Reports that look back a number of ``days`` only can say so: older sales
+    are then not read, and the snapshot lacks the last sale and the counters
+    that reach back further.
     """
+    if main_supplier and days is not None:
+        raise ValueError("the main supplier needs the whole history")
     part = star_table(spark, directory, "part")
-    sales = _sales(star_table(spark, directory, "lineitem"), as_of, main_supplier)
+    sales = _sales(star_table(spark, directory, "lineitem"), as_of, main_supplier, days)
     key = F.col("p_partkey")
-    counters = ("sales_month", "sales_prev_month", "sales_quarter", "sales_year")
+    known = counters(days)
     snapshot = part.join(sales, key == F.col("l_partkey"), "left").select(
         key.alias("product_id"),
         F.col("p_name").alias("name"),
-        F.array_position(F.lit(list(PART_TYPES)), F.col("p_type")).cast("int").alias("category_id"),
+        _category_id().alias("category_id"),
         *(["supplier_id"] if main_supplier else []),
         _brand_number().alias("location_id"),
         F.when(key % 20 == 0, 0).otherwise(F.col("p_size")).alias("stock"),
         _unit_cost().alias("unit_cost"),
         F.col("p_retailprice").cast("decimal(10,2)").alias("price"),
-        *[F.coalesce(c, F.lit(0)).alias(c) for c in counters],
-        "last_sale",
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in known],
+        *(["last_sale"] if days is None else []),
         (key % 50 != 7).alias("active"),
     )
-    return conform(snapshot, "products", NOW)
+    unknown = [] if days is None else [c for c in COUNTERS if c not in known] + ["last_sale"]
+    return conform(snapshot, "products", NOW).drop(*unknown)
 
 
 def categories(spark: SparkSession, directory: str) -> DataFrame:
     kinds = star_table(spark, directory, "part").select("p_type").distinct()
-    position = F.array_position(F.lit(list(PART_TYPES)), F.col("p_type")).cast("int")
     return conform(
-        kinds.select(position.alias("category_id"), F.col("p_type").alias("category")),
+        kinds.select(_category_id().alias("category_id"), F.col("p_type").alias("category")),
         "categories", NOW,
     )
 
@@ -250,10 +276,11 @@ def purchase_lines(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def star_tables(
-    spark: SparkSession, directory: str, as_of: str = AS_OF, main_supplier: bool = True
+    spark: SparkSession, directory: str, as_of: str = AS_OF, main_supplier: bool = True,
+    days: int | None = None,
 ) -> Tables:
     return Tables(
-        products=lambda: products(spark, directory, as_of, main_supplier),
+        products=lambda: products(spark, directory, as_of, main_supplier, days),
         categories=lambda: categories(spark, directory),
         suppliers=lambda: suppliers(spark, directory),
         locations=lambda: locations(spark, directory),
