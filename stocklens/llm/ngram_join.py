@@ -126,7 +126,7 @@ def _measure(shared, k: int, percent: int):
         for batch in batches:
             sizes, classes, first = [], [], []
             found: list[list[np.ndarray]] = [[] for _ in _SEEDS]
-            for data in byte_rows(batch.column(1)):
+            for data in byte_rows(batch.column(2)):
                 tokens = shingles(data, hasher, k)
                 key = _class(tokens) if len(tokens) else None
                 new = key is not None and key not in met
@@ -138,14 +138,15 @@ def _measure(shared, k: int, percent: int):
                         prefixes(tokens, levels, percent) if new else [none] * len(_SEEDS)):
                     found[at].append(prefix.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()),
-                 pa.array(first, pa.bool_()), *(lists(f, pa.int64()) for f in found)],
-                ["doc_id", "n", "class", "first", "prefix0", "prefix1"])
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()),
+                 pa.array(classes, pa.int64()), pa.array(first, pa.bool_()),
+                 *(lists(f, pa.int64()) for f in found)],
+                ["doc_id", "text_key", "n", "class", "first", "prefix0", "prefix1"])
 
     return run
 
 
-_MEASURED = ("doc_id long, n long, class long, first boolean, prefix0 array<long>, "
+_MEASURED = ("doc_id long, text_key long, n long, class long, first boolean, prefix0 array<long>, "
              "prefix1 array<long>")
 
 
@@ -153,14 +154,9 @@ def _whole_sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(VISIBLE, lower=True)
         for batch in batches:
-            sets = [shingles(data, hasher, k) for data in byte_rows(batch.column(1))]
-            # Another row of the same id may have another text.
-            right = [_class(s) == c if len(s) else False
-                     for s, c in zip(sets, batch.column(0).to_pylist())]
-            rows = pa.RecordBatch.from_arrays(
-                [batch.column(0), lists([s.view(np.int64) for s in sets], pa.int64())],
-                ["class", "tokens"])
-            yield rows.filter(pa.array(right, pa.bool_()))
+            sets = [shingles(data, hasher, k).view(np.int64) for data in byte_rows(batch.column(1))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), lists(sets, pa.int64())], ["class", "tokens"])
 
     return run
 
@@ -212,11 +208,13 @@ class _Join:
         met = self.hits.select("class").distinct()
         # One document of each of these classes stands for it.
         spoken = firsts.join(met, "class").groupBy("class", "n").agg(
-            F.min(F.struct("doc_id", "prefix1")).alias("one")).select(
-            "class", "n", "one.doc_id", "one.prefix1")
+            F.min(F.struct("doc_id", "text_key", "prefix1")).alias("one")).select(
+            "class", "n", "one.doc_id", "one.text_key", "one.prefix1")
         spoken = materialized(spoken, "spoken")
         self.sizes = spoken.select("class", "n", "prefix1")
-        texts = spoken.select("class", "doc_id").join(docs, "doc_id").select("class", "text")
+        row = [F.col("s.doc_id").eqNullSafe(F.col("d.doc_id")),
+               F.col("s.text_key") == F.col("d.text_key")]
+        texts = docs.alias("d").join(spoken.alias("s"), row).select("class", "text")
         self.sets = materialized(
             texts.mapInArrow(_whole_sets(k), "class long, tokens array<long>"), "sets")
 
@@ -281,21 +279,28 @@ class _Join:
             F.col("class_u").alias("u"), F.col("class_v").alias("v"), F.size(common).alias("shared"))
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """Id, hash of the text, and text; the first two know a row."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+                       F.coalesce("text", F.lit("")).alias("text")).select(
+        "doc_id", F.xxhash64("text").alias("text_key"), "text")
+
+
 def ngram_components(
     docs: DataFrame, k: int = 5, percent: int = 80, hub_rounds: int = HUB_ROUNDS,
 ) -> DataFrame:
-    """doc_id, n_shingles, class_id and component_id of every document.
+    """doc_id, text_key, n_shingles, class_id and component_id of every document.
 
     Two documents are linked when their shingle sets have a Jaccard similarity
     of at least ``percent`` hundredths. ``class_id`` is the smallest id with
     the same set, ``component_id`` the smallest id that links lead to. Words are
     what white space separates, without ASCII case; a text of fewer than ``k``
     words is one shingle, a null or wordless text has none and is linked with
-    nothing, so it stays alone. Rows with equal ids are separate documents.
-    Sets and shingles are known by 64 hash bits.
+    nothing, so it stays alone. Rows with equal ids are separate documents, and
+    ``text_key``, the hash of the text, tells them apart; null ids are larger
+    than all others. Sets and shingles are known by 64 hash bits.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                        F.coalesce("text", F.lit("")).alias("text"))
+    texts = _texts(docs)
     shared = docs.sparkSession.sparkContext.broadcast(frequency_levels(texts.select("text"), k))
     measured = materialized(texts.mapInArrow(_measure(shared, k, percent), _MEASURED), "measured")
     join = _Join(texts, measured, k, percent)
@@ -315,10 +320,22 @@ def ngram_components(
     ).withColumn("root", F.coalesce("root", "class"))
     least = classes.groupBy("root").agg(F.min("class_id").alias("component_id"))
     classes = classes.join(least, "root").select("class", "class_id", "component_id")
-    return measured.select("doc_id", "n", "class").join(classes, "class", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
-        .alias("class_id"),
-        F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-        .alias("component_id"),
+    alone = F.col("class").isNull()
+    return measured.select("doc_id", "text_key", "n", "class").join(classes, "class", "left").select(
+        "doc_id", "text_key", F.col("n").alias("n_shingles"),
+        *[F.when(alone, F.col("doc_id")).otherwise(F.col(c)).alias(c)
+          for c in ("class_id", "component_id")],
     )
+
+
+def one_of_each_group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of each component's smallest document id, with their columns.
+
+    Rows that repeat id and text are one document and stay together.
+    """
+    found = ngram_components(docs, k, percent)
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
+        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (key == F.col("_key"))
+    return docs.join(stay, same, "left_semi")

@@ -106,7 +106,8 @@ def op8_token_files(spark: SparkSession, directory: str) -> DataFrame:
 
 def op9_ngram_join(spark: SparkSession, directory: str) -> DataFrame:
     shared(spark)
-    return ngram_join.ngram_components(table(spark, directory, "documents"), k=4, percent=85)
+    found = ngram_join.ngram_components(table(spark, directory, "documents"), k=4, percent=85)
+    return found.drop("text_key")
 
 
 def op10_substring_dedup(spark: SparkSession, directory: str) -> DataFrame:
