@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
@@ -17,6 +18,7 @@ from stocklens.operators.aggregates import critical_count, value_counts
 from stocklens.operators.ordering import top_k
 from stocklens.plans import alerts, finance, frame, kpis, sales, stock, suite, views
 from stocklens.sources import quality, sinks, star
+from stocklens.sources.scratch import SETTING
 from stocklens.sources.star import AS_OF
 from stocklens.sources.tables import Tables
 from stocklens.streaming import crossings, ledger, live, snapshot
@@ -531,5 +533,20 @@ LOOK_BACK: dict[int, tuple[str, ...]] = {
 QUERIES: dict[str, Query] = {
     **REPORTS, **MEASURES, **CLASSES, **OPERATORS, **MOVEMENTS, **MODELS
 }
+
+
+def _with_folder(query: Query) -> Query:
+    """The query, with a folder for intermediate files where a local session names none."""
+    def run(spark: SparkSession, directory: str) -> DataFrame:
+        context = spark.sparkContext
+        unset = spark.conf.get(SETTING, None) is None and context.getCheckpointDir() is None
+        if unset and context.master.startswith("local["):
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="stocklens-"))
+        return query(spark, directory)
+
+    return run
+
+
 QUERIES |= {name: replace(QUERIES[name], days=days)
             for days, names in LOOK_BACK.items() for name in names}
+QUERIES |= {name: _with_folder(QUERIES[name]) for name in (*MOVEMENTS, *MODELS)}

@@ -7,7 +7,6 @@ keeps column pruning for the readers.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,13 +15,10 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only for local masters."""
-    folder = spark.conf.get(SETTING, None)
+    """The cluster's shared folder, from the setting or ``setCheckpointDir``."""
+    folder = spark.conf.get(SETTING, None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {SETTING} to a folder that all executors reach")
-        folder = tempfile.mkdtemp(prefix="stocklens-")
-        spark.conf.set(SETTING, folder)
+        raise ValueError(f"set {SETTING} to a folder that all executors reach")
     return folder.rstrip("/")
 
 
@@ -37,3 +33,11 @@ def materialized(df: DataFrame, label: str) -> DataFrame:
     path = run_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> bool:
+    """Delete a folder below the shared one that its owner no longer reads."""
+    if "/stocklens/" not in path:
+        raise ValueError(f"not a folder of this library: {path}")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
