@@ -614,10 +614,10 @@ GROUP BY window_start, event_type"""
 UPSERTED = """
 , latest AS (SELECT user_id, CAST(floor(arg_max(value, event_id)) AS INT) AS level
   FROM events GROUP BY user_id)
-SELECT coalesce(product_id, user_id) AS product_id, name, coalesce(level, stock) AS stock,
+SELECT product_id, name, coalesce(level, stock) AS stock,
   CASE WHEN user_id IS NOT NULL THEN TIMESTAMP '2001-08-02' ELSE TIMESTAMP '2001-08-01' END
     AS updated_at
-FROM every_product FULL JOIN latest ON product_id = user_id"""
+FROM every_product LEFT JOIN latest ON product_id = user_id"""
 
 _STATS = {
     "products": "part", "categories": "cat", "suppliers": "supplier", "locations": "loc",
@@ -725,9 +725,7 @@ FROM lineitem GROUP BY l_partkey""",
     "upsert_snapshot": UPSERTED,
     "upsert_snapshot_stream": UPSERTED,
     "live_kpis": WINDOWS,
-    "live_kpis_stream": f"""
-SELECT * FROM ({WINDOWS})
-WHERE window_end <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""",
+    "live_kpis_stream": WINDOWS,
 }
 
 MODELS = {

@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stocklens.functions import classes as C
@@ -18,7 +18,7 @@ from stocklens.operators.aggregates import critical_count, value_counts
 from stocklens.operators.ordering import top_k
 from stocklens.plans import alerts, finance, frame, kpis, sales, stock, suite, views
 from stocklens.sources import quality, sinks, star
-from stocklens.sources.scratch import SETTING
+from stocklens.sources.scratch import SETTING, run_path
 from stocklens.sources.star import AS_OF
 from stocklens.sources.tables import Tables
 from stocklens.streaming import crossings, ledger, live, snapshot
@@ -361,17 +361,29 @@ def _event_rows(events: DataFrame) -> DataFrame:
     )
 
 
-def _event_stream(spark: SparkSession, d: str) -> DataFrame:
-    return live.file_stream(spark, d, star.STAR_SCHEMAS["events"], "events.parquet")
+# Files that the events are dealt to for a stream; each is a micro-batch.
+EVENT_FILES = 4
+
+
+def _event_stream(spark: SparkSession, d: str, by: Column) -> DataFrame:
+    """The events as a stream of several micro-batches, dealt out by a column."""
+    path = run_path(spark, "events")
+    schema = star.STAR_SCHEMAS["events"]
+    star.star_table(spark, d, "events").repartition(EVENT_FILES, by).write.parquet(path)
+    return live.file_stream(spark, path, schema, files_per_trigger=1)
 
 
 def _crossings_stream(spark: SparkSession, d: str) -> DataFrame:
-    updates = star.as_stock_updates(_event_stream(spark, d))
+    """Each key's readings arrive in sequence."""
+    updates = star.as_stock_updates(_event_stream(spark, d, F.col("user_id")))
     return live.run_to_files(crossings.crossing_alerts_stream(updates), "crossing-alerts")
 
 
 def _live_stream(spark: SparkSession, d: str) -> DataFrame:
-    return live.run_to_files(live.live_kpis(_event_rows(_event_stream(spark, d))), "live-kpis")
+    """Events arrive in any order, so the lateness spans all of them."""
+    rows = _event_rows(_event_stream(spark, d, F.xxhash64("event_id")))
+    keys = ("window_start", "window_end", "kind")
+    return live.run_updates(live.live_kpis(rows, lateness="36500 days"), keys, "live-kpis")
 
 
 def _upserted(spark: SparkSession, d: str) -> DataFrame:
@@ -386,8 +398,9 @@ def _upserted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _upserted_stream(spark: SparkSession, d: str) -> DataFrame:
-    """The same through a stream; the last version of the snapshot."""
-    updates = star.as_stock_updates(_event_stream(spark, d)).select(
+    """The same through a stream in any order; the last version of the snapshot."""
+    events = _event_stream(spark, d, F.xxhash64("event_id"))
+    updates = star.as_stock_updates(events).select(
         "product_id", "seq", F.floor("level").cast("int").alias("stock")
     )
     return snapshot.run_upsert(

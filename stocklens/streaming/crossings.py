@@ -48,12 +48,18 @@ def crossing_alerts(updates: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 def _crossed(
     key: tuple[Any, ...], chunks: Iterator[pd.DataFrame], state: GroupState
 ) -> Iterator[pd.DataFrame]:
-    """Rows of one key whose update crosses; the state is the last reading."""
+    """Rows of one key whose update crosses; the state is the last reading in sequence."""
     rows = pd.concat(list(chunks)).sort_values("seq", kind="stable")
+    last = state.get if state.exists else None
+    if last is not None:
+        rows = rows[rows["seq"] > last[0]]
+    if rows.empty:
+        return
     old_level, old_min = rows["level"].shift(), rows["min_level"].shift()
-    if state.exists:
-        old_level.iloc[0], old_min.iloc[0] = state.get
-    state.update((float(rows["level"].iloc[-1]), float(rows["min_level"].iloc[-1])))
+    if last is not None:
+        old_level.iloc[0], old_min.iloc[0] = last[1:]
+    newest = rows.iloc[-1]
+    state.update((int(newest["seq"]), float(newest["level"]), float(newest["min_level"])))
     crossed = (old_level > old_min) & (rows["level"] <= rows["min_level"])
     if crossed.any():
         yield rows.loc[crossed, UPDATE_COLUMNS]
@@ -62,19 +68,22 @@ def _crossed(
 def crossing_alerts_stream(updates: DataFrame) -> DataFrame:
     """Stream: the same alerts, with the last reading per key as state.
 
-    Rows are put in sequence within a micro-batch. The rows of one key in one
+    Rows are put in sequence within a micro-batch. A row that comes in a later
+    micro-batch than one with a higher ``seq`` of its key is late: it raises no
+    alert and leaves the newer reading as it is. The rows of one key in one
     micro-batch are held by one task, so the source must bound its batches
     (``file_stream`` does).
     """
     slim = updates.select(
-        "product_id", "seq", F.col("level").cast("double"),
+        "product_id", F.col("seq").cast("long"), F.col("level").cast("double"),
         F.col("min_level").cast("double"), "name",
     )
     crossed = slim.groupBy("product_id").applyInPandasWithState(
         _crossed,
         outputStructType=slim.schema,
         stateStructType=T.StructType([
-            T.StructField("level", T.DoubleType()), T.StructField("min_level", T.DoubleType()),
+            T.StructField("seq", T.LongType()), T.StructField("level", T.DoubleType()),
+            T.StructField("min_level", T.DoubleType()),
         ]),
         outputMode="append",
         timeoutConf=GroupStateTimeout.NoTimeout,

@@ -2,35 +2,46 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from stocklens.sources.readers import child_names
 from stocklens.sources.scratch import run_path
 
 WINDOW = "5 minutes"
 LATENESS = "10 minutes"
 
 
+EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+
 def live_kpis(movements: DataFrame, window: str = WINDOW, lateness: str = LATENESS) -> DataFrame:
     """Movements and amount per kind in tumbling windows of ``ts``.
 
     Rows later than the watermark are dropped from a stream; a batch frame
-    keeps all. The watermark needs a zoned timestamp, so ``ts`` of a stream
-    is cast.
+    keeps all. The watermark needs a zoned timestamp: a stream's wall-clock
+    times are read as UTC and written back so, whatever the session's zone.
+    Windows are whole seconds long.
     """
-    rows = movements
+    rows, start, end = movements, F.col("w.start"), F.col("w.end")
     if movements.isStreaming:
-        rows = movements.withColumn("ts", F.col("ts").cast("timestamp"))
-        rows = rows.withWatermark("ts", lateness)
+        wall = F.concat(F.col("ts").cast("timestamp_ntz").cast("string"), F.lit("Z"))
+        rows = movements.withColumn("ts", wall.cast("timestamp")).withWatermark("ts", lateness)
+        start, end = (
+            F.expr(f"{EPOCH} + make_dt_interval(0, 0, 0, unix_seconds(w.{side}))")
+            for side in ("start", "end")
+        )
     sums = rows.groupBy(F.window("ts", window).alias("w"), "kind").agg(
         F.count("*").alias("movements"),
         F.sum(F.col("amount").cast("decimal(18,2)")).cast("decimal(18,2)").alias("amount"),
     )
     return sums.select(
-        F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-        F.col("w.end").cast("timestamp_ntz").alias("window_end"),
+        start.cast("timestamp_ntz").alias("window_start"),
+        end.cast("timestamp_ntz").alias("window_end"),
         "kind", "movements", "amount",
     )
 
@@ -66,3 +77,45 @@ def run_to_files(stream: DataFrame, label: str) -> DataFrame:
     query = start_to_files(stream, out, checkpoint)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
+
+
+BATCH = "_batch"
+
+
+def start_updates(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Write the changed rows of each micro-batch to a folder of its own.
+
+    A batch that is run again overwrites its folder.
+    """
+    def put(rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out}/{BATCH}={batch_id}")
+
+    return (
+        stream.writeStream.foreachBatch(put)
+        .outputMode("update")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def latest_rows(spark: SparkSession, out: str, keys: Sequence[str]) -> DataFrame:
+    """Of each key the row that was written last."""
+    written = spark.read.option("basePath", out).parquet(out)
+    values = [c for c in written.columns if c not in (*keys, BATCH)]
+    last = written.groupBy(*keys).agg(F.max_by(F.struct(*values), BATCH).alias("last"))
+    return last.select(*keys, "last.*")
+
+
+def run_updates(stream: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
+    """Run an aggregation over all present data; the last state of every key.
+
+    Open windows are part of it, so on data within the lateness the result is
+    that of the batch frame.
+    """
+    spark = stream.sparkSession
+    out, checkpoint = run_path(spark, label), run_path(spark, f"{label}-checkpoint")
+    start_updates(stream, out, checkpoint).awaitTermination()
+    if not child_names(spark, out):
+        return spark.createDataFrame([], stream.schema)
+    return latest_rows(spark, out, keys).select(*stream.columns)

@@ -10,6 +10,36 @@ from stocklens.sources.readers import child_names, path_exists
 from stocklens.sources.scratch import run_path
 
 
+APPLIED = "_applied_"  # column of a version: the sequence number that set another column
+
+
+def _changed(snapshot: DataFrame, updates: DataFrame, key: str) -> list[str]:
+    return [c for c in updates.columns if c in snapshot.columns and c != key]
+
+
+def _upsert(
+    snapshot: DataFrame, updates: DataFrame, now: str, key: str, seq: str
+) -> DataFrame:
+    """The snapshot after the updates, with the sequence numbers applied so far."""
+    changed = _changed(snapshot, updates, key)
+    given = {c: F.when(F.col(c).isNotNull(), F.col(seq)) for c in changed}
+    latest = updates.groupBy(F.col(key).alias("_hit")).agg(
+        *[F.max_by(c, given[c]).alias(f"_new_{c}") for c in changed],
+        *[F.max(given[c]).alias(f"_seq_{c}") for c in changed],
+    )
+    joined = snapshot.join(latest, F.col(key) == F.col("_hit"), "left")
+    stamp = F.lit(now).cast(snapshot.schema["updated_at"].dataType)
+    never = F.lit(None).cast("long")
+    out = {c: F.col(c) for c in snapshot.columns if not c.startswith(APPLIED)}
+    out["updated_at"] = F.when(F.col("_hit").isNotNull(), stamp).otherwise(F.col("updated_at"))
+    for c in changed:
+        before = F.col(APPLIED + c) if APPLIED + c in snapshot.columns else never
+        newer = F.col(f"_seq_{c}").isNotNull() & (before.isNull() | (F.col(f"_seq_{c}") > before))
+        out[c] = F.when(newer, F.col(f"_new_{c}")).otherwise(F.col(c))
+        out[APPLIED + c] = F.when(newer, F.col(f"_seq_{c}")).otherwise(before)
+    return joined.select(*[column.alias(name) for name, column in out.items()])
+
+
 def upsert_snapshot(
     snapshot: DataFrame, updates: DataFrame, now: str,
     key: str = "product_id", seq: str = "seq",
@@ -18,27 +48,17 @@ def upsert_snapshot(
 
     Of several updates to a row the last value of each column counts; a NULL
     in an update leaves the column alone. Every row that an update hits gets
-    ``updated_at = now``, also when no value changes. Unknown keys are added.
+    ``updated_at = now``, also when no value changes. An update of an unknown
+    key hits nothing; ``unknown_updates`` has those.
     """
-    changed = [c for c in updates.columns if c in snapshot.columns and c != key]
-    latest = updates.groupBy(F.col(key).alias("_hit")).agg(*[
-        F.max_by(c, F.when(F.col(c).isNotNull(), F.col(seq))).alias(f"_new_{c}")
-        for c in changed
-    ])
-    joined = snapshot.join(latest, F.col(key) == F.col("_hit"), "full_outer")
-    hit = F.col("_hit").isNotNull()
-    stamp = F.lit(now).cast(snapshot.schema["updated_at"].dataType)
+    return _upsert(snapshot, updates, now, key, seq).select(*snapshot.columns)
 
-    def after(column: str):
-        if column == key:
-            return F.coalesce(column, "_hit")
-        if column == "updated_at":
-            return F.when(hit, stamp).otherwise(F.col(column))
-        if column in changed:
-            return F.coalesce(f"_new_{column}", column)
-        return F.col(column)
 
-    return joined.select(*[after(c).alias(c) for c in snapshot.columns])
+def unknown_updates(
+    snapshot: DataFrame, updates: DataFrame, key: str = "product_id"
+) -> DataFrame:
+    """The updates whose key the snapshot lacks."""
+    return updates.join(snapshot.select(key), key, "left_anti")
 
 
 def _version(directory: str, batch: int) -> str:
@@ -46,23 +66,32 @@ def _version(directory: str, batch: int) -> str:
 
 
 def read_version(spark: SparkSession, directory: str, batch: int) -> DataFrame:
-    return spark.read.parquet(_version(directory, batch))
+    version = spark.read.parquet(_version(directory, batch))
+    return version.drop(*[c for c in version.columns if c.startswith(APPLIED)])
 
 
 def upsert_stream(
-    snapshot: DataFrame, updates: DataFrame, directory: str, now: str | None = None
+    snapshot: DataFrame, updates: DataFrame, directory: str, now: str | None = None,
+    key: str = "product_id", seq: str = "seq",
 ) -> DataStreamWriter:
     """Fold a stream of updates into versions of the snapshot, one per micro-batch.
 
-    A batch reads the version before it and overwrites its own, so a batch
-    that is run again after a failure gives the same files.
+    A version also holds the sequence number that set each column, so an update
+    that arrives after a newer one changes nothing, in whichever batch. A batch
+    reads the version before it and overwrites its own, so a batch that is run
+    again after a failure gives the same files. Only the first batch starts
+    from ``snapshot``; a later one whose version before is gone fails.
     """
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = _version(directory, batch_id - 1)
-        base = spark.read.parquet(before) if path_exists(spark, before) else snapshot
+        base = snapshot
+        if batch_id > 0:
+            before = _version(directory, batch_id - 1)
+            if not path_exists(spark, before):
+                raise FileNotFoundError(f"version before batch {batch_id} is missing: {before}")
+            base = spark.read.parquet(before)
         stamp = now or spark.sql("SELECT cast(localtimestamp() AS string)").first()[0]
-        folded = upsert_snapshot(base, batch, stamp)
+        folded = _upsert(base, batch, stamp, key, seq)
         folded.write.mode("overwrite").parquet(_version(directory, batch_id))
 
     return updates.writeStream.foreachBatch(fold)

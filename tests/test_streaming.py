@@ -3,6 +3,7 @@ import os
 
 import pandas as pd
 import pytest
+from pyspark.errors import StreamingQueryException
 
 from stocklens.functions import labels as L
 from stocklens.sources.scratch import run_path
@@ -100,13 +101,14 @@ def test_upsert(spark, tables):
     rows = [(1, 1, 7, None), (1, 2, 8, "renamed"), (2, 3, 5, None), (77, 4, 1, "new")]
     after = snapshot.upsert_snapshot(tables.products, spark.createDataFrame(rows, UPDATES), NOW)
     got = {r.product_id: r for r in after.collect()}
-    assert after.columns == tables.products.columns and len(got) == 11
+    assert after.columns == tables.products.columns and len(got) == 10
     assert (got[1].stock, got[1].name) == (8, "renamed")
     stamp = datetime.datetime(2024, 3, 2)
     # An update that changes nothing still stamps the row; others keep theirs.
     assert (got[2].stock, got[2].updated_at) == (5, stamp)
     assert got[3].updated_at == datetime.datetime(2024, 3, 1)
-    assert (got[77].name, got[77].updated_at) == ("new", stamp)
+    unknown = snapshot.unknown_updates(tables.products, spark.createDataFrame(rows, UPDATES))
+    assert [r.product_id for r in unknown.collect()] == [77]
 
 
 def test_upsert_stream(spark, tables, tmp_path):
@@ -118,6 +120,50 @@ def test_upsert_stream(spark, tables, tmp_path):
     assert (got[1], got[2], got[3]) == (8, 1, 10)
 
 
+def parts_in_order(spark, path, schema, parts):
+    """One file per part, read in this order."""
+    for number, part in enumerate(parts):
+        target = path / f"{number}"
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(target))
+        for file in target.glob("part-*"):
+            os.utime(file, (1_700_000_000 + number, 1_700_000_000 + number))
+    return live.file_stream(spark, str(path / "*"), schema, files_per_trigger=1)
+
+
+def test_an_older_update_in_a_later_batch_changes_nothing(spark, tables, tmp_path):
+    parts = [[(1, 9, 99, None)], [(1, 2, 11, "old name")], [(1, 5, 50, None)]]
+    stream = parts_in_order(spark, tmp_path, UPDATES, parts)
+    last = {r.product_id: r for r in snapshot.run_upsert(tables.products, stream, NOW).collect()}
+    assert (last[1].stock, last[1].name) == (99, "old name")
+
+
+def test_a_missing_version_fails(spark, tables, tmp_path):
+    stream = parts_in_order(spark, tmp_path / "u", UPDATES, [[(1, 1, 7, None)], [(1, 2, 8, None)]])
+    directory = tmp_path / "versions"
+    checkpoint = str(tmp_path / "checkpoint")
+
+    def run(updates):
+        writer = snapshot.upsert_stream(tables.products, updates, str(directory), NOW)
+        query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+
+    run(stream)
+    (directory / "version=1").rename(directory / "elsewhere")
+    part = spark.createDataFrame([(2, 3, 9, None)], UPDATES).coalesce(1)
+    part.write.parquet(str(tmp_path / "u" / "later"))
+    with pytest.raises(StreamingQueryException, match="is missing"):
+        run(stream)
+
+
+def test_late_readings_raise_no_alert(spark, tmp_path):
+    """Key 1: 9 at 1, 4 at 5, then 2 arrives late; 3 at 6 is silent, since 5 was below."""
+    rows = [[(1, 1, 9.0, 5.0, "a"), (1, 5, 4.0, 5.0, "a")], [(1, 2, 9.0, 5.0, "a")],
+            [(1, 6, 3.0, 5.0, "a")]]
+    stream = parts_in_order(spark, tmp_path, SCHEMA, rows)
+    out = live.run_to_files(crossings.crossing_alerts_stream(stream), "t")
+    assert {r.seq for r in out.collect()} == {5}
+
+
 EVENTS = "ts timestamp_ntz, kind string, amount double"
 
 
@@ -148,3 +194,19 @@ def test_live_kpis_drop_late_rows(spark, tmp_path):
     stream = live.file_stream(spark, str(tmp_path / "e"), EVENTS, files_per_trigger=1)
     out = live.run_to_files(live.live_kpis(stream), "k").collect()
     assert {r.window_start: float(r.amount) for r in out} == {at(0): 1.0, at(40): 2.0}
+
+
+def test_live_kpis_keep_open_windows_and_wall_clock_times(spark, tmp_path):
+    """In a zone whose clock skips 02:00-03:00 both windows of that hour are told apart."""
+    skipped = [datetime.datetime(2024, 3, 31, 2, 31), datetime.datetime(2024, 3, 31, 3, 31)]
+    rows = [(t, "a", 1.0) for t in skipped]
+    stream = parts_in_order(spark, tmp_path, EVENTS, [rows[:1], rows[1:], rows[1:]])
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+        out = live.run_updates(
+            live.live_kpis(stream), ("window_start", "window_end", "kind"), "k").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    starts = [t.replace(minute=30) for t in skipped]
+    assert {r.window_start: r.movements for r in out} == {starts[0]: 1, starts[1]: 2}
