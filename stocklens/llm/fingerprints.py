@@ -18,6 +18,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stocklens.llm.cuts import cut_points
+
 # Common words of English, French, German and Spanish: fixed values.
 ANCHORS = (
     "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "not", "of",
@@ -117,8 +119,7 @@ def near_pairs(sets: DataFrame, alike: float = ALIKE) -> DataFrame:
 def _cells(docs: DataFrame) -> Column:
     """Cell of an id: cells hold neighbouring ids and about equally many rows."""
     wanted = min(MOST_CELLS, max(1, docs.count() // CELL_ROWS))
-    steps = [i / wanted for i in range(1, wanted)]
-    cuts = sorted({int(c) for c in docs.approxQuantile("doc_id", steps, 0.2 / wanted)})
+    cuts = cut_points(docs, "doc_id", wanted)
     if not cuts:
         return F.lit(0)
     return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("doc_id")))

@@ -20,6 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stocklens.llm.cuts import cut_points
 from stocklens.sources.scratch import run_path
 
 #: Runs of a level that are merged into the next.
@@ -107,9 +108,7 @@ class LineRuns:
 
 def _batch_bounds(docs: DataFrame, batches: int) -> list[tuple[int | None, int | None]]:
     """Ranges (from, below) of document ids with about equal numbers of rows, largest first."""
-    steps = [i / batches for i in range(1, batches)]
-    cuts = sorted({int(c) for c in docs.approxQuantile("doc_id", steps, 0.01)})
-    edges = [None, *cuts, None]
+    edges = [None, *cut_points(docs, "doc_id", batches), None]
     return list(zip(edges[:-1], edges[1:]))[::-1]
 
 
