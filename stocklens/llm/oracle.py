@@ -55,6 +55,36 @@ FROM docs JOIN f USING (source, lang, topic), c{cut_rounds}
 """
 
 
+_LETTERS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LETTER_WORDS = f"regexp_extract_all({_lower("coalesce(text, '')")}, '{_LETTERS}')"
+
+_OP2 = f"""
+WITH items AS MATERIALIZED (
+    SELECT item_id::VARCHAR AS item_id, {_LETTER_WORDS} AS words FROM benchmark
+), wanted AS MATERIALIZED (
+    SELECT DISTINCT item_id, least(len(words), 10) AS n,
+           array_to_string(words[place:place + least(len(words), 10) - 1], ' ') AS span
+    FROM (SELECT *, unnest(range(1, greatest(len(words) - 8, 2))) AS place FROM items
+          WHERE len(words) > 0)
+), docs AS MATERIALIZED (SELECT doc_id, {_LETTER_WORDS} AS words FROM documents),
+spans AS (
+    SELECT doc_id, n, place, array_to_string(words[place:place + n - 1], ' ') AS span
+    FROM (SELECT docs.*, n, unnest(range(1, len(words) - n + 2)) AS place
+          FROM docs, (SELECT DISTINCT n FROM wanted) WHERE len(words) >= n)
+), found AS MATERIALIZED (SELECT doc_id, n, place, item_id FROM spans JOIN wanted USING (n, span)),
+hits AS (
+    SELECT doc_id, count(DISTINCT word) AS n_hit
+    FROM (SELECT doc_id, unnest(range(place, place + n)) AS word FROM found) GROUP BY doc_id
+), names AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+    FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit,
+       coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN names USING (doc_id)
+"""
+
 _OP3 = f"""
 WITH lines AS (
     SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -102,8 +132,38 @@ SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_remo
 FROM docs LEFT JOIN counted USING (doc_id)
 """
 
+_OP9 = f"""
+WITH RECURSIVE docs AS MATERIALIZED (
+    SELECT doc_id, regexp_extract_all({_lower("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+')
+        AS words FROM documents
+), shingles AS MATERIALIZED (
+    SELECT DISTINCT doc_id, array_to_string(words[place:place + 3], ' ') AS shingle
+    FROM (SELECT *, unnest(range(1, greatest(len(words) - 2, 2))) AS place FROM docs
+          WHERE len(words) > 0)
+), sets AS MATERIALIZED (
+    SELECT doc_id, count(*) AS n, md5(string_agg(shingle, chr(10) ORDER BY shingle)) AS key
+    FROM shingles GROUP BY doc_id
+), links AS MATERIALIZED (
+    SELECT a, b FROM (
+        SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared
+        FROM shingles x JOIN shingles y USING (shingle) WHERE x.doc_id <> y.doc_id GROUP BY ALL)
+    JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b
+    WHERE 100 * shared >= 85 * (x.n + y.n - shared)
+), reach AS (
+    SELECT doc_id, doc_id AS other FROM docs
+    UNION SELECT doc_id, b FROM reach JOIN links ON a = other
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles,
+       CASE WHEN key IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY key) END AS class_id,
+       component_id
+FROM docs LEFT JOIN sets USING (doc_id)
+JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)
+"""
+
 ORACLE: dict[str, str] = {
     "op1_mixing": _op1(),
+    "op2_decontamination": _OP2,
     "op3_line_dedup": _OP3,
+    "op9_ngram_join": _OP9,
     "op10_substring_dedup": _OP10,
 }
