@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stocklens.functions import labels as L
@@ -24,6 +24,8 @@ from stocklens.sources.scratch import materialized
 TREES = 100
 SAMPLE = 256
 SEED = 42
+# Rows left for a tree before sorting, in samples, and the range of their hashes.
+SPARE, HASHES = 2, 2**40
 EULER = 0.5772156649015329
 TREE_SCHEMA = (
     "tree int, feature array<int>, threshold array<double>, "
@@ -68,27 +70,21 @@ def grow_tree(sample: np.ndarray, rng: np.random.Generator) -> dict[str, list]:
 def _samples(
     df: DataFrame, columns: Sequence[str], rows: int, trees: int, size: int
 ) -> DataFrame:
-    """``size`` rows for every tree, chosen by a hash of the product.
+    """``size`` rows for every tree: those with the smallest hashes of product and tree.
 
-    A pool of trees * size rows is dealt out evenly. A table smaller than the
-    pool is sampled for each tree anew; the pool bounds both cases.
+    Rows whose hash is far from small are left out before sorting; about
+    ``SPARE * size`` rows per tree remain, or all of a small table.
     """
-    wanted = trees * size
     slim = df.select("product_id", *columns)
-    by_hash = F.xxhash64(F.col("product_id"), F.lit(SEED))
-    if rows > 4 * wanted:
-        # About twice the pool is left to sort.
-        scale = 2**40
-        slim = slim.filter(F.pmod(by_hash, F.lit(scale)) < scale * 2 * wanted // rows)
-    pool = slim.orderBy(by_hash, "product_id").limit(wanted)
-    if rows >= wanted:
-        dealt = F.row_number().over(Window.orderBy(by_hash, "product_id")) % trees
-        return pool.withColumn("tree", dealt.cast("int"))
-    ids = F.sequence(F.lit(0), F.lit(trees - 1))
-    drawn = F.xxhash64(F.col("product_id"), F.col("tree"), F.lit(SEED))
-    order = Window.partitionBy("tree").orderBy(drawn, "product_id")
-    every = pool.withColumn("tree", F.explode(ids))
-    return every.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= size)
+    bound = min(HASHES, HASHES * SPARE * size // max(rows, 1) + 1)
+
+    def drawn(tree: Column) -> Column:
+        return F.pmod(F.xxhash64(F.col("product_id"), tree, F.lit(SEED)), F.lit(HASHES))
+
+    every = F.sequence(F.lit(0), F.lit(trees - 1))
+    dealt = slim.withColumn("tree", F.explode(F.filter(every, lambda t: drawn(t) < bound)))
+    order = Window.partitionBy("tree").orderBy(drawn(F.col("tree")), "product_id")
+    return dealt.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= size).drop("_n")
 
 
 def fit_forest(

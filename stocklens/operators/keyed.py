@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from stocklens.operators.cells import CODE, MAX_CUTS, SUB, measure_cuts, sort_key
 
 HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 100_000
 CELL = "_cell"
 _ORDER, _TIE, _HOT = "_order", "_order_tie", "_hot"
 
@@ -40,14 +39,14 @@ def split_hot_keys(
         tie = _TIE
     columns = (F.col(_ORDER), None if tie is None else F.col(tie))
     (cuts,), _ = measure_cuts(keyed, [columns], hot_rows)
-    # At most rows / limit keys can exceed the limit, so this side is bounded.
-    limit = max(hot_rows, rows // MAX_HOT_KEYS)
+    # At most rows / hot_rows keys can exceed the limit.
     hot = (
-        df.groupBy(F.col(key).alias(_HOT)).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit)
+        df.groupBy(F.col(key).alias(_HOT)).agg(F.count("*").alias("_n"))
+        .filter(F.col("_n") > hot_rows)
     ).select(_HOT)
     cells = cuts.assign(keyed, _ORDER, tie)
     number = (F.col(CODE) + 1) * (MAX_CUTS + 1) + F.col(SUB) + 1
-    joined = cells.join(F.broadcast(hot), F.col(key) == F.col(_HOT), "left")
+    joined = cells.join(hot, F.col(key) == F.col(_HOT), "left")
     cell = F.when(F.col(_HOT).isNotNull(), number).otherwise(0)
     return joined.withColumn(CELL, cell).drop(_ORDER, _TIE, CODE, SUB, _HOT), True
 

@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 from stocklens.operators.cells import (
     CODE,
@@ -53,6 +54,10 @@ def distributed_prefix(
     are aggregates over all rows, taken in the pass that measures the cuts and
     added to every row. ``cuts`` that are already measured save that pass.
     """
+    if totals and cuts is not None:
+        raise ValueError("totals are taken while cuts are measured; give one of them")
+    if running and isinstance(df.schema[running[0]].dataType, (DoubleType, FloatType)):
+        raise ValueError("running sums need whole numbers or decimals, which add up in any order")
     key, tie = _order(df, order, unique, descending)
     if cuts is None:
         extra = [c.alias(n) for n, c in (totals or {}).items()]
@@ -162,18 +167,13 @@ def quantiles(
 ) -> list[float | None]:
     """Exact quantiles with linear interpolation between neighbours.
 
-    Up to ``rows_per_cell`` distinct values Spark's ``percentile`` is used,
-    whose buffer is one entry per distinct value. Beyond that the rows are
-    counted per value, the counts are summed in value order, and the rows at
-    the wanted positions are picked.
+    The rows are counted per value, the counts are summed in value order, and
+    the rows at the wanted positions are picked.
     """
     values = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("_n"))
-    rows, distinct = values.agg(F.sum("_n"), F.count("*")).first()
+    rows = values.agg(F.sum("_n")).first()[0]
     if not rows:
         return [None] * len(probabilities)
-    if distinct <= rows_per_cell:
-        found = values.agg(F.percentile(col, list(probabilities), F.col("_n"))).first()[0]
-        return list(found)
     positions = [p * (rows - 1) for p in probabilities]
     wanted = sorted({int(p) for p in positions} | {min(int(p) + 1, rows - 1) for p in positions})
     summed = distributed_prefix(

@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stocklens.functions import labels as L
-from stocklens.operators.keyed import HOT_ROWS, lag_by_key, running_by_key
+from stocklens.operators.keyed import (
+    CELL,
+    HOT_ROWS,
+    lag_by_key,
+    running_by_key,
+    split_hot_keys,
+)
 
 ORDER = ("moved_at", "movement_id", "kind", "quantity")
 _FIRST = -(2**63)
@@ -29,10 +35,18 @@ def apply_movements(
 ) -> DataFrame:
     """The ledger with ``stock``, the level after each movement.
 
-    A product starts from the ``stock_before`` of its first movement, or 0.
-    That opening level takes part as one more row at the front, which needs
-    no join.
+    A product starts from the ``stock_before`` of its first movement, or 0. In
+    the window of an ordinary product that is the first value. For products
+    that are split the opening level takes part as one more row at the front,
+    which needs no join.
     """
+    cells, any_hot = split_hot_keys(ledger, "product_id", list(order), hot_rows)
+    if not any_hot:
+        window = Window.partitionBy("product_id").orderBy(*order)
+        upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        opening = F.coalesce(F.first("stock_before").over(upto), F.lit(0)).cast("bigint")
+        return cells.drop(CELL).withColumn(
+            "stock", (opening + F.sum(signed_quantity()).over(upto)).cast("bigint"))
     rows = ledger.withColumns({"_signed": signed_quantity(), "_opening": F.lit(False)})
     slim = ledger.select("product_id", "stock_before", *order)
     opening = slim.groupBy("product_id").agg(
