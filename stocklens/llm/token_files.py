@@ -16,6 +16,7 @@ so nothing is written twice and no task sees more than its part.
 
 from __future__ import annotations
 
+import os
 import sys
 import types
 import zlib
@@ -135,6 +136,8 @@ class Encoder:
     """Token ids of many texts at once; each different piece is encoded once."""
 
     def __init__(self, file: str):
+        # Tasks already run side by side; the library's own threads would add to them.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.file = file
