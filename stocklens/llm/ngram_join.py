@@ -9,8 +9,9 @@ and classes are joined exactly:
    shares a shingle of its prefix (its first ``n - ceil(t * n) + 1``) with the
    other's, in every order, and since the prefix misses few shingles it shares
    a certain number of them.
-2. Prefixes in the first order are shuffled by shingle. Nearly all are held by
-   one class only and drop out; the rest are the hits.
+2. Prefixes in the first order are shuffled by shingle and band of set sizes.
+   Nearly all are held by one class only and drop out; the rest are the hits.
+   Whole sets are read again for the classes with hits.
 3. A few rounds link classes to hubs: each class is compared with the one class
    that it shares most hits with, among one random class per shingle. That
    joins most of a large group of near copies with as many pairs as classes.
@@ -23,6 +24,7 @@ A pair must pass the filters of all orders before its whole sets are compared.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,15 +70,19 @@ def _tally(k: int):
         for batch in batches:
             for data in byte_rows(batch.column(0)):
                 np.add.at(counts, _buckets(shingles(data, hasher, k)), 1)
-        rows = counts.reshape(-1, SLICE)
-        used = np.flatnonzero(rows.any(1))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(used, pa.int32()), pa.array([rows[i].tobytes() for i in used], pa.binary())],
-            ["slice", "counts"])
+        yield from _slices(counts)
 
     return run
 
 
+def _slices(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    rows = counts.reshape(-1, SLICE)
+    used = np.flatnonzero(rows.any(1))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(used, pa.int32()), pa.array([rows[i].tobytes() for i in used], pa.binary())],
+        ["slice", "counts"])
+
+
 def _sum_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: dict[int, np.ndarray] = {}
     for batch in batches:
@@ -95,37 +101,49 @@ def frequency_levels(texts: DataFrame, k: int) -> np.ndarray:
     All documents are counted. What a task sends and what reaches the driver
     does not grow with the input (1 MB).
     """
-    slices = texts.mapInArrow(_tally(k), "slice int, counts binary").repartition("slice")
-    levels = np.zeros((1 << COUNTER_BITS) // SLICE * SLICE, np.uint8).reshape(-1, SLICE)
-    for row in slices.mapInArrow(_sum_slices, "slice int, levels binary").collect():
+    return _added_up(texts.mapInArrow(_tally(k), _SLICES))
+
+
+_SLICES = "slice int, counts binary"
+
+
+def _added_up(slices: DataFrame) -> np.ndarray:
+    levels = np.zeros(1 << COUNTER_BITS, np.uint8).reshape(-1, SLICE)
+    summed = slices.repartition("slice").mapInArrow(_sum_slices, "slice int, levels binary")
+    for row in summed.collect():
         levels[row["slice"]] = np.frombuffer(row["levels"], np.uint8)
     return levels.ravel()
 
 
 def prefix_size(n: int, percent: int) -> int:
+    """Shingles of which a set shares one with any similar set that is not larger."""
     return n - -(-percent * n // 100) + 1
 
 
+def short_size(n: int, percent: int) -> int:
+    """The same for similar sets that are not smaller; these share more."""
+    return n - -(-2 * percent * n // (100 + percent)) + 1
+
+
 def prefixes(tokens: np.ndarray, levels: np.ndarray, percent: int) -> list[np.ndarray]:
-    """The prefix of a set in each order."""
+    """The prefix of a set in each order, in that order."""
     size = prefix_size(len(tokens), percent)
     rare = levels[_buckets(tokens)].astype(np.uint64) << np.uint64(56)
     out = []
     for seed in _SEEDS:
         keys = rare | (mix(tokens ^ seed) >> np.uint64(8))
-        out.append(tokens[np.argpartition(keys, size - 1)[:size]])
+        first = np.argpartition(keys, size - 1)[:size]
+        out.append(tokens[first[np.argsort(keys[first])]])
     return out
 
 
 def _measure(shared, k: int, percent: int):
-    """Class of each document, and the prefixes of classes new to the task."""
+    """Class of each document, and the first prefix of classes new to the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, levels, met = Hasher(VISIBLE, lower=True), shared.value, set()
-        none = np.zeros(0, np.uint64)
         for batch in batches:
-            sizes, classes, first = [], [], []
-            found: list[list[np.ndarray]] = [[] for _ in _SEEDS]
+            sizes, classes, first, found = [], [], [], []
             for data in byte_rows(batch.column(2)):
                 tokens = shingles(data, hasher, k)
                 key = _class(tokens) if len(tokens) else None
@@ -134,29 +152,55 @@ def _measure(shared, k: int, percent: int):
                 sizes.append(len(tokens))
                 classes.append(key)
                 first.append(new)
-                for at, prefix in enumerate(
-                        prefixes(tokens, levels, percent) if new else [none] * len(_SEEDS)):
-                    found[at].append(prefix.view(np.int64))
+                prefix = prefixes(tokens, levels, percent)[0] if new else tokens[:0]
+                found.append(prefix.view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()),
                  pa.array(classes, pa.int64()), pa.array(first, pa.bool_()),
-                 *(lists(f, pa.int64()) for f in found)],
-                ["doc_id", "text_key", "n", "class", "first", "prefix0", "prefix1"])
+                 lists(found, pa.int64())],
+                ["doc_id", "text_key", "n", "class", "first", "prefix"])
 
     return run
 
 
-_MEASURED = ("doc_id long, text_key long, n long, class long, first boolean, prefix0 array<long>, "
-             "prefix1 array<long>")
+_MEASURED = "doc_id long, text_key long, n long, class long, first boolean, prefix array<long>"
 
 
-def _whole_sets(k: int):
+def _whole_sets(shared, k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(VISIBLE, lower=True)
+        hasher, levels = Hasher(VISIBLE, lower=True), shared.value
         for batch in batches:
-            sets = [shingles(data, hasher, k).view(np.int64) for data in byte_rows(batch.column(1))]
+            sets = [shingles(data, hasher, k) for data in byte_rows(batch.column(1))]
+            both = [prefixes(s, levels, percent) for s in sets]
+            columns = [sets, [b[0] for b in both], [b[1] for b in both]]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), lists(sets, pa.int64())], ["class", "tokens"])
+                [batch.column(0), pa.array([len(x) for x in sets], pa.int64()),
+                 *(lists([x.view(np.int64) for x in c], pa.int64()) for c in columns)],
+                ["class", "n", "tokens", "prefix0", "prefix1"])
+
+    return run
+
+
+_SETS = "class long, n long, tokens array<long>, prefix0 array<long>, prefix1 array<long>"
+
+
+def _row_buckets(column: pa.Array) -> np.ndarray:
+    return _buckets(column.to_numpy().view(np.uint64))
+
+
+def _tally_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(1 << COUNTER_BITS, np.int32)
+    for batch in batches:
+        counts[_row_buckets(batch.column(0))] = 1
+    yield from _slices(counts)
+
+
+def _sift(shared):
+    """Leave out rows whose hash is surely not wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(shared.value[_row_buckets(batch.column(1))] > 0))
 
     return run
 
@@ -194,89 +238,103 @@ def _least_shared(n: Column, m: Column, percent: int) -> Column:
     return F.greatest(F.least(of(n), of(m)), F.lit(1))
 
 
+def _band(n: Column, percent: int) -> Column:
+    """Band of a set's size; similar sets are in one or in neighbouring bands."""
+    return F.floor(F.log(n.cast("double")) / (math.log(100 / percent) * (1 + 1e-9))).cast("int")
+
+
 class _Join:
-    """The classes that share a prefix shingle with another one, and their links."""
+    """The classes that share a prefix shingle with another one, and their links.
+
+    A hit is a key that several classes hold. A key is a shingle and a band of
+    sizes: a class holds its prefix in its own band, and its short prefix in
+    the next one, for the larger sets there.
+    """
 
-    def __init__(self, docs: DataFrame, measured: DataFrame, k: int, percent: int):
+    def __init__(self, docs: DataFrame, measured: DataFrame, levels, k: int, percent: int):
         self.percent = percent
+        n = F.col("n")
+        short = n - F.ceil(n * 2 * percent / (100 + percent) - 1e-9) + 1
+        band = _band(n, percent)
+        own = F.transform("prefix", lambda t: F.struct(
+            F.xxhash64(t, band).alias("key"), F.lit(True).alias("own")))
+        other = F.transform(F.slice("prefix", F.lit(1), short.cast("int")), lambda t: F.struct(
+            F.xxhash64(t, band + 1).alias("key"), F.lit(False).alias("own")))
         firsts = measured.where("first")
-        postings = firsts.select("class", F.explode("prefix0").alias("token")).repartition("token")
-        several = postings.groupBy("token").agg(
-            F.min("class").alias("a"), F.max("class").alias("b")).where("a != b").select("token")
+        postings = firsts.select("class", F.explode(F.concat(own, other)).alias("held")).select(
+            "class", "held.key", "held.own").repartition("key")
+        several = postings.groupBy("key").agg(
+            F.min("class").alias("a"), F.max("class").alias("b"), F.max("own").alias("own"),
+        ).where("a != b and own").select("key")
         self.hits = materialized(
-            postings.join(several, "token").select("token", "class").distinct(), "hits")
+            postings.join(several, "key").select("key", "class").distinct(), "hits")
         met = self.hits.select("class").distinct()
         # One document of each of these classes stands for it.
-        spoken = firsts.join(met, "class").groupBy("class", "n").agg(
-            F.min(F.struct("doc_id", "text_key", "prefix1")).alias("one")).select(
-            "class", "n", "one.doc_id", "one.text_key", "one.prefix1")
+        spoken = firsts.join(met, "class").groupBy("class").agg(
+            F.min(F.struct("doc_id", "text_key")).alias("one")).select(
+            "class", "one.doc_id", "one.text_key")
         spoken = materialized(spoken, "spoken")
-        self.sizes = spoken.select("class", "n", "prefix1")
+        spark = docs.sparkSession
+        wanted = spark.sparkContext.broadcast(
+            _added_up(spoken.select("text_key").mapInArrow(_tally_rows, _SLICES)))
         row = [F.col("s.doc_id").eqNullSafe(F.col("d.doc_id")),
                F.col("s.text_key") == F.col("d.text_key")]
-        texts = docs.alias("d").join(spoken.alias("s"), row).select("class", "text")
+        sifted = docs.mapInArrow(_sift(wanted), docs.schema)
+        texts = sifted.alias("d").join(spoken.alias("s"), row).select("class", "text")
         self.sets = materialized(
-            texts.mapInArrow(_whole_sets(k), "class long, tokens array<long>"), "sets")
+            texts.mapInArrow(_whole_sets(levels, k, percent), _SETS), "sets")
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (u, v) of classes, with ``shared`` hits, that are similar enough."""
-        left, right = (self.sizes.select(
-            F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("prefix1").alias(f"p_{c}"))
-            for c in "uv")
+        """The pairs (u, v) of classes that are similar enough."""
+        prefix = [f"prefix{i}" for i in range(len(_SEEDS))]
+        left, right = (self.sets.select(*[
+            F.col(x).alias(f"{x}_{c}") for x in ("class", "n", *prefix)]) for c in "uv")
         n, m = F.col("n_u"), F.col("n_v")
-        least = _least_shared(n, m, self.percent)
-        fits = F.least(n, m) * 100 >= F.greatest(n, m) * self.percent
-        passed = pairs.join(left, "u").join(right, "v").where(
-            fits & (F.col("shared") >= least)
-            & (F.size(F.array_intersect("p_u", "p_v")) >= least)).select("u", "v")
+        passed = (F.least(n, m) * 100 >= F.greatest(n, m) * self.percent)
+        for p in prefix:
+            passed &= F.size(F.array_intersect(f"{p}_u", f"{p}_v")) >= _least_shared(
+                n, m, self.percent)
+        pairs = pairs.join(left, F.col("u") == F.col("class_u")).join(
+            right, F.col("v") == F.col("class_v")).where(passed).select("u", "v")
         sets = [self.sets.select(F.col("class").alias(c), F.col("tokens").alias(f"t_{c}"))
                 for c in "uv"]
-        both = passed.join(sets[0], "u").join(sets[1], "v").select("u", "v", "t_u", "t_v")
+        both = pairs.join(sets[0], "u").join(sets[1], "v").select("u", "v", "t_u", "t_v")
         return both.mapInArrow(_verify(self.percent), "u long, v long")
 
-    def _placed(self, roots: DataFrame) -> DataFrame:
-        """Hits with the component that each class is in so far."""
-        known = roots.select(F.col("node").alias("class"), "root")
-        return self.hits.join(known, "class", "left").select(
-            "token", "class", F.coalesce("root", "class").alias("part"))
-
     def _open(self, roots: DataFrame) -> DataFrame:
-        """Hits of the tokens that are held by several components."""
-        placed = self._placed(roots)
-        several = placed.groupBy("token").agg(
-            F.min("part").alias("a"), F.max("part").alias("b")).where("a != b").select("token")
-        return placed.join(several, "token")
+        """Hits whose key is held by several components, with the component of each class."""
+        known = roots.select(F.col("node").alias("class"), "root")
+        placed = self.hits.join(known, "class", "left").select(
+            "key", "class", F.coalesce("root", "class").alias("part"))
+        several = placed.groupBy("key").agg(
+            F.min("part").alias("a"), F.max("part").alias("b")).where("a != b").select("key")
+        return materialized(placed.join(several, "key"), "open")
 
     def hub_pairs(self, roots: DataFrame, number: int) -> DataFrame:
         """Each class with the hub of another component that it shares most hits with."""
-        placed = materialized(self._open(roots), "open")
+        placed = self._open(roots)
         order = F.xxhash64(F.lit(number), F.col("class"))
-        hubs = placed.groupBy("token").agg(
+        hubs = placed.groupBy("key").agg(
             F.min(F.struct(order.alias("order"), "class", "part")).alias("hub"))
-        met = placed.join(hubs, "token").where(F.col("part") != F.col("hub.part"))
+        met = placed.join(hubs, "key").where(F.col("part") != F.col("hub.part"))
         counted = met.groupBy("class", F.col("hub.class").alias("hub")).agg(
             F.count("*").alias("shared"))
         best = counted.groupBy("class").agg(
             F.max(F.struct("shared", "hub")).alias("best"))
-        return best.select(F.col("class").alias("u"), F.col("best.hub").alias("v"), "best.shared")
+        return best.select(F.col("class").alias("u"), F.col("best.hub").alias("v"))
 
     def all_pairs(self, roots: DataFrame) -> DataFrame:
-        """Every pair of classes of different components that shares enough hits."""
-        placed = materialized(self._open(roots), "open")
-        held = placed.groupBy("class").agg(F.sort_array(F.collect_set("token")).alias("held"))
-        rows = placed.join(held, "class").join(self.sizes.select("class", "n"), "class")
-        left, right = (rows.select("token", *[F.col(x).alias(f"{x}_{c}") for x in
-                                              ("class", "part", "held", "n")]) for c in "uv")
-        common = F.array_intersect("held_u", "held_v")
-        n, m = F.col("n_u"), F.col("n_v")
-        # The last two conditions work on the arrays and are only met by few rows before.
-        apart = (
-            (F.col("class_u") < F.col("class_v")) & (F.col("part_u") != F.col("part_v"))
-            & (F.least(n, m) * 100 >= F.greatest(n, m) * self.percent))
-        once = F.when(apart, (F.array_min(common) == F.col("token")) & (
-            F.size(common) >= _least_shared(n, m, self.percent))).otherwise(F.lit(False))
-        return left.join(right, "token").where(once).select(
-            F.col("class_u").alias("u"), F.col("class_v").alias("v"), F.size(common).alias("shared"))
+        """Every pair of classes of different components that shares a hit, once."""
+        placed = self._open(roots)
+        held = placed.groupBy("class").agg(F.sort_array(F.collect_set("key")).alias("held"))
+        rows = placed.join(held, "class")
+        left, right = (rows.select("key", *[F.col(x).alias(f"{x}_{c}") for x in
+                                            ("class", "part", "held")]) for c in "uv")
+        apart = (F.col("class_u") < F.col("class_v")) & (F.col("part_u") != F.col("part_v"))
+        # The arrays are only looked at where the condition before holds.
+        once = F.when(apart, F.array_min(F.array_intersect("held_u", "held_v")) == F.col("key"))
+        met = left.join(right, "key").where(F.coalesce(once, F.lit(False)))
+        return met.select(F.col("class_u").alias("u"), F.col("class_v").alias("v"))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -303,7 +361,7 @@ def ngram_components(
     texts = _texts(docs)
     shared = docs.sparkSession.sparkContext.broadcast(frequency_levels(texts.select("text"), k))
     measured = materialized(texts.mapInArrow(_measure(shared, k, percent), _MEASURED), "measured")
-    join = _Join(texts, measured, k, percent)
+    join = _Join(texts, measured, shared, k, percent)
     empty = join.hits.limit(0).select(F.col("class").alias("u"), F.col("class").alias("v"))
     links = empty
     roots = empty.select(F.col("u").alias("node"), F.col("v").alias("root"))
