@@ -39,7 +39,7 @@ from stocklens.sources.scratch import materialized
 #: Bits of a shingle's hash that choose its counter, and counters sent in one row.
 COUNTER_BITS, SLICE = 20, 1 << 12
 #: Rounds of links to hubs.
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 
 _SEEDS = tuple(np.uint64(s) for s in (0x243F6A8885A308D3, 0x13198A2E03707344))
 
@@ -238,6 +238,14 @@ def _least_shared(n: Column, m: Column, percent: int) -> Column:
     return F.greatest(F.least(of(n), of(m)), F.lit(1))
 
 
+def _least_across(n: Column, m: Column, percent: int) -> Column:
+    """The same for the smaller set's short prefix and the larger one's prefix."""
+    overlap = F.ceil((n + m) * percent / (100 + percent) - 1e-9)
+    of_small = overlap - F.ceil(F.least(n, m) * 2 * percent / (100 + percent) - 1e-9) + 1
+    of_large = overlap - F.ceil(F.greatest(n, m) * percent / 100 - 1e-9) + 1
+    return F.greatest(F.least(of_small, of_large), F.lit(1))
+
+
 def _band(n: Column, percent: int) -> Column:
     """Band of a set's size; similar sets are in one or in neighbouring bands."""
     return F.floor(F.log(n.cast("double")) / (math.log(100 / percent) * (1 + 1e-9))).cast("int")
@@ -261,13 +269,13 @@ class _Join:
         other = F.transform(F.slice("prefix", F.lit(1), short.cast("int")), lambda t: F.struct(
             F.xxhash64(t, band + 1).alias("key"), F.lit(False).alias("own")))
         firsts = measured.where("first")
-        postings = firsts.select("class", F.explode(F.concat(own, other)).alias("held")).select(
-            "class", "held.key", "held.own").repartition("key")
+        postings = firsts.select("class", "n", F.explode(F.concat(own, other)).alias("held")).select(
+            "class", F.col("n").cast("int").alias("n"), "held.key", "held.own").repartition("key")
         several = postings.groupBy("key").agg(
             F.min("class").alias("a"), F.max("class").alias("b"), F.max("own").alias("own"),
         ).where("a != b and own").select("key")
         self.hits = materialized(
-            postings.join(several, "key").select("key", "class").distinct(), "hits")
+            postings.join(several, "key").select("key", "class", "n").distinct(), "hits")
         met = self.hits.select("class").distinct()
         # One document of each of these classes stands for it.
         spoken = firsts.join(met, "class").groupBy("class").agg(
@@ -285,27 +293,48 @@ class _Join:
             texts.mapInArrow(_whole_sets(levels, k, percent), _SETS), "sets")
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (u, v) of classes that are similar enough."""
-        prefix = [f"prefix{i}" for i in range(len(_SEEDS))]
-        left, right = (self.sets.select(*[
-            F.col(x).alias(f"{x}_{c}") for x in ("class", "n", *prefix)]) for c in "uv")
+        """The pairs (u, v) of classes that are similar enough.
+
+        ``pairs`` has the sizes n_u and n_v and the number of shared keys. Sets of
+        one band hold their whole prefixes under the same keys, those of
+        neighbouring bands the short prefix of the smaller and the whole one of
+        the larger.
+        """
         n, m = F.col("n_u"), F.col("n_v")
-        passed = (F.least(n, m) * 100 >= F.greatest(n, m) * self.percent)
-        for p in prefix:
-            passed &= F.size(F.array_intersect(f"{p}_u", f"{p}_v")) >= _least_shared(
-                n, m, self.percent)
-        pairs = pairs.join(left, F.col("u") == F.col("class_u")).join(
-            right, F.col("v") == F.col("class_v")).where(passed).select("u", "v")
-        sets = [self.sets.select(F.col("class").alias(c), F.col("tokens").alias(f"t_{c}"))
-                for c in "uv"]
-        both = pairs.join(sets[0], "u").join(sets[1], "v").select("u", "v", "t_u", "t_v")
+        least = _least_shared(n, m, self.percent)
+        together = _band(n, self.percent) == _band(m, self.percent)
+        fits = F.least(n, m) * 100 >= F.greatest(n, m) * self.percent
+        keys = F.when(together, least).otherwise(_least_across(n, m, self.percent))
+        pairs = materialized(pairs.where(fits & (F.col("shared") >= keys)), "pairs")
+        orders = [f"prefix{i}" for i in range(len(_SEEDS))]
+        passed = F.lit(True)
+        for p in orders:
+            passed &= F.size(F.array_intersect(f"{p}_u", f"{p}_v")) >= least
+        met = self._with_sets(pairs, orders)
+        passing = materialized(met.where(passed).select("u", "v"), "passing")
+        both = self._with_sets(passing, ["tokens"]).select("u", "v", "tokens_u", "tokens_v")
         return both.mapInArrow(_verify(self.percent), "u long, v long")
 
+    def _with_sets(self, pairs: DataFrame, columns: list[str]) -> DataFrame:
+        """Pairs with columns of both classes' sets.
+
+        Sets of other classes are left out before they are shuffled.
+        """
+        classes = pairs.select(F.explode(F.array("u", "v")).alias("class")).distinct()
+        table = pairs.sparkSession.sparkContext.broadcast(
+            _added_up(classes.mapInArrow(_tally_rows, _SLICES)))
+        wanted = self.sets.select(F.lit(0).alias("_"), "class", *columns)
+        wanted = wanted.mapInArrow(_sift(table), wanted.schema)
+        for side in "uv":
+            pairs = pairs.join(wanted.select(
+                F.col("class").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
+        return pairs
+
     def _open(self, roots: DataFrame) -> DataFrame:
         """Hits whose key is held by several components, with the component of each class."""
         known = roots.select(F.col("node").alias("class"), "root")
         placed = self.hits.join(known, "class", "left").select(
-            "key", "class", F.coalesce("root", "class").alias("part"))
+            "key", "class", "n", F.coalesce("root", "class").alias("part"))
         several = placed.groupBy("key").agg(
             F.min("part").alias("a"), F.max("part").alias("b")).where("a != b").select("key")
         return materialized(placed.join(several, "key"), "open")
@@ -315,13 +344,17 @@ class _Join:
         placed = self._open(roots)
         order = F.xxhash64(F.lit(number), F.col("class"))
         hubs = placed.groupBy("key").agg(
-            F.min(F.struct(order.alias("order"), "class", "part")).alias("hub"))
+            F.min(F.struct(order.alias("order"), "class", "part", "n")).alias("hub"))
         met = placed.join(hubs, "key").where(F.col("part") != F.col("hub.part"))
-        counted = met.groupBy("class", F.col("hub.class").alias("hub")).agg(
-            F.count("*").alias("shared"))
-        best = counted.groupBy("class").agg(
-            F.max(F.struct("shared", "hub")).alias("best"))
-        return best.select(F.col("class").alias("u"), F.col("best.hub").alias("v"))
+        counted = met.groupBy("class", "n", F.col("hub.class").alias("hub"), F.col("hub.n").alias(
+            "n_hub")).agg(F.count("*").alias("shared"))
+        best = counted.groupBy("class", "n").agg(
+            F.max(F.struct("shared", "hub", "n_hub")).alias("best"))
+        # A hub is that of some of the keys that both hold; a quarter of what they must
+        # share is promising. Pairs left out here are looked at later.
+        return best.select(
+            F.col("class").alias("u"), F.col("best.hub").alias("v"), F.col("n").alias("n_u"),
+            F.col("best.n_hub").alias("n_v"), (F.col("best.shared") * 4).alias("shared"))
 
     def all_pairs(self, roots: DataFrame) -> DataFrame:
         """Every pair of classes of different components that shares a hit, once."""
@@ -329,12 +362,15 @@ class _Join:
         held = placed.groupBy("class").agg(F.sort_array(F.collect_set("key")).alias("held"))
         rows = placed.join(held, "class")
         left, right = (rows.select("key", *[F.col(x).alias(f"{x}_{c}") for x in
-                                            ("class", "part", "held")]) for c in "uv")
+                                            ("class", "part", "n", "held")]) for c in "uv")
         apart = (F.col("class_u") < F.col("class_v")) & (F.col("part_u") != F.col("part_v"))
         # The arrays are only looked at where the condition before holds.
-        once = F.when(apart, F.array_min(F.array_intersect("held_u", "held_v")) == F.col("key"))
+        common = F.array_intersect("held_u", "held_v")
+        once = F.when(apart, F.array_min(common) == F.col("key"))
         met = left.join(right, "key").where(F.coalesce(once, F.lit(False)))
-        return met.select(F.col("class_u").alias("u"), F.col("class_v").alias("v"))
+        return met.select(
+            F.col("class_u").alias("u"), F.col("class_v").alias("v"), "n_u", "n_v",
+            F.size(common).alias("shared"))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
