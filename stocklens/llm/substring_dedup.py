@@ -2,11 +2,12 @@
 
 1. Anchors, the smallest hash of each run of word grams, are taken from every
    document: equal windows have equal anchors. One shuffle by anchor tells
-   which anchors recur in several documents; texts without one drop out.
+   which anchors recur in several documents; a bit table of bounded size keeps
+   most windows around other anchors out of the next step.
 2. Recurring passages are confirmed window by window: of the windows around
    recurring anchors, those stay that several documents hold, each with the
    smallest document id.
-3. Documents are dealt to buckets of bounded size, and each bucket gets the
+3. Documents that hold such a window later than another one are dealt to buckets of bounded size, and each bucket gets the
    confirmed phrases that its documents hold, once per bucket. There the
    phrases are compiled into Aho-Corasick automata of bounded size over word
    numbers, and all documents of the bucket stream through them; every
@@ -26,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stocklens.llm.bit_tables import bit_table, may_hold
 from stocklens.llm.text import (
     VISIBLE,
     Hasher,
@@ -34,9 +36,10 @@ from stocklens.llm.text import (
     distinct,
     grams,
     lists,
+    mix,
     sliding_argmin,
 )
-from stocklens.sources.scratch import materialized
+from stocklens.sources.scratch import materialized, removed, run_path
 
 #: Words of a phrase and of an anchor.
 PHRASE, ANCHOR = 13, 5
@@ -74,27 +77,46 @@ def _anchors(phrase: int):
     return run
 
 
-def _windows(phrase: int):
-    """The windows of a document that lie around its recurring anchors."""
+def _windows(shared, phrase: int):
+    """The windows of a document that lie around anchors that may recur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(VISIBLE, lower=False)
+        hasher, recurring = Hasher(VISIBLE, lower=False), shared.value
         for batch in batches:
             found = []
-            for data, known in zip(byte_rows(batch.column(1)), batch.column(2)):
+            for data in byte_rows(batch.column(1)):
                 words = hasher.words(data)
-                hashes, places = anchor_places(words, phrase)
-                near = np.isin(hashes[places], np.asarray(known.values).view(np.uint64))
-                found.append(distinct(grams(words, phrase)[near]))
-            ids = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
-            every = np.concatenate([np.zeros(0, np.uint64), *found])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(every.view(np.int64)), batch.column(0).take(ids)],
-                ["window", "doc_id"])
+                if len(words) >= phrase:
+                    hashes, places = anchor_places(words, phrase)
+                    words = distinct(grams(words, phrase)[may_hold(recurring, hashes)[places]])
+                else:
+                    words = words[:0]
+                found.append(words.view(np.int64))
+            rows = pa.RecordBatch.from_arrays(
+                [batch.column(0), lists(found, pa.int64())], ["doc_id", "windows"])
+            yield rows.filter(pa.array([len(f) > 0 for f in found], pa.bool_()))
 
     return run
 
 
+def _sift(shared):
+    """Leave out documents whose id is surely not wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(batch.column(0).is_valid())
+            ids = batch.column(0).to_numpy().view(np.uint64)
+            yield batch.filter(pa.array(may_hold(shared.value, mix(ids))))
+
+    return run
+
+
+def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = mix(batch.column(0).to_numpy().view(np.uint64)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(ids)], ["hash"])
+
+
 def _occurrences(
     numbers: list[tuple[int, ...]], ids: list, phrases: list[tuple[tuple[int, ...], int]],
     phrase: int,
@@ -167,38 +189,50 @@ _CLEANED = ("doc_id long, text_key long, n_removed long, "
             "removed array<struct<start:int,end:int>>, kept string")
 
 
-def _several(rows: DataFrame, key: str) -> DataFrame:
-    """The rows whose key is held by several documents, with the smallest of them."""
-    rows = rows.repartition(key)
-    held = rows.groupBy(key).agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("last"))
-    return rows.join(held.where("holder < last").select(key, "holder"), key)
+def _later_holders(texts: DataFrame, phrase: int) -> DataFrame:
+    """doc_id, window and holder: windows that the document with id ``holder`` has before.
+
+    The result is written; what it is made from is removed.
+    """
+    spark = texts.sparkSession
+    anchors = texts.select("doc_id", "text").mapInArrow(
+        _anchors(phrase), "anchor long, doc_id long")
+    recurring = anchors.groupBy("anchor").agg(
+        F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
+    table = spark.sparkContext.broadcast(bit_table(recurring))
+    path = run_path(spark, "windows")
+    texts.select("doc_id", "text").mapInArrow(
+        _windows(table, phrase), "doc_id long, windows array<long>").write.parquet(path)
+    held = spark.read.parquet(path).select(
+        "doc_id", F.explode("windows").alias("window")).repartition("window")
+    first = held.groupBy("window").agg(
+        F.min("doc_id").alias("holder"), F.max("doc_id").alias("last")).where("holder < last")
+    later = held.join(first.select("window", "holder"), "window").where("doc_id > holder")
+    later = materialized(later.select("doc_id", "window", "holder"), "later")
+    removed(spark, path)
+    return later
 
 
 def cleaned_documents(docs: DataFrame, phrase: int = PHRASE) -> DataFrame:
     """doc_id, text_key, n_removed, removed (word spans) and kept text.
 
-    Rows are the documents that share an anchor with another one; all others
-    lose nothing. ``text_key`` is the hash of the text and tells rows of equal
-    id apart.
+    Rows are the documents that lose words, and a few others. ``text_key`` is
+    the hash of the text and tells rows of equal id apart. A null id is not
+    larger than any other, so such a document loses nothing.
     """
+    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                        F.coalesce("text", F.lit("")).alias("text"))
-    postings = texts.mapInArrow(_anchors(phrase), "anchor long, doc_id long")
-    recurring = _several(postings, "anchor").groupBy("doc_id").agg(
-        F.collect_set("anchor").alias("anchors"))
-    # A null id is not larger than any other and loses nothing.
-    near = materialized(
-        texts.join(recurring, "doc_id").withColumn("text_key", F.xxhash64("text")), "near")
-    windows = near.select("doc_id", "text", "anchors").mapInArrow(
-        _windows(phrase), "window long, doc_id long")
+                        F.coalesce("text", F.lit("")).alias("text")).select(
+        "doc_id", F.xxhash64("text").alias("text_key"), "text")
+    later = _later_holders(texts, phrase)
+    losing = spark.sparkContext.broadcast(bit_table(
+        later.select("doc_id").distinct().mapInArrow(_mixed, "hash long")))
+    near = texts.mapInArrow(_sift(losing), texts.schema)
     size = near.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, size // BUCKET_BYTES)
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket")
-    phrases = (
-        _several(windows, "window").where(F.col("doc_id") > F.col("holder"))
-        .groupBy(bucket, "window").agg(
-            F.min("doc_id").alias("source"), F.first("holder").alias("holder"))
-    )
+    phrases = later.groupBy(bucket, "window").agg(
+        F.min("doc_id").alias("source"), F.first("holder").alias("holder"))
     left = near.select(bucket, "doc_id", "text_key", "text").groupBy("bucket")
     return left.cogroup(phrases.groupBy("bucket")).applyInArrow(_clean(phrase), _CLEANED)
 
