@@ -47,6 +47,9 @@ PHRASE, ANCHOR = 13, 5
 BUCKET_BYTES = 4 << 20
 #: Phrases of one automaton.
 SHARD = 20_000
+#: A word is spelt in digits of this base: an automaton looks through a node's
+#: branches one by one, and a branch for each word of the vocabulary would be slow.
+BASE = 64
 
 
 def anchor_places(words: np.ndarray, phrase: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,9 +120,21 @@ def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids)], ["hash"])
 
 
+def _spelt(numbers: np.ndarray) -> tuple[np.ndarray, int]:
+    """Word numbers as digits, and digits per word; each place has its own digits.
+
+    So a phrase is only found where a word begins.
+    """
+    digits = 1
+    while BASE**digits <= numbers.max(initial=0):
+        digits += 1
+    places = [numbers // BASE**d % BASE + BASE * d for d in range(digits)]
+    return np.stack(places, axis=1).ravel(), digits
+
+
 def _occurrences(
     numbers: list[tuple[int, ...]], ids: list, phrases: list[tuple[tuple[int, ...], int]],
-    phrase: int,
+    phrase: int, digits: int,
 ) -> list[list[int]]:
     """First words of the phrases' occurrences in each document, by automata."""
     import ahocorasick
@@ -132,8 +147,8 @@ def _occurrences(
         automaton.make_automaton()
         for sequence, doc_id, out in zip(numbers, ids, found):
             if doc_id is not None:
-                out.extend([end - phrase + 1 for end, holder in automaton.iter(sequence)
-                            if holder < doc_id])
+                out.extend([end // digits - phrase + 1
+                            for end, holder in automaton.iter(sequence) if holder < doc_id])
     return found
 
 
@@ -149,8 +164,9 @@ def _clean(phrase: int):
         words = [hasher.hashes(t, *s) for t, s in zip(texts, spans)]
         _, numbers = np.unique(
             np.concatenate([np.zeros(0, np.uint64), *words]), return_inverse=True)
-        cuts = np.cumsum([0, *(len(w) for w in words)])
-        numbers = [tuple(numbers[a:b].tolist()) for a, b in zip(cuts[:-1], cuts[1:])]
+        spelt, digits = _spelt(numbers)
+        cuts = digits * np.cumsum([0, *(len(w) for w in words)])
+        numbers = [tuple(spelt[a:b].tolist()) for a, b in zip(cuts[:-1], cuts[1:])]
         wanted: dict[int, list[tuple[int, int]]] = {}
         for source, window, holder in zip(*(phrases.column(c).to_pylist() for c in
                                             ("source", "window", "holder"))):
@@ -164,8 +180,9 @@ def _clean(phrase: int):
             order = np.argsort(table[:, 0])
             place = np.minimum(np.searchsorted(table[order, 0], windows), len(order) - 1)
             for at in np.flatnonzero(table[order[place], 0] == windows).tolist():
-                compiled.append((numbers[i][at:at + phrase], int(table[order[place[at]], 1])))
-        found = _occurrences(numbers, ids, compiled, phrase)
+                compiled.append((numbers[i][at * digits:(at + phrase) * digits],
+                                 int(table[order[place[at]], 1])))
+        found = _occurrences(numbers, ids, compiled, phrase, digits)
         kept, gone, removed = [], [], []
         for text, (starts, ends), places in zip(texts, spans, found):
             drop = covered(np.array(places, np.int64), phrase, len(starts))
