@@ -221,7 +221,8 @@ def _later_holders(texts: DataFrame, phrase: int) -> DataFrame:
     texts.select("doc_id", "text").mapInArrow(
         _windows(table, phrase), "doc_id long, windows array<long>").write.parquet(path)
     held = spark.read.parquet(path).select(
-        "doc_id", F.explode("windows").alias("window")).repartition("window")
+        "doc_id", F.explode("windows").alias("window"),
+    ).where("window is not null").repartition("window")  # the same on both sides of the join
     first = held.groupBy("window").agg(
         F.min("doc_id").alias("holder"), F.max("doc_id").alias("last")).where("holder < last")
     later = held.join(first.select("window", "holder"), "window").where("doc_id > holder")
@@ -248,7 +249,8 @@ def cleaned_documents(docs: DataFrame, phrase: int = PHRASE) -> DataFrame:
     size = near.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, size // BUCKET_BYTES)
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket")
-    phrases = later.groupBy(bucket, "window").agg(
+    # Dealt out by bucket once, for the phrases and for the documents that meet them.
+    phrases = later.select("*", bucket).repartition("bucket").groupBy("bucket", "window").agg(
         F.min("doc_id").alias("source"), F.first("holder").alias("holder"))
     left = near.select(bucket, "doc_id", "text_key", "text").groupBy("bucket")
     return left.cogroup(phrases.groupBy("bucket")).applyInArrow(_clean(phrase), _CLEANED)
@@ -256,10 +258,14 @@ def cleaned_documents(docs: DataFrame, phrase: int = PHRASE) -> DataFrame:
 
 def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        words = [data.tobytes().split() for data in byte_rows(batch.column(2))]
+        counts, texts = [], []
+        for data in byte_rows(batch.column(2)):
+            words = data.tobytes().split()
+            counts.append(len(words))
+            texts.append(b" ".join(words).decode())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array([len(w) for w in words], pa.int64()),
-             pa.array([b" ".join(w).decode() for w in words], pa.string())],
+            [batch.column(0), batch.column(1), pa.array(counts, pa.int64()),
+             pa.array(texts, pa.string())],
             ["doc_id", "text_key", "n_words", "plain"])
 
 
