@@ -124,25 +124,30 @@ class Known:
         self.ids = np.concatenate([self.ids, ids])
 
 
-def _known(file: str) -> Known:
+def _known(name: str) -> Known:
     """Kept from task to task of one Python process, and started anew when full."""
     holder = sys.modules.setdefault("_token_pieces", types.ModuleType("_token_pieces")).__dict__
-    if file not in holder or len(holder[file].keys) > KEPT_PIECES:
-        holder[file] = Known()
-    return holder[file]
+    if name not in holder or len(holder[name].keys) > KEPT_PIECES:
+        holder[name] = Known()
+    return holder[name]
 
 
 class Encoder:
-    """Token ids of many texts at once; each different piece is encoded once."""
+    """Token ids of many texts at once; each different piece is encoded once.
 
-    def __init__(self, file: str):
+    With ``special`` the text of a special token, such as ``<|endoftext|>``, is
+    that token's one id, as in the library's own call; without, it is encoded
+    like any other text.
+    """
+
+    def __init__(self, file: str, special: bool = False):
         # Tasks already run side by side; the library's own threads would add to them.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.file = file
+        self.kept = f"{file}:{special}"
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
         self.hasher = Hasher(VISIBLE, lower=False)
         (self.line,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
@@ -190,7 +195,7 @@ class Encoder:
 
     def __call__(self, texts: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in order, with ``end`` after each, and the numbers per text."""
-        known = _known(self.file)
+        known = _known(self.kept)
         data = np.concatenate([np.zeros(0, np.uint8), *texts])
         lengths = np.array([len(t) for t in texts])
         begins = np.cumsum(lengths) - lengths
@@ -225,7 +230,7 @@ def _groups(batch: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray]]]:
 
 def _encoder(file: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, start, part = Encoder(file), 0, TaskContext.get().partitionId()
+        encode, start, part = Encoder(file, special=True), 0, TaskContext.get().partitionId()
         for batch in batches:
             for first, texts in _groups(batch):
                 ids, sizes = encode(texts, end)
@@ -252,8 +257,9 @@ def write_tokens(
 ) -> None:
     """Encode all documents and write them below ``path``.
 
-    Every text is encoded whole, null as the empty text; ``end_id`` is added to
-    each. Rows with equal ids stay separate, ordered by text; a null id comes
+    Every text is encoded whole, as by the library without added special
+    tokens, null as the empty text; ``end_id`` is added to each. A special
+    token that a text spells out is one id. Rows with equal ids stay separate, ordered by text; a null id comes
     first. Other columns are not stored.
     """
     ordered = docs.select(F.col(id_column).cast("long").alias("doc_id"),

@@ -28,6 +28,32 @@ def test_pieces_encode_as_the_whole_text(plain):
         assert part.tolist() == plain(text), text
 
 
+@pytest.fixture(scope="module")
+def library():
+    tokenizer = Tokenizer.from_file(FILE)
+    return lambda text: [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
+
+
+def test_spelled_out_special_tokens(spark, documents, library, tmp_path):
+    """<|endoftext|> beside spaces, letters, marks and line ends is one id, as in the library."""
+    rng = random.Random(4)
+    parts = ["<|endoftext|>", "<|endoftext|>", "<|endof", "text|>", " ", "  ", "\n", "\t", "a", "é",
+             "Word", ".", ",", "!?", "…", "'s", "\u00a0", "\u3000", "1", "<|", "|>"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(4000)]
+    texts += ["word <|endoftext|> more", "<|endoftext|>" * 50, "<|ENDOFTEXT|>"]
+    assert library("word <|endoftext|> more") == [4775, 220, 50256, 517, 2]
+    ids, counts = T.Encoder(FILE, special=True)(
+        [np.frombuffer(t.encode(), np.uint8) for t in texts], 2)
+    for text, part in zip(texts, np.split(ids, np.cumsum(counts)[:-1])):
+        assert part.tolist() == library(text), text
+    T.write_tokens(documents(list(enumerate(texts[-300:]))), str(tmp_path / "t"), FILE, 2)
+    start = 0
+    for row in T.read_tokens(spark, str(tmp_path / "t")).orderBy("start").collect():
+        expected = library(texts[-300:][row.doc_id])
+        assert (row.start, row.ids) == (start, expected)
+        start += len(expected)
+
+
 def test_round_trip(spark, documents, corpus, plain, tmp_path):
     items = [*corpus.items(), (5, "again"), (None, "no id"), (5, "again")]
     T.write_tokens(documents(items, extra=True), str(tmp_path / "t"), FILE, 2)
