@@ -40,10 +40,18 @@ KINDS = ("assign", "access", "hex", "random")
 ENCODINGS = (
     ("hex", "^([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef"),
     ("base32", "^[A-Z2-7]*[2-7][A-Z2-7]*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
-    ("base36", "^(?=[a-z]*[0-9])[0-9a-z]+$", "0123456789abcdefghijklmnopqrstuvwxyz"),
+    ("base36", "^((?=[a-z]*[0-9])[0-9a-z]+|(?=[A-Z]*[0-9])[0-9A-Z]+)$",
+     "0123456789abcdefghijklmnopqrstuvwxyz"),
+    # Fewer letters of one case do not tell a key from text: half of the words made of the twelve
+    # most frequent letters pass as random with 24 letters, a tenth with 32.
+    ("letters", "^([a-z]{32,}|[A-Z]{32,})$", "abcdefghijklmnopqrstuvwxyz"),
     ("base64", "^.*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 )
 
+#: Encodings in one case, either of them; their symbols are listed in lower case.
+_ONE_CASE = tuple(i for i, (name, _, _) in enumerate(ENCODINGS)
+                  if name in ("hex", "base36", "letters"))
+
 #: Share of false discoveries among the tokens found to be ordinary text.
 FALSE_SHARE = 0.01
 #: Bins per power of ten of the p-values, and powers that are told apart.
@@ -104,7 +112,7 @@ def _encoding(token: Column) -> Column:
 def _codes(token: Column, encoding: Column) -> Column:
     """Each symbol's number in the alphabet."""
     alphabets = F.array(*[F.lit(symbols) for _, _, symbols in ENCODINGS])
-    plain = F.when(encoding == 0, F.lower(token)).otherwise(F.translate(token, "-_", "+/"))
+    plain = F.when(encoding.isin(*_ONE_CASE), F.lower(token)).otherwise(F.translate(token, "-_", "+/"))
     symbols = F.regexp_extract_all(plain, F.lit("."), F.lit(0))
     return _let(F.element_at(alphabets, encoding + 1), lambda alphabet: F.transform(
         symbols, lambda c: F.call_function("instr", alphabet, c) - 1))

@@ -63,6 +63,27 @@ def test_random_tokens_are_added_and_words_are_not(documents, texts):
         assert not any(a < e and s < b for a, b in map(tuple, spans) for s, e in taken)
 
 
+UPPER = BASE64[:26]
+
+
+@pytest.mark.parametrize(("alphabet", "n"), [
+    *[(UPPER + BASE64[52:62], n) for n in (32, 40, 64)],
+    *[(a, n) for a in (UPPER, UPPER.lower()) for n in (40, 64)],
+])
+def test_keys_of_one_case_among_words_are_found(documents, alphabet, n):
+    """As many keys as base64 ones, where most tokens of the group are words."""
+    rng = random.Random(n)
+
+    def token(symbols):
+        return "".join(rng.choices(symbols, k=n))
+
+    keys = {i: "key " + token(alphabet) for i in range(100)}
+    words = {i: token("etaoinshrdlu-") for i in range(100, 600)}
+    rows = rows_by_id(S.scan_secrets(documents(keys | words)), "random")
+    assert sum([tuple(s) for s in rows[i]] == [(4, 4 + n)] for i in keys) >= 95
+    assert sum(len(rows[i]) for i in words) <= 25
+
+
 def test_scores(spark):
     """The three scores against their formulas."""
     rng = random.Random(2)
