@@ -361,21 +361,29 @@ def _event_rows(events: DataFrame) -> DataFrame:
     )
 
 
-# Files that the events are dealt to for a stream; each is a micro-batch.
-EVENT_FILES = 4
+# Files that the events are dealt to for a stream, at least, and rows of one at most; each is a
+# micro-batch.
+EVENT_FILES, EVENT_ROWS = 4, 250_000
 
 
-def _event_stream(spark: SparkSession, d: str, by: Column) -> DataFrame:
-    """The events as a stream of several micro-batches, dealt out by a column."""
+def _event_stream(spark: SparkSession, d: str, by: Column | None = None) -> DataFrame:
+    """The events as a stream of bounded micro-batches, in sequence or dealt out by a column."""
     path = run_path(spark, "events")
-    schema = star.STAR_SCHEMAS["events"]
-    star.star_table(spark, d, "events").repartition(EVENT_FILES, by).write.parquet(path)
-    return live.file_stream(spark, path, schema, files_per_trigger=1)
+    events = star.star_table(spark, d, "events")
+    files = max(EVENT_FILES, -(-events.count() // EVENT_ROWS))
+    if by is None:
+        dealt = events.repartitionByRange(files, "event_id").sortWithinPartitions("event_id")
+    else:
+        dealt = events.repartition(files, by)
+    dealt.write.option("maxRecordsPerFile", EVENT_ROWS).parquet(path)
+    if by is None:
+        live.date_by_name(spark, path)
+    return live.file_stream(spark, path, star.STAR_SCHEMAS["events"], files_per_trigger=1)
 
 
 def _crossings_stream(spark: SparkSession, d: str) -> DataFrame:
-    """Each key's readings arrive in sequence."""
-    updates = star.as_stock_updates(_event_stream(spark, d, F.col("user_id")))
+    """Readings arrive in sequence; the rows of a key in a micro-batch are as bounded as a file."""
+    updates = star.as_stock_updates(_event_stream(spark, d))
     return live.run_to_files(crossings.crossing_alerts_stream(updates), "crossing-alerts")
 
 

@@ -210,3 +210,25 @@ def test_live_kpis_keep_open_windows_and_wall_clock_times(spark, tmp_path):
         spark.conf.set("spark.sql.session.timeZone", zone)
     starts = [t.replace(minute=30) for t in skipped]
     assert {r.window_start: r.movements for r in out} == {starts[0]: 1, starts[1]: 2}
+
+
+def test_the_registered_crossings_stream_bounds_its_batches(spark, monkeypatch, tmp_path):
+    """A third of the events is one user's; a file holds so many rows, in sequence, at any size."""
+    import inventory_queries as queries
+
+    monkeypatch.setattr(queries, "EVENT_ROWS", 50)
+    monkeypatch.setattr(queries, "run_path", lambda spark, label: str(tmp_path / label))
+    events = spark.range(700).selectExpr(
+        "id as event_id", "if(id % 3 = 0, 1, id % 20) as user_id",
+        f"{queries.star.LEVEL_MIN} + pmod(hash(id), 21) - 10.0D as value", "'view' as event_type",
+        "timestamp_ntz'2001-01-01 00:00:00' as ts", "'{}' as props")
+    schema = spark.createDataFrame([], queries.star.STAR_SCHEMAS["events"]).schema
+    typed = events.select(*[events[f.name].cast(f.dataType) for f in schema])
+    typed.repartition(7).write.parquet(str(tmp_path / "events.parquet"))
+    rows = queries.MOVEMENTS["crossing_alerts_stream"](spark, str(tmp_path)).collect()
+    batch = queries.MOVEMENTS["crossing_alerts"](spark, str(tmp_path)).collect()
+    assert sorted(rows) == sorted(batch) and rows
+    files = sorted((tmp_path / "events").glob("*.parquet"), key=os.path.getmtime)
+    held = [[r.event_id for r in spark.read.parquet(str(f)).collect()] for f in files]
+    assert max(map(len, held)) <= 50
+    assert [i for ids in held for i in ids] == list(range(700))
