@@ -5,7 +5,8 @@ proportional fitting scales the cells' token weights to the target share of
 each source, then of each language, then of each topic, and again until all
 hold. A document's chance to be taken follows its cell's weight; chances above
 1 are cut and the others raised, so that the expected number of tokens is as
-asked.
+asked. The margins are not fitted again after the cut: ``factor`` holds the
+targets, the sample misses them where chances are cut.
 
 Only cells take part in the rounds. Their number is that of the combinations
 that occur; they stay a distributed table, whose sums are added up before they
