@@ -394,6 +394,17 @@ def ngram_components(
     ``text_key``, the hash of the text, tells them apart; null ids are larger
     than all others. Sets and shingles are known by 64 hash bits.
     """
+    rows = _rooted(docs, k, percent, hub_rounds)
+    alone = F.col("class").isNull()
+    return rows.select(
+        "doc_id", "text_key", F.col("n").alias("n_shingles"),
+        *[F.when(alone, F.col("doc_id")).otherwise(F.col(c)).alias(c)
+          for c in ("class_id", "component_id")],
+    )
+
+
+def _rooted(docs: DataFrame, k: int, percent: int, hub_rounds: int) -> DataFrame:
+    """Every row's class with its smallest id, and its component's root and smallest id."""
     texts = _texts(docs)
     shared = docs.sparkSession.sparkContext.broadcast(frequency_levels(texts.select("text"), k))
     measured = materialized(texts.mapInArrow(_measure(shared, k, percent), _MEASURED), "measured")
@@ -413,23 +424,30 @@ def ngram_components(
         roots.select(F.col("node").alias("class"), "root"), "class", "left",
     ).withColumn("root", F.coalesce("root", "class"))
     least = classes.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    classes = classes.join(least, "root").select("class", "class_id", "component_id")
-    alone = F.col("class").isNull()
-    return measured.select("doc_id", "text_key", "n", "class").join(classes, "class", "left").select(
-        "doc_id", "text_key", F.col("n").alias("n_shingles"),
-        *[F.when(alone, F.col("doc_id")).otherwise(F.col(c)).alias(c)
-          for c in ("class_id", "component_id")],
-    )
+    classes = classes.join(least, "root")
+    return measured.select("doc_id", "text_key", "n", "class").join(classes, "class", "left")
 
 
 def one_of_each_group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of each component's smallest document id, with their columns.
+    """One row of each component, and every row without words, with their columns.
 
-    Rows that repeat id and text are one document and stay together.
+    It is the row of the smallest document id, null ids last, and among equal
+    ids that of the smallest ``text_key``. Of rows that repeat id and text any
+    one stays.
     """
-    found = ngram_components(docs, k, percent)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    rows = _rooted(docs, k, percent, HUB_ROUNDS)
+    each = rows.where(F.col("root").isNotNull()).groupBy("root", "doc_id", "text_key").agg(
+        F.count("*").alias("n"))
+    least = each.groupBy("root").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "n")).alias("row"))
+    wordless = rows.where(F.col("root").isNull()).select("doc_id", "text_key").distinct()
+    stay = least.select("row.doc_id", "row.text_key", (F.col("row.n") > 1).alias("repeats")).union(
+        wordless.withColumn("repeats", F.lit(False)))
+    stay = materialized(stay.toDF("_id", "_key", "_repeats"), "stay")
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (key == F.col("_key"))
-    return docs.join(stay, same, "left_semi")
+    kept = docs.join(stay.where("NOT _repeats"), same, "left_semi")
+    if stay.where("_repeats").isEmpty():
+        return kept
+    repeated = docs.join(stay.where("_repeats"), same, "left_semi").withColumn("_key", key)
+    return kept.union(repeated.dropDuplicates(["doc_id", "_key"]).drop("_key"))

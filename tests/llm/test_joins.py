@@ -106,6 +106,22 @@ def test_one_of_each_group(documents, corpus):
         str(d) for d, _, c in expected if d == c)
 
 
+def test_one_row_of_each_group_stays(documents):
+    """Repeated rows, near copies of one id, and near copies without ids."""
+    def near(name):
+        words = [f"{name}{i}" for i in range(60)]
+        return [" ".join([*words[:-j], *["edited"] * j]) if j else " ".join(words) for j in range(3)]
+
+    same, shared, without = near("a"), near("b"), near("c")
+    items = [(1, same[0])] * 50 + [(2, same[0]), (9, same[1])] + [(4, t) for t in shared]
+    items += [(None, t) for t in without] + [(None, without[0])] * 20 + [(4, "other"), (7, ""), (8, None)]
+    kept = [(r.doc_id, r.text) for r in J.one_of_each_group(documents(items, extra=True)).collect()]
+    assert sorted(d for d, t in kept if d is not None) == [1, 4, 4, 7, 8]
+    assert (1, same[0]) in kept and (4, "other") in kept
+    assert [d for d, t in kept if t in shared] == [4]
+    assert [d for d, t in kept if t in without] == [None]
+
+
 def test_join_of_empty_tables(documents):
     assert J.ngram_components(documents([])).count() == 0
     rows = J.ngram_components(documents({1: None, 2: "", 3: "a"})).collect()
