@@ -1,6 +1,9 @@
 """Every query with comparison SQL, side by side on the smallest tables."""
 
 import datetime
+import shutil
+import subprocess
+import sys
 from decimal import Decimal
 from pathlib import Path
 
@@ -8,6 +11,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from inventory_oracle import ORACLE
+from inventory_queries import QUERIES
 
 DIRECTORY = Path("/root/testdata/sf0.001")
 FITTED = {
@@ -40,10 +45,23 @@ def normal(columns, rows):
 
 
 def test_only_fitted_models_lack_sql():
-    assert set(driver.queries()) - set(driver.oracle_sql()) == FITTED
+    assert set(QUERIES) - set(ORACLE) == FITTED
     assert set(driver.oracle_sql()) <= set(driver.queries())
 
 
+def test_entry_without_the_training_text_folders(tmp_path):
+    """A copy without them still names every other query, with and without the pipeline's file."""
+    root = Path(driver.__file__).resolve().parent
+    skip = shutil.ignore_patterns("llm", ".git", "__pycache__", "tests", "corpus_pipeline.py")
+    shutil.copytree(root, tmp_path / "copy", ignore=skip)
+    code = ("import __spark_entry__ as d; from inventory_queries import QUERIES; "
+            "assert set(d.queries()) == set(QUERIES) and d.oracle_sql()")
+    for left in ("", "corpus_pipeline.py"):
+        if left and (root / left).exists():
+            shutil.copy(root / left, tmp_path / "copy")
+        subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", check=True)
+
+
 @pytest.mark.parametrize("name", sorted(driver.oracle_sql()))
 def test_matches_sql(spark, duck, name):
     df = driver.queries()[name](spark, str(DIRECTORY))
