@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stocklens.llm import decontamination, fingerprints, line_dedup, mixing, ngram_join, oracle, quality, secret_scan, substring_dedup, token_files, toxicity
+from stocklens.llm import decontamination, fingerprints, line_dedup, mixing, ngram_join, oracle, quality, secret_scan, substring_dedup, token_counts, token_files, toxicity
 from stocklens.llm.labelled import held_out
 from stocklens.sources.scratch import SETTING, run_path
 
@@ -119,6 +119,11 @@ def op10_substring_dedup(spark: SparkSession, directory: str) -> DataFrame:
     ).select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
+def op11_token_counts(spark: SparkSession, directory: str) -> DataFrame:
+    return token_counts.count_tokens(
+        table(spark, directory, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
@@ -130,5 +135,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_ngram_join": op9_ngram_join,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_token_counts": op11_token_counts,
 }
 ORACLE: dict[str, str] = oracle.ORACLE
