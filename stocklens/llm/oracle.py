@@ -160,10 +160,53 @@ FROM docs LEFT JOIN sets USING (doc_id)
 JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)
 """
 
+_OP13 = rf"""
+WITH docs AS MATERIALIZED (
+    SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           row_number() OVER () AS row,
+           regexp_extract_all({_lower("coalesce(text, '')")},
+                              '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents
+), occurrences AS (SELECT lang, source, row, unnest(terms) AS term FROM docs),
+counts AS MATERIALIZED (
+    SELECT lang, source, term, count(*) AS n, count(DISTINCT row) AS docs
+    FROM occurrences GROUP BY ALL
+), kept AS MATERIALIZED (
+    SELECT lang, term, sum(n)::HUGEINT AS n FROM counts GROUP BY ALL HAVING sum(docs) >= 30
+), groups AS MATERIALIZED (SELECT DISTINCT lang, source FROM docs),
+shares AS MATERIALIZED (
+    SELECT lang, source, term, coalesce(c.n, 0) AS n,
+           1 + (1000000000 * (coalesce(c.n, 0)::HUGEINT + 5))
+               // (sum(coalesce(c.n, 0)::HUGEINT) OVER g + 5 * count(*) OVER g) AS p
+    FROM groups JOIN kept USING (lang) LEFT JOIN counts c USING (lang, source, term)
+    WINDOW g AS (PARTITION BY lang, source)
+), of_lang AS (
+    SELECT lang, term,
+           1 + (1000000000 * (n + 5)) // (sum(n) OVER l + 5 * count(*) OVER l) AS q
+    FROM kept WINDOW l AS (PARTITION BY lang)
+), pairs AS (
+    SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+    GROUP BY ALL
+), ranked AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, p - q FROM shares JOIN of_lang USING (lang, term)
+    WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank
+FROM (SELECT *, row_number() OVER (
+          PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM ranked)
+WHERE part = 'pair' OR rank <= 50
+"""
+
 ORACLE: dict[str, str] = {
     "op1_mixing": _op1(),
     "op2_decontamination": _OP2,
     "op3_line_dedup": _OP3,
     "op9_ngram_join": _OP9,
     "op10_substring_dedup": _OP10,
+    "op13_source_divergence": _OP13,
 }

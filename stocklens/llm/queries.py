@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stocklens.llm import decontamination, fingerprints, line_dedup, mixing, ngram_join, oracle, quality, secret_scan, substring_dedup, token_counts, token_files, toxicity
+from stocklens.llm import decontamination, divergence, fingerprints, line_dedup, mixing, ngram_join, oracle, quality, secret_scan, substring_dedup, token_counts, token_files, toxicity
 from stocklens.llm.labelled import held_out
 from stocklens.sources.scratch import SETTING, run_path
 
@@ -124,6 +124,11 @@ def op11_token_counts(spark: SparkSession, directory: str) -> DataFrame:
         table(spark, directory, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op13_source_divergence(spark: SparkSession, directory: str) -> DataFrame:
+    shared(spark)
+    return divergence.audit(table(spark, directory, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
@@ -136,5 +141,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ngram_join": op9_ngram_join,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_token_counts": op11_token_counts,
+    "op13_source_divergence": op13_source_divergence,
 }
 ORACLE: dict[str, str] = oracle.ORACLE
