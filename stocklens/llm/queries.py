@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stocklens.llm import decontamination, divergence, fingerprints, line_dedup, mixing, ngram_join, oracle, quality, secret_scan, substring_dedup, token_counts, token_files, toxicity
+from stocklens.llm import decontamination, divergence, fingerprints, line_dedup, mixing, ngram_join, oracle, periodic_runs, quality, secret_scan, substring_dedup, token_counts, token_files, toxicity
 from stocklens.llm.labelled import held_out
 from stocklens.sources.scratch import SETTING, run_path
 
@@ -124,6 +124,24 @@ def op11_token_counts(spark: SparkSession, directory: str) -> DataFrame:
         table(spark, directory, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op12_periodic_runs(spark: SparkSession, directory: str) -> DataFrame:
+    documents = table(spark, directory, "documents")
+    text = periodic_runs.with_periodic_tails(F.col("text"), F.col("doc_id"))
+    found = periodic_runs.periodic_runs(documents.select("doc_id", text.alias("text")))
+    longest = found.withColumn("_most", periodic_runs.longest())
+    length, period = F.col("_most.length"), -F.col("_most.faster")
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(
+        ",", r.start.cast("string"), r.length.cast("string"), r.period.cast("string"))), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    return longest.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("_most.before")).alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(length * 1000 / period).alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_source_divergence(spark: SparkSession, directory: str) -> DataFrame:
     shared(spark)
     return divergence.audit(table(spark, directory, "documents"))
@@ -141,6 +159,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ngram_join": op9_ngram_join,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_token_counts": op11_token_counts,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_source_divergence": op13_source_divergence,
 }
 ORACLE: dict[str, str] = oracle.ORACLE
