@@ -714,6 +714,8 @@ MOVEMENTS = {
     "crossing_alerts": CROSSINGS,
     "crossing_alerts_split_keys": CROSSINGS,
     "crossing_alerts_stream": CROSSINGS,
+    "crossing_alerts_reordered_stream": CROSSINGS,
+    "crossing_alerts_shuffled_stream": CROSSINGS,
     "apply_movements": LEDGER,
     "apply_movements_split_keys": LEDGER,
     "ledger_breaks": """

@@ -21,7 +21,7 @@ from stocklens.sources import quality, sinks, star
 from stocklens.sources.scratch import SETTING, run_path
 from stocklens.sources.star import AS_OF
 from stocklens.sources.tables import Tables
-from stocklens.streaming import crossings, ledger, live, snapshot
+from stocklens.streaming import crossings, ledger, live, reorder, snapshot
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -387,6 +387,40 @@ def _crossings_stream(spark: SparkSession, d: str) -> DataFrame:
     return live.run_to_files(crossings.crossing_alerts_stream(updates), "crossing-alerts")
 
 
+#: Days by which readings are delayed at most, and by which a wholly random order may delay one.
+DELAY_DAYS, SPAN_DAYS = 2, 60
+
+
+def _late_events(spark: SparkSession, d: str, days: int) -> DataFrame:
+    """The events as a stream in which each one arrives up to some days after its time.
+
+    A last row without a user closes the stream: its time lies behind all lateness.
+    """
+    path = run_path(spark, "late-events")
+    events = star.star_table(spark, d, "events")
+    delay = F.pmod(F.xxhash64("event_id"), F.lit(days * 86_400)).cast("int")
+    arrival = F.col("ts") + F.make_dt_interval(secs=delay.cast("decimal(18,6)"))
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema if f.name != "ts"]
+    closing = events.agg((F.max("ts") + F.expr(f"INTERVAL '{2 * days + 1}' DAY")).alias("ts"))
+    closing = closing.select("ts", *none).withColumn("_arrival", F.col("ts"))
+    files = max(EVENT_FILES, -(-events.count() // EVENT_ROWS))
+    dealt = events.withColumn("_arrival", arrival).unionByName(closing)
+    dealt = dealt.repartitionByRange(files, "_arrival").sortWithinPartitions("_arrival")
+    dealt.drop("_arrival").write.option("maxRecordsPerFile", EVENT_ROWS).parquet(path)
+    live.date_by_name(spark, path)
+    return live.file_stream(spark, path, star.STAR_SCHEMAS["events"], files_per_trigger=1)
+
+
+def _reordered_stream(days: int) -> Query:
+    """Readings arrive out of order by at most so many days, which the lateness allows."""
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        updates = star.as_stock_updates(_late_events(spark, d, days), "ts")
+        found = reorder.reordered_alerts_stream(updates, lateness=f"{days} days")
+        return live.run_to_files(found, "reordered-alerts")
+
+    return run
+
+
 def _live_stream(spark: SparkSession, d: str) -> DataFrame:
     """Events arrive in any order, so the lateness spans all of them."""
     rows = _event_rows(_event_stream(spark, d, F.xxhash64("event_id")))
@@ -439,6 +473,8 @@ MOVEMENTS: dict[str, Query] = {
         star.stock_updates(spark, d), hot_rows=50
     ),
     "crossing_alerts_stream": _crossings_stream,
+    "crossing_alerts_reordered_stream": _reordered_stream(DELAY_DAYS),
+    "crossing_alerts_shuffled_stream": _reordered_stream(SPAN_DAYS),
     "apply_movements": lambda spark, d: ledger.apply_movements(star.movements(spark, d)).select(
         "movement_id", "product_id", "kind", "quantity", "moved_at", "stock"
     ),

@@ -212,9 +212,10 @@ def movements(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-def as_stock_updates(events: DataFrame) -> DataFrame:
-    """Events as stock readings: key, sequence, level, minimum and a name."""
+def as_stock_updates(events: DataFrame, *more: str) -> DataFrame:
+    """Events as stock readings: key, sequence, level, minimum and a name, and more columns."""
     return events.select(
+        *more,
         F.col("user_id").alias("product_id"),
         F.col("event_id").alias("seq"),
         F.col("value").alias("level"),

@@ -23,7 +23,8 @@ from stocklens.operators.keyed import HOT_ROWS, lag_by_key
 UPDATE_COLUMNS = ["product_id", "seq", "level", "min_level", "name"]
 
 
-def _alert_columns(level: Column) -> list[Column]:
+def alert_columns(level: Column) -> list[Column]:
+    """The columns of an alert about a row that crosses."""
     high, medium = L.PRIORITIES[1], L.PRIORITIES[2]
     return [
         F.col("product_id"),
@@ -42,7 +43,7 @@ def crossing_alerts(updates: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     lagged = lag_by_key(rows, "product_id", ["seq"], "_reading", "_old", hot_rows)
     was_above = F.col("_old.level") > F.col("_old.min_level")
     is_below = F.col("level") <= F.col("min_level")
-    return lagged.filter(was_above & is_below).select(*_alert_columns(F.col("level")))
+    return lagged.filter(was_above & is_below).select(*alert_columns(F.col("level")))
 
 
 def _crossed(
@@ -89,4 +90,4 @@ def crossing_alerts_stream(updates: DataFrame) -> DataFrame:
         timeoutConf=GroupStateTimeout.NoTimeout,
     )
     level_type = updates.schema["level"].dataType
-    return crossed.select(*_alert_columns(F.col("level").cast(level_type)))
+    return crossed.select(*alert_columns(F.col("level").cast(level_type)))
