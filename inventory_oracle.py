@@ -726,6 +726,7 @@ SELECT l_partkey AS product_id, CAST(sum(CASE WHEN l_returnflag = 'R' THEN l_qua
 FROM lineitem GROUP BY l_partkey""",
     "upsert_snapshot": UPSERTED,
     "upsert_snapshot_stream": UPSERTED,
+    "upsert_snapshot_delta_stream": UPSERTED,
     "live_kpis": WINDOWS,
     "live_kpis_stream": WINDOWS,
 }

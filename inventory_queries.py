@@ -21,7 +21,7 @@ from stocklens.sources import quality, sinks, star
 from stocklens.sources.scratch import SETTING, run_path
 from stocklens.sources.star import AS_OF
 from stocklens.sources.tables import Tables
-from stocklens.streaming import crossings, ledger, live, reorder, snapshot
+from stocklens.streaming import crossings, delta_runs, ledger, live, reorder, snapshot
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -439,15 +439,18 @@ def _upserted(spark: SparkSession, d: str) -> DataFrame:
     return after.select("product_id", "name", "stock", "updated_at")
 
 
-def _upserted_stream(spark: SparkSession, d: str) -> DataFrame:
+def _upserted_stream(run: Callable[..., DataFrame]) -> Query:
     """The same through a stream in any order; the last version of the snapshot."""
-    events = _event_stream(spark, d, F.xxhash64("event_id"))
-    updates = star.as_stock_updates(events).select(
-        "product_id", "seq", F.floor("level").cast("int").alias("stock")
-    )
-    return snapshot.run_upsert(
-        star.products(spark, d, main_supplier=False), updates, now="2001-08-02 00:00:00"
-    ).select("product_id", "name", "stock", "updated_at")
+    def fold(spark: SparkSession, d: str) -> DataFrame:
+        events = _event_stream(spark, d, F.xxhash64("event_id"))
+        updates = star.as_stock_updates(events).select(
+            "product_id", "seq", F.floor("level").cast("int").alias("stock")
+        )
+        after = run(
+            star.products(spark, d, main_supplier=False), updates, now="2001-08-02 00:00:00")
+        return after.select("product_id", "name", "stock", "updated_at")
+
+    return fold
 
 
 def _on_hand_breaks(spark: SparkSession, d: str) -> DataFrame:
@@ -484,7 +487,8 @@ MOVEMENTS: dict[str, Query] = {
     "ledger_breaks": _on_hand_breaks,
     "stock_on_hand": lambda spark, d: ledger.stock_on_hand(star.movements(spark, d)),
     "upsert_snapshot": _upserted,
-    "upsert_snapshot_stream": _upserted_stream,
+    "upsert_snapshot_stream": _upserted_stream(snapshot.run_upsert),
+    "upsert_snapshot_delta_stream": _upserted_stream(delta_runs.run_upsert),
     "live_kpis": lambda spark, d: live.live_kpis(_event_rows(star.star_table(spark, d, "events"))),
     "live_kpis_stream": _live_stream,
 }
