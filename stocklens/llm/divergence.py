@@ -124,8 +124,9 @@ class Index:
             F.sum("docs").alias("docs"), F.sum("n").alias("n_lang"),
         ).where(F.col("docs") >= least_docs).drop("docs")
         kept = materialized(kept, "kept-terms")
-        sizes = kept.groupBy("lang").agg(
-            F.count("*").alias("n_terms"), F.sum("n_lang").alias("total_lang"))
+        # Written, so that Spark knows its size: a few languages are joined without a shuffle by language.
+        sizes = materialized(kept.groupBy("lang").agg(
+            F.count("*").alias("n_terms"), F.sum("n_lang").alias("total_lang")), "sizes")
         blocks = F.greatest(F.lit(1), F.ceil(F.col("n_terms") / block)).cast("int")
         in_block = Window.partitionBy("lang", "block").orderBy("term")
         terms = kept.join(sizes, "lang").withColumn(
