@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,9 @@ from stocklens.sources.schemas import ALL_TABLES, FILE_NAMES, NOW, Field, Table
 from stocklens.sources.tables import Tables
 
 
+#: First lines of CSV files that are read at a time.
+HEADER_READERS = 32
+
 # Column, lower bound, upper bound, partitions of a parallel database read.
 Split = tuple[str, int, int, int]
 
@@ -79,25 +84,75 @@ def conform(df: DataFrame, table: str | Table, now: str | None = None) -> DataFr
     return df.selectExpr(*columns)
 
 
+def _csv_files(spark: SparkSession, path: str) -> list:
+    """Data files of a path, a folder or a pattern, as Spark would list them."""
+    fs, place = _hadoop(spark, path)
+    found, open_ = [], list(fs.globStatus(place) or [])
+    while open_:
+        status = open_.pop()
+        if status.isDirectory():
+            # Names with = are partition folders; other folders are not descended into.
+            inner = fs.listStatus(status.getPath())
+            open_ += [s for s in inner if not s.isDirectory() or "=" in s.getPath().getName()]
+        elif status.getLen() and status.getPath().getName()[0] not in "._":
+            found.append(status.getPath())
+    return found
+
+
+def _first_line(spark: SparkSession, file) -> str:
+    """A file's first line; compressed files are opened through their codec."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    stream = file.getFileSystem(conf).open(file)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(file)
+    try:
+        source = codec.createInputStream(stream) if codec else stream
+        return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(source, "UTF-8")).readLine() or ""
+    finally:
+        stream.close()
+
+
+def _csv_by_header(spark: SparkSession, path: str) -> list[DataFrame]:
+    """CSV text by header name, one frame for each different header among the files.
+
+    Spark takes the first file's header for all files it reads together, so
+    files are read together only if their headers are equal. Only first lines
+    are looked at here, side by side; one header gives one plain scan.
+    """
+    def scan(paths: list[str], **options: str) -> DataFrame:
+        return (
+            spark.read.options(**options)
+            .option("header", True)
+            .option("encoding", "UTF-8")
+            .option("nullValue", "NULL")
+            .csv(paths)
+        )
+
+    files = _csv_files(spark, path)
+    with ThreadPoolExecutor(HEADER_READERS) as pool:
+        headers = list(pool.map(lambda f: _first_line(spark, f), files))
+    groups: dict[str, list[str]] = {}
+    for header, file in sorted(zip(headers, map(lambda f: f.toString(), files))):
+        groups.setdefault(header, []).append(file)
+    if len(groups) <= 1:
+        return [scan([path])]
+    fs, place = _hadoop(spark, path)
+    base = {"basePath": path} if fs.exists(place) else {}  # keeps columns from partition folders
+    return [scan(group, **base) for group in groups.values()]
+
+
 def read_table(
     spark: SparkSession, table: str | Table, path: str, fmt: str = "csv", now: str | None = None
 ) -> DataFrame:
     """Read one table with its declared types.
 
-    CSV is read as text by header name, so files with fewer or reordered
-    columns are fine, and then conformed: column pruning still reaches the
-    scan. ``NULL`` as text is a NULL.
+    CSV is read as text by each file's own header and then conformed, so files
+    with fewer or reordered columns are fine; a column that a file lacks has its
+    default there. Column pruning still reaches the scan. ``NULL`` as text is a NULL.
     """
     if fmt == "csv":
-        raw = (
-            spark.read.option("header", True)
-            .option("encoding", "UTF-8")
-            .option("nullValue", "NULL")
-            .csv(path)
-        )
-    else:
-        raw = spark.read.format(fmt).load(path)
-    return conform(raw, table, now)
+        parts = [conform(part, table, now) for part in _csv_by_header(spark, path)]
+        return reduce(DataFrame.unionByName, parts)
+    return conform(spark.read.format(fmt).load(path), table, now)
 
 
 def empty_table(spark: SparkSession, table: str | Table) -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime
+import gzip
 from decimal import Decimal
 
 import pytest
@@ -54,6 +55,41 @@ def test_only_needed_columns_are_parsed(spark, directory):
     assert "ReadSchema: struct<producto_id:string>" in plan
 
 
+def rows_of(spark, path):
+    df = readers.read_table(spark, "categories", str(path), now=NOW)
+    return {r.category_id: (r.category, r.active) for r in df.collect()}
+
+
+def test_each_csv_file_has_its_own_header(spark, tmp_path):
+    """Other order, other columns, library names, compressed, empty and hidden files in one folder."""
+    folder = tmp_path / "categorias.csv"
+    (folder / "year=2024").mkdir(parents=True)
+    files = {
+        "a.csv": "categoria_id,nombre_categoria,activo\n1,A,false\n2,B,true\n",
+        "b.csv": "nombre_categoria,categoria_id\nC,4\n",
+        "c.csv": "category,category_id,unknown\nD,5,x\n",
+        "d.csv": "categoria_id,nombre_categoria,activo\n6,E,false\n",
+        "empty.csv": "", "_hidden.csv": "categoria_id\n99\n",
+        "year=2024/e.csv": "activo,nombre_categoria,categoria_id\nfalse,F,7\n",
+    }
+    for name, text in files.items():
+        (folder / name).write_text(text, encoding="utf-8")
+    with gzip.open(folder / "z.csv.gz", "wt", encoding="utf-8") as out:
+        out.write("nombre_categoria,activo,categoria_id\nÑ,false,8\n")
+    expected = {1: ("A", False), 2: ("B", True), 4: ("C", True), 5: ("D", True), 6: ("E", False),
+                7: ("F", False), 8: ("Ñ", False)}
+    assert rows_of(spark, folder) == expected
+    assert rows_of(spark, folder / "[ab].csv") == {k: expected[k] for k in (1, 2, 4)}
+
+
+def test_files_of_one_header_are_one_scan(spark, tmp_path):
+    for i in range(5):
+        (tmp_path / f"{i}.csv").write_text(f"categoria_id,nombre_categoria\n{i},x\n")
+    df = readers.read_table(spark, "categories", str(tmp_path), now=NOW)
+    assert df._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert df.count() == 5
+
+
 def test_conform_of_typed_frames(spark):
     df = spark.createDataFrame([(1, "x", 2.5)], "category_id long, category string, extra double")
     out = readers.conform(df, "categories", NOW)
