@@ -719,11 +719,18 @@ MOVEMENTS = {
     "apply_movements": LEDGER,
     "apply_movements_split_keys": LEDGER,
     "ledger_breaks": """
+SELECT count(*) AS wrong_sums FROM lineitem WHERE (l_orderkey * 10 + l_linenumber) % 1000 = 0""",
+    "ledger_breaks_stream": """
 SELECT count(*) AS wrong_sums FROM lineitem WHERE (l_orderkey * 10 + l_linenumber) % 1000 = 0""",
     "stock_on_hand": """
 SELECT l_partkey AS product_id, CAST(sum(CASE WHEN l_returnflag = 'R' THEN l_quantity
   ELSE -l_quantity END) AS BIGINT) AS net_quantity, count(*) AS movements
 FROM lineitem GROUP BY l_partkey""",
+    "stock_on_hand_stream": """
+SELECT l_partkey AS product_id, CAST(sum(CASE WHEN l_returnflag = 'R' THEN l_quantity
+  ELSE -l_quantity END) AS BIGINT) AS net_quantity, count(*) AS movements
+FROM lineitem GROUP BY l_partkey""",
+    "apply_movements_stream": LEDGER,
     "upsert_snapshot": UPSERTED,
     "upsert_snapshot_stream": UPSERTED,
     "upsert_snapshot_delta_stream": UPSERTED,

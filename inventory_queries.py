@@ -18,10 +18,10 @@ from stocklens.operators.aggregates import critical_count, value_counts
 from stocklens.operators.ordering import top_k
 from stocklens.plans import alerts, finance, frame, kpis, sales, stock, suite, views
 from stocklens.sources import quality, sinks, star
-from stocklens.sources.scratch import SETTING, run_path
+from stocklens.sources.scratch import SETTING, materialized, run_path
 from stocklens.sources.star import AS_OF
 from stocklens.sources.tables import Tables
-from stocklens.streaming import crossings, delta_runs, ledger, live, reorder, snapshot
+from stocklens.streaming import crossings, delta_runs, ledger, ledger_stream, live, reorder, snapshot
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -453,17 +453,60 @@ def _upserted_stream(run: Callable[..., DataFrame]) -> Query:
     return fold
 
 
-def _on_hand_breaks(spark: SparkSession, d: str) -> DataFrame:
+def _leveled(spark: SparkSession, d: str) -> DataFrame:
     """Ledger with levels from the running stock and every 1000th one wrong."""
     moved = ledger.apply_movements(star.movements(spark, d))
     wrong = F.when(F.col("movement_id") % 1000 == 0, 1).otherwise(0)
-    levels = moved.withColumns({
+    return moved.withColumns({
         "stock_before": (F.col("stock") - ledger.signed_quantity()).cast("int"),
         "stock_after": (F.col("stock") + wrong).cast("int"),
     }).drop("stock")
-    return ledger.ledger_breaks(levels).agg(
-        F.count_if("wrong_sum").alias("wrong_sums")
-    )
+
+
+def _on_hand_breaks(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.ledger_breaks(_leveled(spark, d)).agg(F.count_if("wrong_sum").alias("wrong_sums"))
+
+
+#: Days by which movements are delayed at most, of seven years of them.
+MOVEMENT_DELAY_DAYS = 90
+
+
+def _late_movements(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Movements as a stream in which each one arrives up to some days after its time."""
+    path = run_path(spark, "late-movements")
+    delay = F.pmod(F.xxhash64("movement_id"), F.lit(MOVEMENT_DELAY_DAYS * 86_400)).cast("int")
+    arrival = F.col("moved_at") + F.make_dt_interval(secs=delay.cast("decimal(18,6)"))
+    rows = materialized(rows.withColumn("_arrival", arrival), "movements")
+    files = max(EVENT_FILES, -(-rows.count() // EVENT_ROWS))
+    dealt = rows.repartitionByRange(files, "_arrival").sortWithinPartitions("_arrival")
+    dealt.drop("_arrival").write.option("maxRecordsPerFile", EVENT_ROWS).parquet(path)
+    live.date_by_name(spark, path)
+    return live.file_stream(spark, path, rows.drop("_arrival").schema, files_per_trigger=1)
+
+
+def _settled_ledger(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """The ledger that a stream of late movements ends with."""
+    lateness = f"{MOVEMENT_DELAY_DAYS} days"
+    changes = ledger_stream.ledger_changes_stream(_late_movements(spark, rows), lateness)
+    return ledger_stream.settled(live.run_to_files(changes, "ledger-changes"))
+
+
+def _applied_stream(spark: SparkSession, d: str) -> DataFrame:
+    rows = star.movements(spark, d).select("movement_id", "product_id", "kind", "quantity", "moved_at")
+    return _settled_ledger(spark, rows).select(
+        "movement_id", "product_id", "kind", F.col("quantity").cast("int").alias("quantity"),
+        "moved_at", "stock")
+
+
+def _breaks_stream(spark: SparkSession, d: str) -> DataFrame:
+    return _settled_ledger(spark, _leveled(spark, d)).agg(F.count_if("wrong_sum").alias("wrong_sums"))
+
+
+def _on_hand_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Net quantities per product as they stand when all movements have arrived."""
+    rows = star.movements(spark, d).select("movement_id", "product_id", "kind", "quantity", "moved_at")
+    sums = ledger.stock_on_hand(_late_movements(spark, rows))
+    return live.run_updates(sums, ("product_id",), "on-hand")
 
 
 MOVEMENTS: dict[str, Query] = {
@@ -485,6 +528,9 @@ MOVEMENTS: dict[str, Query] = {
         star.movements(spark, d), hot_rows=30
     ).select("movement_id", "product_id", "kind", "quantity", "moved_at", "stock"),
     "ledger_breaks": _on_hand_breaks,
+    "apply_movements_stream": _applied_stream,
+    "ledger_breaks_stream": _breaks_stream,
+    "stock_on_hand_stream": _on_hand_stream,
     "stock_on_hand": lambda spark, d: ledger.stock_on_hand(star.movements(spark, d)),
     "upsert_snapshot": _upserted,
     "upsert_snapshot_stream": _upserted_stream(snapshot.run_upsert),
