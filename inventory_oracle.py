@@ -562,6 +562,7 @@ SELECT {CRITICAL} AS critical_products, count(*) FILTER (WHERE stock > 0) AS in_
 SELECT round(coalesce(avg(turnover_month) FILTER (WHERE turnover_month > 0), 0.0), 6)
   AS mean_turnover FROM frame""",
     "quantiles": _QUANTILES,
+    "quantiles_by_selection": _QUANTILES,
     "global_rank": f"SELECT product_id, sales_month, rank FROM {_SOLD_RANKS}",
     "global_row_number": f"SELECT product_id, sales_month, row_number FROM {_SOLD_RANKS}",
     "running_total": f"SELECT product_id, sales_month, running FROM {_SOLD_RANKS}",

@@ -13,7 +13,7 @@ from stocklens.functions import classes as C
 from stocklens.functions import labels as L
 from stocklens.functions import measures as M
 from stocklens.ml import actions, anomaly, cluster, features, forecast
-from stocklens.operators import joins, prefix, select
+from stocklens.operators import joins, prefix, select, selection
 from stocklens.operators.aggregates import critical_count, value_counts
 from stocklens.operators.ordering import top_k
 from stocklens.plans import alerts, finance, frame, kpis, sales, stock, suite, views
@@ -197,6 +197,15 @@ def _quantiles(p: DataFrame) -> DataFrame:
     return p.sparkSession.createDataFrame(rows, schema)
 
 
+def _quantiles_selected(p: DataFrame) -> DataFrame:
+    """The same by sketch and selection; fetching few values makes it narrow brackets here too."""
+    wanted = {"sales_month": [0.3, 0.7, 0.8], "stock": [0.3, 0.7, 0.8]}
+    found = [selection.exact_quantiles(p, wanted, fetched=f) for f in (selection.FETCHED, 20)]
+    rows = [(c, q, *(x[c][i] for x in found)) for c, qs in wanted.items() for i, q in enumerate(qs)]
+    schema = "measure string, probability double, plain double, bucketed double"
+    return p.sparkSession.createDataFrame(rows, schema)
+
+
 def _quintiles(p: DataFrame) -> DataFrame:
     scored = p.select("product_id", F.col("price").cast("double").alias("score"))
     return prefix.quintile_label(scored, "score", L.ANOMALY_QUINTILES, "label")
@@ -238,6 +247,7 @@ OPERATORS: dict[str, Query] = {
     "mean_turnover": _selection(lambda df: _digits(
         df.agg(kpis.mean_turnover().alias("mean_turnover")), "mean_turnover")),
     "quantiles": _products(_quantiles),
+    "quantiles_by_selection": _products(_quantiles_selected),
     "global_rank": _products(lambda p: prefix.global_rank(_sold(p), "sales_month")),
     "global_row_number": _products(
         lambda p: prefix.global_row_number(_sold(p), "sales_month")
@@ -616,7 +626,7 @@ LOOK_BACK: dict[int, tuple[str, ...]] = {
         "with_reorder_qty", "stock_state4", "stock_state4_icon", "stock_state3",
         "turnover_class_annual", "turnover_class_months", "reorder_priority", "active",
         "critical", "slow_moving", "location_left_join", "quantiles", "global_rank",
-        "global_row_number", "running_total", "distributed_prefix", "quintile_label",
+        "global_row_number", "running_total", "distributed_prefix", "quintile_label", "quantiles_by_selection",
     ),
     60: (
         "sales_projection", "monthly_comparison", "business_kpis", "dashboard_kpis", "insights",
