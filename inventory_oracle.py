@@ -737,6 +737,7 @@ FROM lineitem GROUP BY l_partkey""",
     "upsert_snapshot_delta_stream": UPSERTED,
     "live_kpis": WINDOWS,
     "live_kpis_stream": WINDOWS,
+    "live_kpis_settling_stream": WINDOWS,
 }
 
 MODELS = {

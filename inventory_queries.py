@@ -21,7 +21,7 @@ from stocklens.sources import quality, sinks, star
 from stocklens.sources.scratch import SETTING, materialized, run_path
 from stocklens.sources.star import AS_OF
 from stocklens.sources.tables import Tables
-from stocklens.streaming import crossings, delta_runs, ledger, ledger_stream, live, reorder, snapshot
+from stocklens.streaming import crossings, delta_runs, ledger, ledger_stream, live, reorder, settling, snapshot
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -438,6 +438,12 @@ def _live_stream(spark: SparkSession, d: str) -> DataFrame:
     return live.run_updates(live.live_kpis(rows, lateness="36500 days"), keys, "live-kpis")
 
 
+def _settling_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Events arrive up to two days late, the lateness is an hour: most sums need corrections."""
+    rows = _event_rows(_late_events(spark, d, DELAY_DAYS)).where("kind IS NOT NULL")
+    return settling.run_settling(rows, lateness="1 hour")[0]
+
+
 def _upserted(spark: SparkSession, d: str) -> DataFrame:
     """Stock levels of the event readings applied to the snapshot."""
     readings = star.stock_updates(spark, d).select(
@@ -547,6 +553,7 @@ MOVEMENTS: dict[str, Query] = {
     "upsert_snapshot_delta_stream": _upserted_stream(delta_runs.run_upsert),
     "live_kpis": lambda spark, d: live.live_kpis(_event_rows(star.star_table(spark, d, "events"))),
     "live_kpis_stream": _live_stream,
+    "live_kpis_settling_stream": _settling_stream,
 }
 
 # Models --------------------------------------------------------------------

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stocklens.sources import commits
+from stocklens.sources.readers import child_names
 from stocklens.sources.schemas import ALL_TABLES
 
 
@@ -78,6 +81,37 @@ def snapshot_tables(tables: Mapping[str, DataFrame], directory: str, stamp: str)
     return paths
 
 
+def publish_tables(
+    tables: Mapping[str, DataFrame], directory: str, stamp: str, kept: int = 2,
+) -> int:
+    """A copy of a whole set of tables that readers see at once or not at all; its number.
+
+    Every table is written to a folder of this attempt. When all are complete, one
+    commit names them; a failure half way leaves the set before. Sets older than
+    the last ``kept`` are removed, and so is what failed attempts left before them.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    numbers = commits.numbers(spark, directory)
+    number = max(numbers, default=0) + 1
+    paths = {n: f"sets/{number}-{uuid.uuid4().hex}/{n}" for n in tables}
+    for name, df in tables.items():
+        df.write.parquet(f"{directory}/{paths[name]}")
+    commits.publish(spark, directory, number, {"stamp": stamp, "paths": paths})
+    old = [n for n in commits.numbers(spark, directory) if n <= number - kept]
+    gone = {f"sets/{n}" for n in child_names(spark, f"{directory}/sets")
+            if int(n.partition("-")[0]) <= number - kept}
+    commits.remove(spark, directory, gone | {f"commits/{n}" for n in old})
+    return number
+
+
+def published_tables(
+    spark: SparkSession, directory: str, number: int | None = None,
+) -> tuple[str, dict[str, DataFrame]]:
+    """Stamp and tables of a published set; of the last complete one without a number."""
+    held = commits.content(spark, directory, number)
+    return held["stamp"], {n: spark.read.parquet(f"{directory}/{p}") for n, p in held["paths"].items()}
+
+
 def table_stats(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Rows per table, largest first."""
     counts = [

@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
-from stocklens.sources.readers import child_names, path_exists
+from stocklens.sources import commits
+from stocklens.sources.readers import child_names
 from stocklens.sources.scratch import run_path
 
 #: Runs of one level that are merged.
@@ -83,35 +84,18 @@ class Version:
         return {self.base, *(r.path for r in self.runs)}
 
 
-def _hadoop(spark: SparkSession, path: str):
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+def versions(spark: SparkSession, directory: str) -> list[int]:
+    """Numbers of the published versions, ascending."""
+    return commits.numbers(spark, directory)
 
 
 def _commit(spark: SparkSession, directory: str, version: Version) -> None:
-    """Publish a version in one step; one that is there stays."""
-    files, draft = _hadoop(spark, f"{directory}/commits/_draft-{version.number}")
-    out = files.create(draft, True)
-    out.write(bytearray(json.dumps(asdict(version)).encode()))
-    out.close()
-    _, final = _hadoop(spark, f"{directory}/commits/{version.number}")
-    if not files.rename(draft, final) and not files.exists(final):
-        raise OSError(f"version {version.number} cannot be published below {directory}")
-
-
-def versions(spark: SparkSession, directory: str) -> list[int]:
-    """Numbers of the published versions, ascending."""
-    return sorted(int(n) for n in child_names(spark, f"{directory}/commits") if n.isdigit())
+    commits.publish(spark, directory, version.number, asdict(version))
 
 
 def read_commit(spark: SparkSession, directory: str, number: int | None = None) -> Version:
     """A published version; the last one without a number."""
-    number = max(versions(spark, directory), default=None) if number is None else number
-    path = f"{directory}/commits/{number}"
-    if number is None or not path_exists(spark, path):
-        raise FileNotFoundError(f"version {number} is missing below {directory}")
-    text = "".join(r.value for r in spark.read.text(path, wholetext=True).collect())
-    fields = json.loads(text)
+    fields = commits.content(spark, directory, number)
     return Version(**fields | {"runs": [Run(**r) for r in fields["runs"]]})
 
 
@@ -259,9 +243,7 @@ def _drop_old(spark: SparkSession, directory: str, version: Version) -> None:
              for name in child_names(spark, f"{directory}/{kind}")}
     # What a later version has written so far is not named yet.
     old = {p for p in paths - named if int(re.split("[-/]", p)[-1]) <= version.number}
-    for path in old | {f"commits/{n}" for n in numbers[:-KEPT]}:
-        files, place = _hadoop(spark, f"{directory}/{path}")
-        files.delete(place, True)
+    commits.remove(spark, directory, old | {f"commits/{n}" for n in numbers[:-KEPT]})
 
 
 def apply_batch(
