@@ -93,7 +93,8 @@ def publish_tables(
     spark = next(iter(tables.values())).sparkSession
     numbers = commits.numbers(spark, directory)
     number = max(numbers, default=0) + 1
-    paths = {n: f"sets/{number}-{uuid.uuid4().hex}/{n}" for n in tables}
+    attempt = uuid.uuid4().hex
+    paths = {n: f"sets/{number}-{attempt}/{n}" for n in tables}
     for name, df in tables.items():
         df.write.parquet(f"{directory}/{paths[name]}")
     commits.publish(spark, directory, number, {"stamp": stamp, "paths": paths})
