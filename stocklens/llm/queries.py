@@ -22,8 +22,17 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Bytes of an Arrow batch: a Python worker holds a few arrays of that size, whatever texts it gets.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20
+
+
 def shared(spark: SparkSession) -> None:
-    """Name a folder for intermediate files where a local session has none."""
+    """Bound Arrow batches, and name a folder for intermediate files where a local session has none.
+
+    A smaller bound that the session sets already stays.
+    """
+    if int(spark.conf.get(BATCH).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
     context = spark.sparkContext
     unset = spark.conf.get(SETTING, None) is None and context.getCheckpointDir() is None
     if unset and context.master.startswith("local["):
