@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from stocklens.functions import measures as M
 from stocklens.functions.classes import cluster_name
+from stocklens.ml import kmeans
 from stocklens.ml.features import CLUSTER_FEATURES, assembled, build_features
 from stocklens.operators.aggregates import mean
 from stocklens.operators.prefix import quantiles
@@ -26,11 +27,11 @@ class Clusters:
 
     rows: DataFrame
     stats: DataFrame
-    model: KMeansModel
+    model: kmeans.Fit
 
 
 def best_kmeans(vectors: DataFrame, k: int, starts: int = STARTS) -> KMeansModel:
-    """The cheapest of several k-means fits from different starts."""
+    """The cheapest of several k-means fits of the engine's own, made one after the other."""
     fits = (
         KMeans(k=k, seed=SEED + i, featuresCol="scaled", maxIter=300).fit(vectors)
         for i in range(starts)
@@ -39,7 +40,7 @@ def best_kmeans(vectors: DataFrame, k: int, starts: int = STARTS) -> KMeansModel
 
 
 def cluster_products(df: DataFrame, as_of: str, k: int = 5, starts: int = STARTS) -> Clusters:
-    """M7: k-means on standardised features of an enriched frame."""
+    """M7: k-means on standardised features of an enriched frame, all starts in the same passes."""
     features = build_features(df, as_of, codes=False).withColumn(
         "margin_pct", M.rounded(M.margin_pct(half_even=True), 2, half_even=True)
     )
@@ -51,12 +52,9 @@ def cluster_products(df: DataFrame, as_of: str, k: int = 5, starts: int = STARTS
     vectors = materialized(vectors, "cluster-features")
     scaler = StandardScaler(withMean=True, inputCol="features", outputCol="scaled").fit(vectors)
     scaled = scaler.transform(vectors).drop("features").persist()
-    model = best_kmeans(scaled, k, starts)
+    model = kmeans.fit_starts(scaled, "product_id", "scaled", k, starts, SEED)
     scaled.unpersist()
-    clustered = materialized(
-        model.transform(scaled).drop("scaled").withColumnRenamed("prediction", "cluster"),
-        "clusters",
-    )
+    clustered = materialized(model.assign(scaled, "scaled", "cluster").drop("scaled"), "clusters")
     stats = cluster_stats(clustered)
     rows = clustered.join(stats.select("cluster", "cluster_name"), "cluster", "left").select(
         "product_id", "name", "category", "sales_month", "margin_pct", "cluster", "cluster_name"
