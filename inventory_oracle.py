@@ -710,6 +710,7 @@ def _integrity() -> str:
 
 
 MOVEMENTS = {
+    "run_report_suite_shared": REPORTS["run_report_suite"],
     "table_stats": STATS,
     "check_integrity": _integrity(),
     "crossing_alerts": CROSSINGS,

@@ -294,6 +294,14 @@ def _suite(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _suite_shared(spark: SparkSession, d: str) -> DataFrame:
+    """The same from one product snapshot, which all reports read."""
+    outcomes = suite.run_report_suite(suite.shared_tables(star.star_tables(spark, d)))
+    return sinks.table_stats({n: o.result for n, o in outcomes.items()}).withColumnsRenamed(
+        {"table_name": "report", "live_rows": "rows"}
+    )
+
+
 REPORTS: dict[str, Query] = {
     "view_critical_stock": _tables(views.critical_stock, suppliers=True),
     "view_profitability": _tables(views.profitability),
@@ -530,6 +538,7 @@ MOVEMENTS: dict[str, Query] = {
     "check_integrity": _tables(
         lambda t: quality.check_integrity(t.as_dict()), suppliers=True
     ),
+    "run_report_suite_shared": _suite_shared,
     "crossing_alerts": lambda spark, d: crossings.crossing_alerts(star.stock_updates(spark, d)),
     "crossing_alerts_split_keys": lambda spark, d: crossings.crossing_alerts(
         star.stock_updates(spark, d), hot_rows=50

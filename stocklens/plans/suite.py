@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 
 from stocklens.operators.select import critical
 from stocklens.plans import finance, kpis, sales, stock
+from stocklens.sources.scratch import materialized
 from stocklens.sources.sinks import export_report
 from stocklens.sources.tables import Tables
 
@@ -43,6 +44,19 @@ def run_report_suite(
     return outcomes
 
 
+def shared_tables(tables: Tables, names: Sequence[str] = ("products",)) -> Tables:
+    """The set with some tables written once, for several reports to read.
+
+    A snapshot that is derived from sales is then derived once. Reports read the
+    columns and rows they need from what was written.
+    """
+    def once(name: str) -> Callable[[], DataFrame]:
+        return lambda: materialized(getattr(tables, name), f"shared-{name}")
+
+    held = tables.names()
+    return Tables(**{n: once(n) if n in names else (lambda n=n: getattr(tables, n)) for n in held})
+
+
 def export_standard(selection: DataFrame, directory: str, as_of: str) -> dict[str, str]:
     """The selection, its critical products and its ABC table as dated CSV."""
     # File names of the exports.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stocklens.sources.schemas import ALL_TABLES, VALUE_SETS
@@ -16,37 +16,45 @@ NULL_VALUE = "null_value"
 BAD_VALUE = "bad_value"
 
 
-def _row(df: DataFrame, table: str, rule: str, column: str) -> DataFrame:
-    return df.select(
-        F.lit(table).alias("table_name"),
-        F.lit(rule).alias("rule"),
-        F.lit(column).alias("column_name"),
-        F.col("violations"),
-    )
+#: Rule of an entry, as the report has it.
+_RULE = "table_name string, rule string, column_name string"
+
 
+def _entries(name: str, df: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
+    """What one scan of a table tells about all its rules, as (domain, value, rule) per row.
 
-def _row_rules(name: str, df: DataFrame) -> DataFrame:
-    """NOT NULL and value-set rules of one table in a single pass."""
+    The domain of a key or reference is the table whose key it is. A row that
+    breaks a rule by itself gives an entry without domain and value.
+    """
     spec = ALL_TABLES[name]
-    checks = {
-        (NULL_VALUE, f.name): F.col(f.name).isNull() for f in spec.fields if f.required
-    }
-    for (table, column), values in VALUE_SETS.items():
-        if table == name:
-            # NULL passes, as in a CHECK constraint.
-            checks[(BAD_VALUE, column)] = ~F.col(column).isin(*values)
-    counted = df.agg(*[F.count_if(c).alias(f"{r}|{n}") for (r, n), c in checks.items()])
-    entries = [
-        F.struct(
-            F.lit(r).alias("rule"),
-            F.lit(n).alias("column_name"),
-            F.col(f"{r}|{n}").alias("violations"),
-        )
-        for r, n in checks
+
+    def entry(rule: str, column: str, domain: str = "", value: Column | None = None) -> Column:
+        rules = F.struct(*[F.lit(x).alias(n) for n, x in zip(
+            ("table_name", "rule", "column_name"), (name, rule, column))])
+        value = F.lit(None).cast("string") if value is None else value.cast("string")
+        return F.struct(F.lit(domain).alias("domain"), value.alias("value"), rules.alias("rule"))
+
+    def of_key(rule: str, column: str, domain: str) -> Column:
+        return F.when(F.col(column).isNotNull(), entry(rule, column, domain, F.col(column)))
+
+    found = [of_key(DUPLICATE_KEY, spec.key, name)]
+    found += [of_key(ORPHAN_KEY, c, parent) for c, parent in spec.refs if parent in tables]
+    found += [F.when(F.col(f.name).isNull(), entry(NULL_VALUE, f.name))
+              for f in spec.fields if f.required]
+    # NULL passes, as in a CHECK constraint.
+    found += [F.when(~F.col(c).isin(*values), entry(BAD_VALUE, c))
+              for (table, c), values in VALUE_SETS.items() if table == name]
+    return df.select(F.explode(F.array_compact(F.array(*found))).alias("e")).select("e.*")
+
+
+def _rules(name: str, tables: Mapping[str, DataFrame]) -> list[tuple[str, str, str]]:
+    spec = ALL_TABLES[name]
+    return [
+        (name, DUPLICATE_KEY, spec.key),
+        *((name, ORPHAN_KEY, c) for c, parent in spec.refs if parent in tables),
+        *((name, NULL_VALUE, f.name) for f in spec.fields if f.required),
+        *((name, BAD_VALUE, c) for table, c in VALUE_SETS if table == name),
     ]
-    return counted.select(F.explode(F.array(*entries)).alias("e")).select(
-        F.lit(name).alias("table_name"), "e.rule", "e.column_name", "e.violations"
-    )
 
 
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
@@ -74,24 +82,29 @@ def orphan_keys(df: DataFrame, column: str, parent: DataFrame, parent_key: str)
 
 
 def check_integrity(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """One row per rule with its number of violations.
+    """One row per rule with its number of violations, from one scan of each table.
 
     Duplicate keys count the rows beyond the first of each key; orphan keys
-    count rows.
+    count rows. Rows are counted per value and rule before they are shuffled, so
+    a key that many rows refer to is one row of each task. A value then meets the
+    parent's key and all references to it in one place.
     """
-    reports = []
-    for name, df in tables.items():
-        spec = ALL_TABLES[name]
-        reports.append(_row_rules(name, df))
-        extra = duplicate_keys(df, spec.key).agg(
-            F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint").alias("violations")
-        )
-        reports.append(_row(extra, name, DUPLICATE_KEY, spec.key))
-        for column, parent in spec.refs:
-            if parent in tables:
-                orphans = orphan_keys(df, column, tables[parent], ALL_TABLES[parent].key)
-                total = orphans.agg(
-                    F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("violations")
-                )
-                reports.append(_row(total, name, ORPHAN_KEY, column))
-    return reduce(DataFrame.unionByName, reports).orderBy("table_name", "rule", "column_name")
+    spark = next(iter(tables.values())).sparkSession
+    entries = reduce(DataFrame.unionByName, [_entries(n, df, tables) for n, df in tables.items()])
+    counted = entries.groupBy("domain", "value", "rule").agg(F.count("*").alias("n"))
+    # As many entries of a value as there are rules about its domain.
+    met = counted.groupBy("domain", "value").agg(
+        F.max(F.col("rule.rule") == DUPLICATE_KEY).alias("there"),
+        F.collect_list(F.struct("rule", "n")).alias("entries"))
+    each = met.select("there", F.explode("entries").alias("e")).select("there", "e.rule.*", "e.n")
+    broken = (
+        F.when(F.col("rule") == DUPLICATE_KEY, F.col("n") - 1)
+        .when((F.col("rule") == ORPHAN_KEY) & F.col("there"), 0)
+        .otherwise(F.col("n"))
+    )
+    sums = each.groupBy("table_name", "rule", "column_name").agg(F.sum(broken).alias("violations"))
+    rules = spark.createDataFrame([r for n in tables for r in _rules(n, tables)], _RULE)
+    return rules.join(sums, ["table_name", "rule", "column_name"], "left").select(
+        "table_name", "rule", "column_name",
+        F.coalesce("violations", F.lit(0)).cast("bigint").alias("violations"),
+    ).orderBy("table_name", "rule", "column_name")

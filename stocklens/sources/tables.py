@@ -43,6 +43,10 @@ class Tables:
         self.__dict__[name] = frame
         return frame
 
+    def names(self) -> list[str]:
+        """Names of the set's tables; none is opened."""
+        return list(self._sources)
+
     def as_dict(self) -> dict[str, DataFrame]:
         """Table name -> frame, for all tables of the set."""
         return {name: getattr(self, name) for name in self._sources}
