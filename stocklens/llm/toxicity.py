@@ -1,10 +1,11 @@
 """Operator 7: a toxicity classifier that does not react to group names.
 
 A logistic regression over words and word beginnings is fitted on a bounded
-sample of labelled documents. Where a sampled document names a group, a
-counterfactual twin with another group of the same kind in its place is made,
-and a change of the score between the two is penalised, so that neutral
-mentions carry no weight.
+sample of labelled documents. Each of these gets counterfactual twins: where it
+names a group, with another group of the same kind and with a neutral word in
+its place; where it names none, with a name put in. A change of the score between
+a document and its twin is penalised, so that neither one name more than
+another nor the mention of any carries weight.
 
 Features are counted in the tasks and added up by Spark; a bounded number of
 them, those that tell most about the label, becomes the vocabulary. Scoring is
@@ -36,14 +37,45 @@ STEMS = (4, 5, 6, 7, 8, 9)
 #: Scores from here on are class 1.
 LIMIT = 0.3
 
-#: Group names that may stand for each other.
+#: Group names that may stand for each other: per kind, language and number in one order.
 IDENTITY_TERMS: Mapping[str, Sequence[str]] = {
-    "faith": ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
-    "gender": ("women", "men", "girls", "boys"),
-    "origin": ("africans", "asians", "europeans", "americans", "immigrants", "refugees"),
-    "love": ("gay", "lesbian", "straight", "bisexual"),
-    "age": ("children", "adults", "elderly", "teenagers"),
+    "faith": ("muslim", "christian", "jew", "hindu", "buddhist", "atheist"),
+    "faiths": ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
+    "faith adjective": ("islamic", "catholic", "jewish", "protestant"),
+    "faiths fr": ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    "faith fr": ("musulman", "chrétien", "juif", "hindou", "bouddhiste", "athée"),
+    "faiths de": ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+    "faiths es": ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    "faith es": ("musulmán", "cristiano", "judío", "hindú", "budista", "ateo"),
+    "gender": ("woman", "man", "girl", "boy"),
+    "genders": ("women", "men", "girls", "boys"),
+    "genders fr": ("femmes", "hommes", "filles", "garçons"),
+    "genders de": ("frauen", "männer", "mädchen", "jungen"),
+    "genders es": ("mujeres", "hombres", "chicas", "chicos"),
+    "origin": ("african", "asian", "european", "american", "immigrant", "refugee", "foreigner"),
+    "origins": ("africans", "asians", "europeans", "americans", "immigrants", "refugees", "foreigners"),
+    "origins fr": ("africains", "asiatiques", "européens", "américains", "immigrés", "réfugiés", "étrangers"),
+    "origins de": ("afrikaner", "asiaten", "europäer", "amerikaner", "einwanderer", "flüchtlinge", "ausländer"),
+    "origins es": ("africanos", "asiáticos", "europeos", "americanos", "inmigrantes", "refugiados", "extranjeros"),
+    "love": ("gay", "lesbian", "straight", "bisexual", "homosexual", "transgender"),
+    "loves fr": ("gays", "lesbiennes", "hétérosexuels", "bisexuels", "homosexuels"),
+    "loves de": ("schwule", "lesben", "heterosexuelle", "bisexuelle", "homosexuelle"),
+    "loves es": ("gays", "lesbianas", "heterosexuales", "bisexuales", "homosexuales"),
+    "age": ("child", "adult", "teenager", "pensioner"),
+    "ages": ("children", "adults", "teenagers", "elderly", "pensioners"),
+    "ages fr": ("enfants", "adultes", "adolescents", "retraités"),
+    "ages de": ("kinder", "erwachsene", "jugendliche", "rentner"),
+    "ages es": ("niños", "adultos", "adolescentes", "jubilados"),
 }
+#: What names nobody in particular, by the language at the end of a kind and by number.
+NEUTRAL = {"": "person", "s": "people", "s fr": "gens", " fr": "individu", "s de": "leute",
+           "s es": "gente", " es": "persona"}
+
+
+def neutral_word(kind: str) -> str:
+    """The neutral word for names of a kind."""
+    ends = [e for e in NEUTRAL if kind.endswith(e)]
+    return NEUTRAL[max(ends, key=len)]
 
 
 def features(data: np.ndarray, hasher: Hasher) -> np.ndarray:
@@ -60,15 +92,46 @@ def features(data: np.ndarray, hasher: Hasher) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _swaps(groups: Mapping[str, Sequence[str]], hasher: Hasher) -> dict[int, tuple]:
-    """Word hash -> features of the word, and of the one that replaces it."""
-    out = {}
-    for words in groups.values():
-        each = [np.unique(features(np.frombuffer(w.encode(), np.uint8), hasher)) for w in words]
-        names = [hasher.words(np.frombuffer(w.encode(), np.uint8)) for w in words]
-        for i, name in enumerate(names):
-            out[int(name[0])] = each[i], each[(i + 1) % len(words)]
-    return out
+@dataclass(frozen=True)
+class Names:
+    """Words that name a group, by hash: their features, those of another name, and of a neutral word."""
+
+    hashes: np.ndarray
+    own: list[np.ndarray]
+    other: list[np.ndarray]
+    neutral: list[np.ndarray]
+
+    @classmethod
+    def of(cls, groups: Mapping[str, Sequence[str]], hasher: Hasher) -> Names:
+        def encoded(word: str) -> np.ndarray:
+            return np.frombuffer(word.encode(), np.uint8)
+
+        rows: dict[int, tuple] = {}
+        for kind, words in groups.items():
+            each = [np.unique(features(encoded(w), hasher)) for w in words]
+            plain = np.unique(features(encoded(neutral_word(kind)), hasher))
+            for i, word in enumerate(words):
+                name = int(hasher.words(encoded(word))[0])
+                rows.setdefault(name, (each[i], each[(i + 1) % len(words)], plain))
+        order = sorted(rows)
+        return cls(np.array(order, np.uint64), *([rows[n][i] for n in order] for i in range(3)))
+
+    def twins(self, words: np.ndarray) -> list[list[tuple[np.ndarray, int]]]:
+        """Counterfactual twins of a text: the features that each has less (1) and more (-1).
+
+        A text that names groups has one with other names and one with neutral
+        words in their place. One that names none has two with a name put in,
+        which the text's own words choose.
+        """
+        if not len(self.hashes):
+            return []
+        at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
+        at = at[self.hashes[at] == words] if len(words) else at
+        if len(at):
+            return [[c for i in at for c in ((self.own[i], 1), (side[i], -1))]
+                    for side in (self.other, self.neutral)]
+        chosen = int(words.sum(dtype=np.uint64)) % len(self.hashes)
+        return [[(side[chosen], -1)] for side in (self.own, self.other)]
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,24 +197,24 @@ def _encoded(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, groups = shared.value
         hasher = Hasher(LETTERS, lower=True)
-        swaps = _swaps(groups, hasher)
-        names = np.fromiter(swaps, np.uint64, len(swaps))
+        names = Names.of(groups, hasher)
         for batch in batches:
             out = []
             for data in byte_rows(batch.column(1)):
                 columns, values = _row(data, hasher, table)
                 words = hasher.words(data)
-                change: dict[int, float] = {}
-                for name in words[np.isin(words, names)]:
-                    mine, other = swaps[int(name)]
-                    for place in table.places(mine):
-                        change[int(place)] = change.get(int(place), 0.0) + 1
-                    for place in table.places(other):
-                        change[int(place)] = change.get(int(place), 0.0) - 1
-                out.append((columns.tolist(), values.tolist(), list(change),
-                            list(change.values())))
-            names_out = ["columns", "values", "changed", "change"]
-            kinds = [pa.int64(), pa.float64(), pa.int64(), pa.float64()]
+                changes = []
+                for twin in names.twins(words):
+                    change: dict[int, float] = {}
+                    for hashes, sign in twin:
+                        for place in table.places(hashes).tolist():
+                            change[place] = change.get(place, 0.0) + sign
+                    changes.append({p: c for p, c in change.items() if c})
+                first, second = [*changes, {}, {}][:2]
+                out.append((columns.tolist(), values.tolist(), list(first), list(first.values()),
+                            list(second), list(second.values())))
+            names_out = ["columns", "values", "changed", "change", "changed_too", "change_too"]
+            kinds = [pa.int64(), pa.float64()] * 3
             yield pa.RecordBatch.from_arrays(
                 [batch.column(2), *(pa.array([o[i] for o in out], pa.list_(k))
                                     for i, k in enumerate(kinds))],
@@ -171,11 +234,21 @@ def _rows(table: pa.Table, columns: str, values: str) -> Rows:
     )
 
 
+def _together(one: Rows, two: Rows) -> Rows:
+    """The rows of both that have entries."""
+    rows = np.concatenate([one.rows, one.count + two.rows])
+    _, rows = np.unique(rows, return_inverse=True)
+    return Rows(int(rows.max(initial=-1)) + 1, rows, np.concatenate([one.columns, two.columns]),
+                np.concatenate([one.values, two.values]))
+
+
 @dataclass(frozen=True)
 class Model:
     table: Table
     weights: np.ndarray
     intercept: float
+    #: Counterfactual twins that took part in the fit.
+    twins: int = 0
 
     def score(self, data: np.ndarray, hasher: Hasher) -> float:
         columns, values = _row(data, hasher, self.table)
@@ -204,23 +277,24 @@ def train(
     size = {r["label"]: r["count"] for r in texts.groupBy("label").count().collect()}
     ones, zeros = size.get(1, 0), size.get(0, 0)
     hasher = Hasher(LETTERS, lower=True)
-    terms = [each for each, _ in _swaps(identity_terms, hasher).values()]
+    names = Names.of(identity_terms, hasher)
+    terms = [*names.own, *names.other, *names.neutral]
     chosen = _vocabulary(texts, ones, zeros, vocabulary) if ones and zeros else []
     table = Table(np.unique(np.concatenate([np.array(chosen, np.uint64), *terms])))
     shared = spark.sparkContext.broadcast((table, identity_terms))
     encoded = texts.mapInArrow(
         _encoded(shared),
         "label int, columns array<long>, values array<double>, changed array<long>, "
-        "change array<double>",
+        "change array<double>, changed_too array<long>, change_too array<double>",
     ).toArrow()
     rows = _rows(encoded, "columns", "values")
-    weights, intercept = fit(
-        rows, np.asarray(encoded.column("label"), float), _rows(encoded, "changed", "change"),
-        len(table.hashes), steady=steady,
-    )
+    changes = _together(_rows(encoded, "changed", "change"),
+                        _rows(encoded, "changed_too", "change_too"))
+    weights, intercept = fit(rows, np.asarray(encoded.column("label"), float), changes,
+                             len(table.hashes), steady=steady)
     if ones and zeros and row["ones"] and row["zeros"]:
         intercept += float(np.log(row["ones"] / row["zeros"]) - np.log(ones / zeros))
-    return Model(table, weights, intercept)
+    return Model(table, weights, intercept, changes.count)
 
 
 def _scored(shared, text: int):

@@ -92,6 +92,42 @@ def test_group_names_carry_no_weight(marked):
     assert change(50.0) < 0.5 * change(0.0)
 
 
+def test_the_mention_of_a_group_carries_no_weight(marked):
+    """Names are compared with a neutral word too, so that what they have in common goes."""
+    docs, labels = marked
+    hasher = Hasher(LETTERS, lower=True)
+
+    def lift(steady, word):
+        model = toxicity.train(docs, labels, F.lit(True), steady=steady)
+        assert model.twins > 0
+        plain, named = (np.frombuffer(f"lora {w} mite".encode(), np.uint8) for w in ("people", word))
+        return model.score(named, hasher) - model.score(plain, hasher)
+
+    before, after = lift(0.0, "women"), lift(50.0, "women")
+    assert before > 0 and after < 0.5 * before
+
+
+def test_every_text_has_twins():
+    hasher = Hasher(LETTERS, lower=True)
+    names = toxicity.Names.of(toxicity.IDENTITY_TERMS, hasher)
+
+    def twins(text):
+        return names.twins(hasher.words(np.frombuffer(text.encode(), np.uint8)))
+
+    def feature(word):
+        return toxicity.features(np.frombuffer(word.encode(), np.uint8), hasher)[0]
+
+    swapped, neutral = twins("The Muslims and the women")
+    assert [feature("muslims") in h for h, sign in swapped if sign == 1] == [True, False]
+    assert any(feature("christians") in h for h, sign in swapped if sign == -1)
+    assert any(feature("people") in h for h, sign in neutral if sign == -1)
+    for text in ("no name at all", "", "étrangers"):
+        assert len(twins(text)) == 2
+    assert all(sign == -1 for twin in twins("no name at all") for _, sign in twin)
+    assert toxicity.neutral_word("faiths de") == "leute" and toxicity.neutral_word("love") == "person"
+    assert toxicity.Names.of({}, hasher).twins(hasher.words(np.zeros(0, np.uint8))) == []
+
+
 def test_without_labels(documents, marked):
     docs, labels = marked
     forest = quality.train(docs, labels.limit(0), F.lit(True))
