@@ -160,6 +160,13 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[str, bytes]]]:
         yield block
 
 
+def _named(benchmark: DataFrame, item: str, text: str) -> DataFrame:
+    """Items with a text; a null id is the empty one."""
+    return benchmark.select(
+        F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item_id"),
+        F.col(text).alias("text")).where("text IS NOT NULL")
+
+
 def contamination(
     docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     item_column: str = "item_id", item_text_column: str = "text",
@@ -169,12 +176,12 @@ def contamination(
     Words are runs of digits, letters and characters beyond ASCII, compared
     without ASCII case. An item of fewer than ``SPAN`` words counts as one span
     and is looked up whole. Null or wordless texts and items hit nothing; an
-    item id that repeats is one item. An empty benchmark gives documents
+    item id that repeats is one item, and a null one is the item of the empty id.
+    An empty benchmark gives documents
     without hits. Rows with equal ids stay separate.
     """
     spark: SparkSession = docs.sparkSession
-    items = benchmark.select(F.col(item_column).cast("string").alias("item_id"),
-                             F.col(item_text_column).alias("text")).dropna()
+    items = _named(benchmark, item_column, item_text_column)
     blocks = [spark.sparkContext.broadcast(Items(b)) for b in _blocks(items)]
     blocks = blocks or [spark.sparkContext.broadcast(Items([]))]
     text = F.col(text_column)
@@ -216,11 +223,11 @@ def hit_words(hits: str = "hits") -> Column:
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a benchmark span, with their columns.
 
-    A row stays or goes with its own text, also where ids repeat. Extra columns
-    stay as they are.
+    A row stays or goes with its own text, also where ids repeat. Items count
+    whether they have an id or not. Extra columns stay as they are.
     """
     spark: SparkSession = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string"), "text").dropna()
+    items = _named(benchmark, "item_id", "text")
     for block in _blocks(items):
         shared = spark.sparkContext.broadcast(Items(block))
         docs = docs.mapInArrow(_without(shared, docs.columns.index("text")), docs.schema)

@@ -20,13 +20,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stocklens.llm.cuts import cut_points
+from stocklens.llm.cuts import cut_points, free_names
 from stocklens.sources.scratch import run_path
 
 #: Runs of a level that are merged into the next.
 FAN = 2
 #: Batches that a whole table is cut into.
 BATCHES = 4
+#: Keys that may be so frequent that their places are looked up instead of shuffled.
+HOT = 1000
 
 _WHITE = "\t\n\v\f\r "
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -141,9 +143,17 @@ def repeated_lines(
         runs.add(keys)
     often = runs.counts().where(F.col("n_docs") >= least_docs)
     dropped = often.join(reduce(DataFrame.unionByName, holders), list(_KEY))
+    dropped.write.parquet(f"{folder}/dropped")
+    dropped = spark.read.parquet(f"{folder}/dropped")
+    # At most HOT keys are found in so many documents; their places are not shuffled by key.
+    hot = F.col("n_docs") >= max(least_docs, places.count() // HOT)
+    first = F.broadcast(dropped.where(hot).select(*_KEY, F.col("holder").alias("hot_holder"), F.lit(True).alias("hot")))
+    met = places.join(first, list(_KEY), "left")
+    rest = met.where("hot IS NULL").drop("hot", "hot_holder")
+    found = met.where("hot").withColumnRenamed("hot_holder", "holder").drop("hot").unionByName(
+        rest.join(dropped.where(~hot).select(*_KEY, "holder"), list(_KEY)))
     return (
-        places.join(dropped, list(_KEY))
-        .where(~F.col("doc_id").eqNullSafe(F.col("holder")))
+        found.where(~F.col("doc_id").eqNullSafe(F.col("holder")))
         .groupBy("doc_id", "text_key").agg(F.collect_set("place").alias("places"))
     )
 
@@ -159,17 +169,16 @@ def drop_repeated_lines(
     holds the key, there as often as they occur. Rows with equal ids are one
     document; a null id is one that is smaller than all others. Null and empty
     texts are one empty line, which is always too short. The result has no null
-    text. Extra columns stay; existing n_lines and n_dropped are replaced.
+    text. Extra columns stay, whatever their names; existing n_lines and n_dropped are replaced.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    key = F.xxhash64("text")
+    key, own = F.xxhash64("text"), free_names(docs, "_id", "_key", "_places")
     rows = docs.select("doc_id", key.alias("text_key"), "text")
     found = repeated_lines(rows, least_chars, least_docs, batches, fan).select(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"),
-        F.col("places").alias("_places"))
+        *[F.col(c).alias(n) for c, n in zip(("doc_id", "text_key", "places"), own)])
     joined = docs.join(
-        found, docs["doc_id"].eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left")
-    lines, places = lines_of(F.col("text")), F.col("_places")
+        found, docs["doc_id"].eqNullSafe(F.col(own[0])) & (key == F.col(own[1])), "left")
+    lines, places = lines_of(F.col("text")), F.col(own[2])
     kept = F.filter(lines, lambda line, place: ~F.array_contains(places, place))
     text = F.when(places.isNull(), F.coalesce("text", F.lit(""))).otherwise(
         F.array_join(kept, "\n"))
@@ -177,4 +186,4 @@ def drop_repeated_lines(
         "n_lines": F.size(lines).cast("long"),
         "n_dropped": F.when(places.isNull(), 0).otherwise(F.size(places)).cast("long"),
         "text": text,
-    }).drop("_id", "_key", "_places")
+    }).drop(*own)

@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stocklens.llm.components import components
+from stocklens.llm.cuts import free_names
 from stocklens.llm.text import VISIBLE, Hasher, byte_rows, distinct, grams, lists, mix, whole
 from stocklens.sources.scratch import materialized
 
@@ -443,11 +444,12 @@ def one_of_each_group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFra
     wordless = rows.where(F.col("root").isNull()).select("doc_id", "text_key").distinct()
     stay = least.select("row.doc_id", "row.text_key", (F.col("row.n") > 1).alias("repeats")).union(
         wordless.withColumn("repeats", F.lit(False)))
-    stay = materialized(stay.toDF("_id", "_key", "_repeats"), "stay")
+    stay_id, stay_key, repeats = free_names(docs, "_id", "_key", "_repeats")
+    stay = materialized(stay.toDF(stay_id, stay_key, repeats), "stay")
     key = F.xxhash64(F.coalesce("text", F.lit("")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (key == F.col("_key"))
-    kept = docs.join(stay.where("NOT _repeats"), same, "left_semi")
-    if stay.where("_repeats").isEmpty():
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(stay_id)) & (key == F.col(stay_key))
+    kept = docs.join(stay.where(~F.col(repeats)), same, "left_semi")
+    if stay.where(repeats).isEmpty():
         return kept
-    repeated = docs.join(stay.where("_repeats"), same, "left_semi").withColumn("_key", key)
-    return kept.union(repeated.dropDuplicates(["doc_id", "_key"]).drop("_key"))
+    repeated = docs.join(stay.where(repeats), same, "left_semi").withColumn(stay_key, key)
+    return kept.union(repeated.dropDuplicates(["doc_id", stay_key]).drop(stay_key))

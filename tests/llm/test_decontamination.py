@@ -71,3 +71,13 @@ def test_empty_tables(spark, documents, benchmark):
     assert D.contamination(documents([]), benchmark).count() == 0
     assert D.contamination(documents({1: "x"}), none).first().n_words == 1
     assert D.clean_documents(documents({1: "x"}), none).count() == 1
+
+
+def test_items_without_an_id(spark, documents):
+    """Their passages are found and their documents go; they are the item of the empty id."""
+    passage = " ".join(f"word{i}" for i in range(12))
+    docs = documents({1: f"before {passage} after", 2: "nothing of it"})
+    items = spark.createDataFrame([(None, passage), ("b", None), (None, None)], "item_id string, text string")
+    found = D.contamination(docs, items).orderBy("doc_id").collect()
+    assert [(r.item_ids, len(r.hits)) for r in found] == [([""], 1), ([], 0)]
+    assert [r.doc_id for r in D.clean_documents(docs, items).collect()] == [2]

@@ -162,3 +162,11 @@ def test_passages_of_empty_tables(documents):
     assert S.remove_repeats(documents([])).count() == 0
     rows = S.remove_repeats(documents({1: None, 2: ""})).collect()
     assert {(r.doc_id, r.n_words, r.n_removed, r.kept) for r in rows} == {(1, 0, 0, ""), (2, 0, 0, "")}
+
+
+def test_one_of_each_group_with_columns_of_its_own_names(documents):
+    docs = documents([(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "x y z u v w"), (3, "x y z u v w")])
+    for name in ("_id", "_key", "_Repeats"):
+        docs = docs.selectExpr("*", f"'own' AS {name}")
+    kept = J.one_of_each_group(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]

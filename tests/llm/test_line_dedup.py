@@ -82,3 +82,20 @@ def test_digest(documents):
     out = D.drop_repeated_lines(documents({1: "a\nb"})).select(
         "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("d"))
     assert rows_by_id(out, "d") == {1: hashlib.sha256(b"a\nb").hexdigest()}
+
+
+@pytest.mark.parametrize("hot", [1, 3, 10_000])
+def test_frequent_lines_either_way(documents, monkeypatch, hot):
+    """Looked up or joined, the same lines go; with columns of the names used inside."""
+    monkeypatch.setattr(D, "HOT", hot)
+    line = "this very common line is in most of the documents"
+    rows = [(i, f"own line {i % 40} of the many\n{line}" if i % 3 else f"{line}\n" * 3) for i in range(200)]
+    docs = documents(rows, extra=True)
+    for name in ("_id", "_KEY", "_places", "holder", "hot", "n_docs", "h1"):
+        docs = docs.withColumn(name, F.lit("own"))
+    out = D.drop_repeated_lines(docs)
+    assert [c for c in docs.columns if c != "n_lines"] == [c for c in out.columns if c in docs.columns and c != "n_lines"]
+    expected = brute(rows)
+    for r in out.collect():
+        assert (r.n_lines, r.n_dropped, r.text) == expected[r.doc_id, dict(rows)[r.doc_id]]
+        assert r._id == r._KEY == r.holder == "own"
