@@ -12,9 +12,11 @@ and classes are joined exactly:
 2. Prefixes in the first order are shuffled by shingle and band of set sizes.
    Nearly all are held by one class only and drop out; the rest are the hits.
    Whole sets are read again for the classes with hits.
-3. A few rounds link classes to hubs: each class is compared with the one class
-   that it shares most hits with, among one random class per shingle. That
-   joins most of a large group of near copies with as many pairs as classes.
+3. Rounds link classes to hubs: each class is compared with the one class
+   that it shares most hits with, among one random class per shingle. A round
+   joins much of a large group of near copies with as many pairs as classes.
+   Rounds go on while they find links and the hits left would make more pairs
+   than there are hits.
 4. All pairs of classes of different components that share a hit are then
    compared, so that no link between components is lost. Pairs within a
    component need no look; they cannot change it.
@@ -39,8 +41,10 @@ from stocklens.sources.scratch import materialized
 
 #: Bits of a shingle's hash that choose its counter, and counters sent in one row.
 COUNTER_BITS, SLICE = 20, 1 << 12
-#: Rounds of links to hubs.
-HUB_ROUNDS = 2
+#: Rounds of links to hubs: at least, and at most while hits still make many pairs of components.
+HUB_ROUNDS, MOST_HUB_ROUNDS = 2, 12
+#: Pairs for each hit from which on another round is made.
+CROWDED = 1
 
 _SEEDS = tuple(np.uint64(s) for s in (0x243F6A8885A308D3, 0x13198A2E03707344))
 
@@ -331,7 +335,7 @@ class _Join:
                 F.col("class").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
         return pairs
 
-    def _open(self, roots: DataFrame) -> DataFrame:
+    def open_hits(self, roots: DataFrame) -> DataFrame:
         """Hits whose key is held by several components, with the component of each class."""
         known = roots.select(F.col("node").alias("class"), "root")
         placed = self.hits.join(known, "class", "left").select(
@@ -340,9 +344,14 @@ class _Join:
             F.min("part").alias("a"), F.max("part").alias("b")).where("a != b").select("key")
         return materialized(placed.join(several, "key"), "open")
 
-    def hub_pairs(self, roots: DataFrame, number: int) -> DataFrame:
+    def crowded(self, placed: DataFrame) -> bool:
+        """Whether the hits of different components make many more pairs than there are hits."""
+        held = placed.groupBy("key").agg(F.count("*").cast("double").alias("n"))
+        row = held.agg(F.sum("n").alias("hits"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).first()
+        return (row["pairs"] or 0) > CROWDED * (row["hits"] or 0)
+
+    def hub_pairs(self, placed: DataFrame, number: int) -> DataFrame:
         """Each class with the hub of another component that it shares most hits with."""
-        placed = self._open(roots)
         order = F.xxhash64(F.lit(number), F.col("class"))
         hubs = placed.groupBy("key").agg(
             F.min(F.struct(order.alias("order"), "class", "part", "n")).alias("hub"))
@@ -357,9 +366,8 @@ class _Join:
             F.col("class").alias("u"), F.col("best.hub").alias("v"), F.col("n").alias("n_u"),
             F.col("best.n_hub").alias("n_v"), (F.col("best.shared") * 4).alias("shared"))
 
-    def all_pairs(self, roots: DataFrame) -> DataFrame:
+    def all_pairs(self, placed: DataFrame) -> DataFrame:
         """Every pair of classes of different components that shares a hit, once."""
-        placed = self._open(roots)
         held = placed.groupBy("class").agg(F.sort_array(F.collect_set("key")).alias("held"))
         rows = placed.join(held, "class")
         left, right = (rows.select("key", *[F.col(x).alias(f"{x}_{c}") for x in
@@ -413,11 +421,17 @@ def _rooted(docs: DataFrame, k: int, percent: int, hub_rounds: int) -> DataFrame
     empty = join.hits.limit(0).select(F.col("class").alias("u"), F.col("class").alias("v"))
     links = empty
     roots = empty.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    for number in range(hub_rounds):
-        found = materialized(join.links(join.hub_pairs(roots, number)), "found")
-        links = links.union(found)
-        roots = components(links)
-    found = materialized(join.links(join.all_pairs(roots)), "found")
+    placed, number, linked = join.open_hits(roots), 0, True
+    # Rounds go on while they link what would else be compared pair by pair.
+    while number < hub_rounds or linked and number < MOST_HUB_ROUNDS and join.crowded(placed):
+        found = materialized(join.links(join.hub_pairs(placed, number)), "found")
+        linked = not found.isEmpty()
+        if linked:
+            links = links.union(found)
+            roots = components(links)
+            placed = join.open_hits(roots)
+        number += 1
+    found = materialized(join.links(join.all_pairs(placed)), "found")
     roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(found))
     classes = measured.where(F.col("class").isNotNull()).groupBy("class").agg(
         F.min("doc_id").alias("class_id"))
