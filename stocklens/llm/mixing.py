@@ -15,11 +15,13 @@ are shuffled, and one number per round reaches the driver.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stocklens.llm.cuts import free_names
 from stocklens.sources.scratch import materialized
 
 MARGINS = ("source", "lang", "topic")
@@ -83,7 +85,7 @@ def rake(
     for margin in MARGINS:
         cells = cells.join(_targets(cells, margin, (targets or {}).get(margin)), margin)
     cells = cells.withColumn("weight", F.col("n_tokens") / F.lit(float(total)))
-    shares = [f"{m}_share" for m in MARGINS]
+    shares, largest = [f"{m}_share" for m in MARGINS], None
     for _ in range(rounds):
         before = F.col("weight").alias("before")
         step = cells.withColumn("before", before)
@@ -99,6 +101,8 @@ def rake(
         cells = done.drop("before")
         if largest is None or largest <= tolerance:
             break
+    else:
+        warnings.warn(f"margins still change by {largest} of a weight after {rounds} rounds")
     return cells.drop(*shares)
 
 
@@ -122,6 +126,8 @@ def calibrate(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
         if new <= scale:
             break
         scale = new
+    else:
+        warnings.warn(f"chances are not settled after {CUT_ROUNDS} rounds; the budget is not met")
     return cells.withColumn("probability", F.least(F.col("factor") * F.lit(scale), F.lit(1.0)))
 
 
@@ -153,10 +159,9 @@ def mixture(
     rows = materialized(measured(docs), "measured")
     cells = _cells(rows, targets, budget)
     out = rows.join(cells, list(MARGINS))
-    chance = F.round("probability", 6)
     return out.select(
-        "doc_id", *MARGINS, "n_tokens", F.round("factor", 6).alias("factor"),
-        chance.alias("probability"), (draw(F.col("doc_id"), seed) < chance).alias("sampled"))
+        "doc_id", *MARGINS, "n_tokens", "factor", "probability",
+        (draw(F.col("doc_id"), seed) < F.col("probability")).alias("sampled"))
 
 
 def sample_mixture(
@@ -166,10 +171,11 @@ def sample_mixture(
     """The sampled documents with their columns."""
     rows = measured(docs)
     cells = _cells(rows, targets, budget)
-    names = {m: f"_mix_{m}" for m in MARGINS}
+    *own, chance = free_names(docs, *[f"_mix_{m}" for m in MARGINS], "_mix_chance")
+    names = dict(zip(MARGINS, own))
     keyed = docs.withColumns({names[m]: c for m, c in _margins(docs).items()})
     cells = cells.select(*[F.col(m).alias(names[m]) for m in MARGINS],
-                         F.round("probability", 6).alias("_mix_chance"))
+                         F.col("probability").alias(chance))
     taken = keyed.join(cells, list(names.values())).where(
-        draw(F.col("doc_id"), seed) < F.col("_mix_chance"))
+        draw(F.col("doc_id"), seed) < F.col(chance))
     return taken.select(*docs.columns)

@@ -50,7 +50,7 @@ c{i + 1} AS MATERIALIZED (
 SELECT doc_id, source, lang, topic, n_tokens, round(factor, 6) AS factor,
        round(least(factor * c, 1), 6) AS probability,
        ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT
-           / 281474976710656.0 < round(least(factor * c, 1), 6) AS sampled
+           / 281474976710656.0 < least(factor * c, 1) AS sampled
 FROM docs JOIN f USING (source, lang, topic), c{cut_rounds}
 """
 

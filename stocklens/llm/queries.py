@@ -45,7 +45,9 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 def op1_mixing(spark: SparkSession, directory: str) -> DataFrame:
     shared(spark)
-    return mixing.mixture(table(spark, directory, "documents"))
+    mixed = mixing.mixture(table(spark, directory, "documents"))
+    # To the digits that do not depend on the order of adding; the draw goes by the chance itself.
+    return mixed.withColumns({c: F.round(c, 6) for c in ("factor", "probability")})
 
 
 def op2_decontamination(spark: SparkSession, directory: str) -> DataFrame:

@@ -108,3 +108,15 @@ def test_empty_tables(docs):
     assert M.mixture(docs.limit(0)).count() == 0
     assert M.sample_mixture(docs.limit(0)).count() == 0
     assert M.mixture(docs.where("text = ''")).count() > 0
+
+
+def test_small_chances_are_drawn_from(spark):
+    """A chance far below a millionth is kept as it is: no row is out of reach."""
+    rows = [(i, "word " * 50, "en", "large") for i in range(50)] + [(99, "word", "en", "small")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = M.mixture(docs, {"source": {"large": 1 - 1e-12, "small": 1e-12}}, budget=1e-3)
+    (small,) = out.where("source = 'small'").collect()
+    assert 0 < small.probability < 1e-8
+    for name in ("_mix_source", "_MIX_chance"):
+        docs = docs.withColumn(name, F.lit("own"))
+    assert M.sample_mixture(docs).columns == docs.columns
