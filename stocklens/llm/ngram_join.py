@@ -15,8 +15,8 @@ and classes are joined exactly:
 3. Rounds link classes to hubs: each class is compared with the one class
    that it shares most hits with, among one random class per shingle. A round
    joins much of a large group of near copies with as many pairs as classes.
-   Rounds go on while they find links and the hits left would make more pairs
-   than there are hits.
+   Rounds go on while each thins out what is left, and that would make many more
+   pairs than there are hits.
 4. All pairs of classes of different components that share a hit are then
    compared, so that no link between components is lost. Pairs within a
    component need no look; they cannot change it.
@@ -43,8 +43,8 @@ from stocklens.sources.scratch import materialized
 COUNTER_BITS, SLICE = 20, 1 << 12
 #: Rounds of links to hubs: at least, and at most while hits still make many pairs of components.
 HUB_ROUNDS, MOST_HUB_ROUNDS = 2, 12
-#: Pairs for each hit from which on another round is made.
-CROWDED = 1
+#: Pairs for each hit from which on another round is made, and the share of them that it may leave.
+CROWDED, LEFT = 16, 0.8
 
 _SEEDS = tuple(np.uint64(s) for s in (0x243F6A8885A308D3, 0x13198A2E03707344))
 
@@ -344,11 +344,11 @@ class _Join:
             F.min("part").alias("a"), F.max("part").alias("b")).where("a != b").select("key")
         return materialized(placed.join(several, "key"), "open")
 
-    def crowded(self, placed: DataFrame) -> bool:
-        """Whether the hits of different components make many more pairs than there are hits."""
+    def crowd(self, placed: DataFrame) -> float:
+        """Pairs that the hits of different components make, for each hit."""
         held = placed.groupBy("key").agg(F.count("*").cast("double").alias("n"))
         row = held.agg(F.sum("n").alias("hits"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).first()
-        return (row["pairs"] or 0) > CROWDED * (row["hits"] or 0)
+        return row["pairs"] / row["hits"] if row["hits"] else 0.0
 
     def hub_pairs(self, placed: DataFrame, number: int) -> DataFrame:
         """Each class with the hub of another component that it shares most hits with."""
@@ -421,16 +421,14 @@ def _rooted(docs: DataFrame, k: int, percent: int, hub_rounds: int) -> DataFrame
     empty = join.hits.limit(0).select(F.col("class").alias("u"), F.col("class").alias("v"))
     links = empty
     roots = empty.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    placed, number, linked = join.open_hits(roots), 0, True
-    # Rounds go on while they link what would else be compared pair by pair.
-    while number < hub_rounds or linked and number < MOST_HUB_ROUNDS and join.crowded(placed):
+    placed, number, crowd, before = join.open_hits(roots), 0, 0.0, math.inf
+    # Rounds go on while they thin out what would else be compared pair by pair.
+    while number < hub_rounds or number < MOST_HUB_ROUNDS and CROWDED < crowd < LEFT * before:
         found = materialized(join.links(join.hub_pairs(placed, number)), "found")
-        linked = not found.isEmpty()
-        if linked:
-            links = links.union(found)
-            roots = components(links)
-            placed = join.open_hits(roots)
-        number += 1
+        links = links.union(found)
+        roots = components(links)
+        placed = join.open_hits(roots)
+        number, before, crowd = number + 1, crowd or math.inf, join.crowd(placed)
     found = materialized(join.links(join.all_pairs(placed)), "found")
     roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(found))
     classes = measured.where(F.col("class").isNotNull()).groupBy("class").agg(
