@@ -22,10 +22,11 @@ def _places(hashes: np.ndarray) -> np.ndarray:
 
 
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    flags = np.zeros(1 << PLACE_BITS, bool)
+    table = np.zeros((1 << PLACE_BITS) // 8, np.uint8)
     for batch in batches:
-        flags[_places(batch.column(0).drop_null().to_numpy().view(np.uint64))] = True
-    slices = np.packbits(flags).reshape(-1, SLICE)
+        places = _places(batch.column(0).drop_null().to_numpy().view(np.uint64))
+        np.bitwise_or.at(table, places >> 3, np.uint8(128) >> (places & 7).astype(np.uint8))
+    slices = table.reshape(-1, SLICE)
     used = np.flatnonzero(slices.any(1))
     for i in used:
         yield pa.RecordBatch.from_arrays(

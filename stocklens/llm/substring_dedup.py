@@ -4,18 +4,20 @@
    document: equal windows have equal anchors. One shuffle by anchor tells
    which anchors recur in several documents; a bit table of bounded size keeps
    most windows around other anchors out of the next step.
-2. Recurring passages are confirmed window by window: of the windows around
-   recurring anchors, those stay that several documents hold, each with the
-   smallest document id.
-3. Documents that hold such a window later than another one are dealt to buckets of bounded size, and each bucket gets the
-   confirmed phrases that its documents hold, once per bucket. There the
-   phrases are compiled into Aho-Corasick automata of bounded size over word
-   numbers, and all documents of the bucket stream through them; every
-   occurrence of a phrase first held by a smaller id is removed.
+2. Consecutive windows of one anchor are a stretch, of at least a phrase's words.
+   Documents that hold a whole stretch share all its windows, so only the
+   smallest document of a stretch is looked at more closely, and only where an
+   anchor has several stretches: there passages are confirmed window by window.
+3. Documents that hold a stretch or window later than another one are dealt to
+   buckets of bounded size, and each bucket gets the confirmed phrases that its
+   documents hold, once per bucket. There the phrases are compiled into
+   Aho-Corasick automata of bounded size over word numbers, and all documents
+   of the bucket stream through them; every occurrence of a phrase first held by
+   a smaller id is removed.
 
 A phrase is sent as its hash and the document of the bucket that has it, so
 phrase texts are not moved. Copies are spread over buckets by their id, and
-anchors and windows are added up, so no task depends on a group's size.
+anchors, stretches and windows are added up, so no task depends on a group's size.
 """
 
 from __future__ import annotations
@@ -35,7 +37,6 @@ from stocklens.llm.text import (
     covered,
     distinct,
     grams,
-    lists,
     mix,
     sliding_argmin,
 )
@@ -80,24 +81,80 @@ def _anchors(phrase: int):
     return run
 
 
-def _windows(shared, phrase: int):
-    """The windows of a document that lie around anchors that may recur."""
+def stretches(words: np.ndarray, phrase: int) -> tuple[np.ndarray, ...]:
+    """Anchor, hash, first window and window after the last of each stretch; and all windows.
+
+    A stretch is the windows next to each other that have one anchor. Its hash
+    is that of its first and last window and their number, which hold its words.
+    """
+    hashes, places = anchor_places(words, phrase)
+    windows = grams(words, phrase)
+    first = np.flatnonzero(np.append(True, places[1:] != places[:-1]))
+    after = np.append(first[1:], len(places))
+    with np.errstate(over="ignore"):
+        keys = mix(mix(windows[first] + (after - first).astype(np.uint64)) ^ windows[after - 1])
+    return hashes[places[first]], keys, first, after, windows
+
+
+def _stretches(shared, phrase: int):
+    """The stretches of a document whose anchors may recur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, recurring = Hasher(VISIBLE, lower=False), shared.value
         for batch in batches:
-            found = []
-            for data in byte_rows(batch.column(1)):
+            anchors, keys, rows = [], [], []
+            for row, data in enumerate(byte_rows(batch.column(1))):
                 words = hasher.words(data)
-                if len(words) >= phrase:
-                    hashes, places = anchor_places(words, phrase)
-                    words = distinct(grams(words, phrase)[may_hold(recurring, hashes)[places]])
-                else:
-                    words = words[:0]
-                found.append(words.view(np.int64))
-            rows = pa.RecordBatch.from_arrays(
-                [batch.column(0), lists(found, pa.int64())], ["doc_id", "windows"])
-            yield rows.filter(pa.array([len(f) > 0 for f in found], pa.bool_()))
+                if len(words) < phrase or not batch.column(0)[row].is_valid:
+                    continue
+                anchor, key, *_ = stretches(words, phrase)
+                near = may_hold(recurring, anchor)
+                anchors.append(anchor[near].view(np.int64))
+                keys.append(key[near].view(np.int64))
+                rows.append(np.full(len(keys[-1]), row))
+            none = np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([none, *anchors])), pa.array(np.concatenate([none, *keys])),
+                 batch.column(0).take(pa.array(np.concatenate([none, *rows])))],
+                ["anchor", "stretch", "doc_id"])
+
+    return run
+
+
+def _held(stretch: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
+    """A hash of a stretch and a document that holds it."""
+    return mix(stretch ^ mix(doc_id))
+
+
+def _open_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the bit table of open stretches holds: documents, and stretches with documents."""
+    for batch in batches:
+        stretch, ids = (c.to_numpy().view(np.uint64) for c in batch.columns)
+        marks = np.concatenate([mix(ids), _held(stretch, ids)]).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(marks)], ["hash"])
+
+
+def _windows(shared, phrase: int):
+    """The windows of the open stretches of a document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, marks = Hasher(VISIBLE, lower=False), shared.value
+        sift = _sift(shared)
+        for batch in sift(batches):
+            found, ids = [], batch.column(0).to_numpy().view(np.uint64)
+            for doc_id, data in zip(ids, byte_rows(batch.column(1))):
+                words = hasher.words(data)
+                if len(words) < phrase:
+                    found.append(words[:0].view(np.int64))
+                    continue
+                _, keys, first, after, windows = stretches(words, phrase)
+                met = may_hold(marks, _held(keys, np.full(len(keys), doc_id)))
+                inside = np.repeat(met, after - first)
+                found.append(distinct(windows[inside]).view(np.int64))
+            rows = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            every = np.concatenate([np.zeros(0, np.int64), *found])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(every), batch.column(0).take(rows)], ["window", "doc_id"])
 
     return run
 
@@ -133,25 +190,49 @@ def _spelt(numbers: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def _occurrences(
-    numbers: list[tuple[int, ...]], ids: list, phrases: list[tuple[tuple[int, ...], int]],
-    phrase: int, digits: int,
-) -> list[list[int]]:
-    """First words of the phrases' occurrences in each document, by automata."""
+    numbers: list[tuple[int, ...]], ids: list, phrases: np.ndarray, digits: int,
+) -> list[list[tuple[int, int]]]:
+    """First word and length of the phrases' occurrences in each document, by automata.
+
+    A phrase is the place of its document, its first word, its length and its
+    smallest holder. Only the phrases of one automaton are spelt out at a time.
+    """
     import ahocorasick
 
-    found: list[list[int]] = [[] for _ in numbers]
+    found: list[list[tuple[int, int]]] = [[] for _ in numbers]
     for at in range(0, len(phrases), SHARD):
+        shard = phrases[at:at + SHARD]
         automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for words, holder in phrases[at:at + SHARD]:
-            automaton.add_word(words, holder)
+        # Of equal phrases the last one added counts: the one of the smallest holder.
+        for place, first, length, holder in shard[np.argsort(-shard[:, 3])].tolist():
+            words = numbers[place][first * digits:(first + length) * digits]
+            automaton.add_word(words, (holder, length))
         automaton.make_automaton()
         for sequence, doc_id, out in zip(numbers, ids, found):
             if doc_id is not None:
-                out.extend([end // digits - phrase + 1
-                            for end, holder in automaton.iter(sequence) if holder < doc_id])
+                out.extend([((end + 1) // digits - length, length)
+                            for end, (holder, length) in automaton.iter(sequence)
+                            if holder < doc_id])
     return found
 
 
+def _places(wanted: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the hashes that are wanted, and their holders; ``wanted`` is in order."""
+    at = np.minimum(np.searchsorted(wanted[:, 0], hashes), len(wanted) - 1)
+    met = np.flatnonzero(wanted[at, 0] == hashes)
+    return met, wanted[at[met], 1]
+
+
+def _phrases_of(words: np.ndarray, wanted: np.ndarray, phrase: int) -> np.ndarray:
+    """First word, length and holder of a document's stretches and windows that are wanted."""
+    _, keys, first, after, windows = stretches(words, phrase)
+    whole, holder = _places(wanted, keys.view(np.int64))
+    single, other = _places(wanted, windows.view(np.int64))
+    return np.concatenate([
+        np.stack([first[whole], after[whole] - first[whole] + phrase - 1, holder], axis=1),
+        np.stack([single, np.full(len(single), phrase), other], axis=1)])
+
+
 def _clean(phrase: int):
     """Remove phrases from the documents of one bucket."""
 
@@ -167,25 +248,22 @@ def _clean(phrase: int):
         spelt, digits = _spelt(numbers)
         cuts = digits * np.cumsum([0, *(len(w) for w in words)])
         numbers = [tuple(spelt[a:b].tolist()) for a, b in zip(cuts[:-1], cuts[1:])]
-        wanted: dict[int, list[tuple[int, int]]] = {}
-        for source, window, holder in zip(*(phrases.column(c).to_pylist() for c in
-                                            ("source", "window", "holder"))):
-            wanted.setdefault(source, []).append((window, holder))
-        compiled = []
-        for i, (doc_id, w) in enumerate(zip(ids, words)):
-            if doc_id not in wanted or len(w) < phrase:
-                continue
-            table = np.array(wanted[doc_id], np.int64)
-            windows = grams(w, phrase).view(np.int64)
-            order = np.argsort(table[:, 0])
-            place = np.minimum(np.searchsorted(table[order, 0], windows), len(order) - 1)
-            for at in np.flatnonzero(table[order[place], 0] == windows).tolist():
-                compiled.append((numbers[i][at * digits:(at + phrase) * digits],
-                                 int(table[order[place[at]], 1])))
-        found = _occurrences(numbers, ids, compiled, phrase, digits)
+        phrases = phrases.combine_chunks()
+        columns = [phrases.column(c).to_numpy() for c in ("source", "hash", "holder")]
+        order = np.lexsort(columns[1::-1])
+        source, *columns = (c[order] for c in columns)
+        wanted = np.stack(columns, axis=1)
+        compiled = [np.zeros((0, 4), np.int64)]
+        for place, (doc_id, w) in enumerate(zip(ids, words)):
+            a, b = (0, 0) if doc_id is None else np.searchsorted(source, [doc_id, doc_id + 1])
+            if a < b and len(w) >= phrase:
+                of = _phrases_of(w, wanted[a:b], phrase)
+                compiled.append(np.column_stack([np.full(len(of), place), of]))
+        found = _occurrences(numbers, ids, np.concatenate(compiled), digits)
         kept, gone, removed = [], [], []
         for text, (starts, ends), places in zip(texts, spans, found):
-            drop = covered(np.array(places, np.int64), phrase, len(starts))
+            places = np.array(places, np.int64).reshape(-1, 2)
+            drop = covered(places[:, 0], places[:, 1], len(starts))
             raw = text.tobytes().split()
             kept.append(b" ".join([r for r, d in zip(raw, drop.tolist()) if not d]).decode())
             gone.append(int(drop.sum()))
@@ -206,28 +284,52 @@ _CLEANED = ("doc_id long, text_key long, n_removed long, "
             "removed array<struct<start:int,end:int>>, kept string")
 
 
+def _later(held: DataFrame, first: DataFrame, key: str) -> DataFrame:
+    """doc_id, hash and holder of the documents that hold a key later than the first one."""
+    first = first.where("holder < last").select(key, "holder")
+    return held.join(first, key).where("doc_id > holder").select(
+        "doc_id", F.col(key).alias("hash"), "holder")
+
+
+def _first(held: DataFrame, *keys: str) -> DataFrame:
+    return held.groupBy(*keys).agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("last"))
+
+
 def _later_holders(texts: DataFrame, phrase: int) -> DataFrame:
-    """doc_id, window and holder: windows that the document with id ``holder`` has before.
+    """doc_id, hash and holder: stretches and windows that the document ``holder`` has before.
+
+    A document that is not the first one of a stretch loses all its windows. For
+    the first one each window counts, and all stretches that hold a window have
+    the same anchor; so windows are looked at where an anchor has several
+    stretches, and of each stretch only those of its first document.
 
     The result is written; what it is made from is removed.
     """
     spark = texts.sparkSession
-    anchors = texts.select("doc_id", "text").mapInArrow(
-        _anchors(phrase), "anchor long, doc_id long")
-    recurring = anchors.groupBy("anchor").agg(
-        F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
+    texts = texts.select("doc_id", "text")
+    anchors = texts.mapInArrow(_anchors(phrase), "anchor long, doc_id long")
+    recurring = _first(anchors, "anchor").where("holder < last").select("anchor")
     table = spark.sparkContext.broadcast(bit_table(recurring))
-    path = run_path(spark, "windows")
-    texts.select("doc_id", "text").mapInArrow(
-        _windows(table, phrase), "doc_id long, windows array<long>").write.parquet(path)
-    held = spark.read.parquet(path).select(
-        "doc_id", F.explode("windows").alias("window"),
-    ).where("window is not null").repartition("window")  # the same on both sides of the join
-    first = held.groupBy("window").agg(
-        F.min("doc_id").alias("holder"), F.max("doc_id").alias("last")).where("holder < last")
-    later = held.join(first.select("window", "holder"), "window").where("doc_id > holder")
-    later = materialized(later.select("doc_id", "window", "holder"), "later")
-    removed(spark, path)
+    found = []
+
+    def kept(df: DataFrame, label: str) -> DataFrame:
+        found.append(run_path(spark, label))
+        df.write.parquet(found[-1])
+        return spark.read.schema(df.schema).parquet(found[-1])
+
+    held = kept(texts.mapInArrow(
+        _stretches(table, phrase), "anchor long, stretch long, doc_id long"), "stretches")
+    first = kept(_first(held, "anchor", "stretch"), "first")
+    several = first.groupBy("anchor").agg(
+        F.min("stretch").alias("a"), F.max("stretch").alias("b")).where("a < b").select("anchor")
+    unsure = first.join(several, "anchor").select("stretch", "holder")
+    marks = spark.sparkContext.broadcast(bit_table(unsure.mapInArrow(_open_marks, "hash long")))
+    windows = kept(texts.mapInArrow(_windows(marks, phrase), "window long, doc_id long"), "windows")
+    later = _later(held, first, "stretch").union(
+        _later(windows, _first(windows, "window"), "window"))
+    later = materialized(later, "later")
+    for path in found:
+        removed(spark, path)
     return later
 
 
@@ -250,8 +352,8 @@ def cleaned_documents(docs: DataFrame, phrase: int = PHRASE) -> DataFrame:
     buckets = max(1, size // BUCKET_BYTES)
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket")
     # Dealt out by bucket once, for the phrases and for the documents that meet them.
-    phrases = later.select("*", bucket).repartition("bucket").groupBy("bucket", "window").agg(
-        F.min("doc_id").alias("source"), F.first("holder").alias("holder"))
+    phrases = later.select("*", bucket).repartition("bucket").groupBy("bucket", "hash").agg(
+        F.min("doc_id").alias("source"), F.min("holder").alias("holder"))
     left = near.select(bucket, "doc_id", "text_key", "text").groupBy("bucket")
     return left.cogroup(phrases.groupBy("bucket")).applyInArrow(_clean(phrase), _CLEANED)
 

@@ -125,8 +125,8 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
     return place
 
 
-def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
-    """Which of ``n`` places lie in a window that begins at one of ``starts``."""
+def covered(starts: np.ndarray, width: int | np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` places lie in a window that begins at one of ``starts``; widths may differ."""
     steps = np.zeros(n + 1, np.int32)
     np.add.at(steps, starts, 1)
     np.add.at(steps, np.minimum(starts + width, n), -1)
