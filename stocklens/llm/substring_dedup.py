@@ -37,6 +37,7 @@ from stocklens.llm.text import (
     covered,
     distinct,
     grams,
+    joined,
     mix,
     sliding_argmin,
 )
@@ -53,69 +54,77 @@ SHARD = 20_000
 BASE = 64
 
 
-def anchor_places(words: np.ndarray, phrase: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each gram, and for each window of ``phrase`` words the place of its anchor."""
-    hashes = grams(words, ANCHOR)
-    return hashes, sliding_argmin(hashes, phrase - ANCHOR + 1)
+def batch_words(hasher: Hasher, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The words of a batch's texts one after another, and the text of each."""
+    data, texts = joined(column)
+    starts, ends = hasher.spans(data)
+    counts = np.diff(np.searchsorted(starts, texts))
+    return hasher.hashes(data, starts, ends), np.repeat(np.arange(len(counts)), counts)
 
 
-def _anchors(phrase: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(VISIBLE, lower=False)
-        for batch in batches:
-            found = []
-            for data in byte_rows(batch.column(1)):
-                words = hasher.words(data)
-                if len(words) >= phrase:
-                    hashes, places = anchor_places(words, phrase)
-                    words = distinct(hashes[distinct(places)])
-                else:
-                    words = words[:0]
-                found.append(words)
-            ids = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
-            every = np.concatenate([np.zeros(0, np.uint64), *found])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(every.view(np.int64)), batch.column(0).take(ids)],
-                ["anchor", "doc_id"])
+def anchor_spans(words: np.ndarray, rows: np.ndarray, phrase: int) -> tuple[np.ndarray, ...]:
+    """Anchor, first window and window after the last of each stretch.
 
-    return run
+    A stretch is the windows of one text next to each other that have one anchor.
+    """
+    if len(words) < phrase:
+        none = np.zeros(0, np.int64)
+        return none.view(np.uint64), none, none
+    hashes = grams(words, ANCHOR)
+    places = sliding_argmin(hashes, phrase - ANCHOR + 1)
+    # Windows that reach into the next text are none.
+    places[rows[:len(places)] != rows[phrase - 1:]] = -1
+    edges = np.flatnonzero(np.append(True, places[1:] != places[:-1]))
+    after = np.append(edges[1:], len(places))
+    inside = places[edges] >= 0
+    return hashes[places[edges[inside]]], edges[inside], after[inside]
 
 
-def stretches(words: np.ndarray, phrase: int) -> tuple[np.ndarray, ...]:
+def stretches(words: np.ndarray, rows: np.ndarray, phrase: int) -> tuple[np.ndarray, ...]:
     """Anchor, hash, first window and window after the last of each stretch; and all windows.
 
-    A stretch is the windows next to each other that have one anchor. Its hash
-    is that of its first and last window and their number, which hold its words.
+    The hash is that of the first and last window and their number, which hold
+    the stretch's words.
     """
-    hashes, places = anchor_places(words, phrase)
+    anchors, first, after = anchor_spans(words, rows, phrase)
     windows = grams(words, phrase)
-    first = np.flatnonzero(np.append(True, places[1:] != places[:-1]))
-    after = np.append(first[1:], len(places))
     with np.errstate(over="ignore"):
         keys = mix(mix(windows[first] + (after - first).astype(np.uint64)) ^ windows[after - 1])
-    return hashes[places[first]], keys, first, after, windows
+    return anchors, keys, first, after, windows
+
+
+def _anchors(phrase: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(VISIBLE, lower=False)
+        for batch in batches:
+            words, rows = batch_words(hasher, batch.column(1))
+            anchors, first, _ = anchor_spans(words, rows, phrase)
+            rows = rows[first]
+            # Each anchor of a text once.
+            order = np.lexsort((anchors, rows))
+            anchors, rows = anchors[order], rows[order]
+            new = np.append(True, (anchors[1:] != anchors[:-1]) | (rows[1:] != rows[:-1]))
+            new = new[:len(anchors)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(anchors[new].view(np.int64)), batch.column(0).take(pa.array(rows[new]))],
+                ["anchor", "doc_id"])
+
+    return run
 
 
 def _stretches(shared, phrase: int):
-    """The stretches of a document whose anchors may recur."""
+    """The stretches of documents whose anchors may recur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, recurring = Hasher(VISIBLE, lower=False), shared.value
         for batch in batches:
-            anchors, keys, rows = [], [], []
-            for row, data in enumerate(byte_rows(batch.column(1))):
-                words = hasher.words(data)
-                if len(words) < phrase or not batch.column(0)[row].is_valid:
-                    continue
-                anchor, key, *_ = stretches(words, phrase)
-                near = may_hold(recurring, anchor)
-                anchors.append(anchor[near].view(np.int64))
-                keys.append(key[near].view(np.int64))
-                rows.append(np.full(len(keys[-1]), row))
-            none = np.zeros(0, np.int64)
+            batch = batch.filter(batch.column(0).is_valid())
+            words, rows = batch_words(hasher, batch.column(1))
+            anchors, keys, first, *_ = stretches(words, rows, phrase)
+            near = may_hold(recurring, anchors)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([none, *anchors])), pa.array(np.concatenate([none, *keys])),
-                 batch.column(0).take(pa.array(np.concatenate([none, *rows])))],
+                [pa.array(anchors[near].view(np.int64)), pa.array(keys[near].view(np.int64)),
+                 batch.column(0).take(pa.array(rows[first[near]]))],
                 ["anchor", "stretch", "doc_id"])
 
     return run
@@ -139,22 +148,18 @@ def _windows(shared, phrase: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, marks = Hasher(VISIBLE, lower=False), shared.value
-        sift = _sift(shared)
-        for batch in sift(batches):
-            found, ids = [], batch.column(0).to_numpy().view(np.uint64)
-            for doc_id, data in zip(ids, byte_rows(batch.column(1))):
-                words = hasher.words(data)
-                if len(words) < phrase:
-                    found.append(words[:0].view(np.int64))
-                    continue
-                _, keys, first, after, windows = stretches(words, phrase)
-                met = may_hold(marks, _held(keys, np.full(len(keys), doc_id)))
-                inside = np.repeat(met, after - first)
-                found.append(distinct(windows[inside]).view(np.int64))
-            rows = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
-            every = np.concatenate([np.zeros(0, np.int64), *found])
+        for batch in _sift(shared)(batches):
+            words, rows = batch_words(hasher, batch.column(1))
+            _, keys, first, after, windows = stretches(words, rows, phrase)
+            ids = batch.column(0).to_numpy().view(np.uint64)
+            met = may_hold(marks, _held(keys, ids[rows[first]]))
+            inside = np.zeros(len(windows) + 1, np.int8)
+            inside[first[met]] += 1
+            inside[after[met]] -= 1
+            inside = np.flatnonzero(np.cumsum(inside[:len(windows)]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(every), batch.column(0).take(rows)], ["window", "doc_id"])
+                [pa.array(windows[inside].view(np.int64)),
+                 batch.column(0).take(pa.array(rows[inside]))], ["window", "doc_id"])
 
     return run
 
@@ -225,7 +230,7 @@ def _places(wanted: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _phrases_of(words: np.ndarray, wanted: np.ndarray, phrase: int) -> np.ndarray:
     """First word, length and holder of a document's stretches and windows that are wanted."""
-    _, keys, first, after, windows = stretches(words, phrase)
+    _, keys, first, after, windows = stretches(words, np.zeros(len(words), np.int8), phrase)
     whole, holder = _places(wanted, keys.view(np.int64))
     single, other = _places(wanted, windows.view(np.int64))
     return np.concatenate([

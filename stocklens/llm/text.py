@@ -92,14 +92,27 @@ class Hasher:
 
 
 def grams(words: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all runs of ``k`` words."""
+    """Hashes of all runs of ``k`` words: sums of runs of doubled length, put together."""
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    total = np.zeros(n, np.uint64)
-    for i in range(k):
-        total = total * _ODD + words[i:i + n]
-    return mix(total)
+    # Both sums are of runs that begin at each place; ``total`` is of ``done`` words.
+    total, done, double, length = None, 0, words, 1
+    while True:
+        if k & length:
+            if total is None:
+                total = double
+            else:
+                total = total[:len(words) - done - length + 1] * _power(length) + double[done:]
+            done += length
+        if done == k:
+            return mix(total[:n])
+        double = double[:-length] * _power(length) + double[length:]
+        length *= 2
+
+
+def _power(n: int) -> np.uint64:
+    return np.uint64(pow(int(_ODD), n, 1 << 64))
 
 
 def distinct(values: np.ndarray) -> np.ndarray:
@@ -115,13 +128,13 @@ def whole(words: np.ndarray) -> np.uint64:
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
     """Place of the smallest value of each window, the last of equals."""
-    n = len(values) - width + 1
-    best, place = values[:n].copy(), np.arange(n)
-    for i in range(1, width):
-        other = values[i:i + n]
-        take = other <= best
-        best[take] = other[take]
-        place[take] = np.flatnonzero(take) + i
+    best, place, length = values, np.arange(len(values)), 1
+    while length < width:
+        step = min(length, width - length)
+        later = best[step:] <= best[:-step]
+        place = np.where(later, place[step:], place[:-step])
+        best = np.minimum(best[step:], best[:-step])
+        length += step
     return place
 
 
@@ -147,6 +160,14 @@ def byte_rows(column: pa.Array) -> Iterator[np.ndarray]:
         yield data[bounds[i]:bounds[i + 1]] if valid[i] else data[:0]
 
 
+def joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The texts of a batch with a line end after each, and where each begins; none for null."""
+    texts = [t or b"" for t in column.cast(pa.large_binary()).to_pylist()]
+    starts = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum([len(t) + 1 for t in texts], out=starts[1:])
+    return np.frombuffer(b"\n".join([*texts, b""]), np.uint8), starts
+
+
 def lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     """A list column with one row per array."""
     offsets = np.zeros(len(parts) + 1, np.int32)
