@@ -8,6 +8,8 @@ keeps column pruning for the readers.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,3 +43,34 @@ def removed(spark: SparkSession, path: str) -> bool:
         raise ValueError(f"not a folder of this library: {path}")
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def shuffles_released(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that nothing refers to any more.
+
+    Its cleaner follows the driver's garbage collection, which is rare on a large
+    heap; a job of many written steps would keep the shuffles of all of them.
+    """
+    spark._jvm.System.gc()
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A ``materialized`` whose results are deleted at the end of the block.
+
+    What leaves the block must have been written by then. The shuffle files of
+    a step are given up once it is written.
+    """
+    paths = []
+
+    def kept(df: DataFrame, label: str) -> DataFrame:
+        paths.append(run_path(spark, label))
+        df.write.parquet(paths[-1])
+        shuffles_released(spark)
+        return spark.read.schema(df.schema).parquet(paths[-1])
+
+    try:
+        yield kept
+    finally:
+        for path in paths:
+            removed(spark, path)
