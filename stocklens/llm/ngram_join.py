@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from stocklens.llm.components import components
 from stocklens.llm.cuts import free_names
 from stocklens.llm.text import VISIBLE, Hasher, byte_rows, distinct, grams, lists, mix, whole
-from stocklens.sources.scratch import materialized
+from stocklens.sources.scratch import materialized, temporary
 
 #: Bits of a shingle's hash that choose its counter, and counters sent in one row.
 COUNTER_BITS, SLICE = 20, 1 << 12
@@ -264,7 +264,7 @@ class _Join:
     the next one, for the larger sets there.
     """
 
-    def __init__(self, docs: DataFrame, measured: DataFrame, levels, k: int, percent: int):
+    def __init__(self, docs: DataFrame, measured: DataFrame, levels, k: int, percent: int, kept):
         self.percent = percent
         n = F.col("n")
         short = n - F.ceil(n * 2 * percent / (100 + percent) - 1e-9) + 1
@@ -279,14 +279,14 @@ class _Join:
         several = postings.groupBy("key").agg(
             F.min("class").alias("a"), F.max("class").alias("b"), F.max("own").alias("own"),
         ).where("a != b and own").select("key")
-        self.hits = materialized(
+        self.hits = kept(
             postings.join(several, "key").select("key", "class", "n").distinct(), "hits")
         met = self.hits.select("class").distinct()
         # One document of each of these classes stands for it.
         spoken = firsts.join(met, "class").groupBy("class").agg(
             F.min(F.struct("doc_id", "text_key")).alias("one")).select(
             "class", "one.doc_id", "one.text_key")
-        spoken = materialized(spoken, "spoken")
+        spoken = kept(spoken, "spoken")
         spark = docs.sparkSession
         wanted = spark.sparkContext.broadcast(
             _added_up(spoken.select("text_key").mapInArrow(_tally_rows, _SLICES)))
@@ -294,7 +294,7 @@ class _Join:
                F.col("s.text_key") == F.col("d.text_key")]
         sifted = docs.mapInArrow(_sift(wanted), docs.schema)
         texts = sifted.alias("d").join(spoken.alias("s"), row).select("class", "text")
-        self.sets = materialized(
+        self.sets = kept(
             texts.mapInArrow(_whole_sets(levels, k, percent), _SETS), "sets")
 
     def links(self, pairs: DataFrame) -> DataFrame:
@@ -303,20 +303,24 @@ class _Join:
         ``pairs`` has the sizes n_u and n_v and the number of shared keys. Sets of
         one band hold their whole prefixes under the same keys, those of
         neighbouring bands the short prefix of the smaller and the whole one of
-        the larger.
+        the larger. The links are written, what leads to them is deleted.
         """
+        with temporary(pairs.sparkSession) as kept:
+            return materialized(self._links(pairs, kept), "found")
+
+    def _links(self, pairs: DataFrame, kept) -> DataFrame:
         n, m = F.col("n_u"), F.col("n_v")
         least = _least_shared(n, m, self.percent)
         together = _band(n, self.percent) == _band(m, self.percent)
         fits = F.least(n, m) * 100 >= F.greatest(n, m) * self.percent
         keys = F.when(together, least).otherwise(_least_across(n, m, self.percent))
-        pairs = materialized(pairs.where(fits & (F.col("shared") >= keys)), "pairs")
+        pairs = kept(pairs.where(fits & (F.col("shared") >= keys)), "pairs")
         orders = [f"prefix{i}" for i in range(len(_SEEDS))]
         passed = F.lit(True)
         for p in orders:
             passed &= F.size(F.array_intersect(f"{p}_u", f"{p}_v")) >= least
         met = self._with_sets(pairs, orders)
-        passing = materialized(met.where(passed).select("u", "v"), "passing")
+        passing = kept(met.where(passed).select("u", "v"), "passing")
         both = self._with_sets(passing, ["tokens"]).select("u", "v", "tokens_u", "tokens_v")
         return both.mapInArrow(_verify(self.percent), "u long, v long")
 
@@ -335,14 +339,14 @@ class _Join:
                 F.col("class").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
         return pairs
 
-    def open_hits(self, roots: DataFrame) -> DataFrame:
+    def open_hits(self, roots: DataFrame, kept) -> DataFrame:
         """Hits whose key is held by several components, with the component of each class."""
         known = roots.select(F.col("node").alias("class"), "root")
         placed = self.hits.join(known, "class", "left").select(
             "key", "class", "n", F.coalesce("root", "class").alias("part"))
         several = placed.groupBy("key").agg(
             F.min("part").alias("a"), F.max("part").alias("b")).where("a != b").select("key")
-        return materialized(placed.join(several, "key"), "open")
+        return kept(placed.join(several, "key"), "open")
 
     def crowd(self, placed: DataFrame) -> float:
         """Pairs that the hits of different components make, for each hit."""
@@ -417,20 +421,8 @@ def _rooted(docs: DataFrame, k: int, percent: int, hub_rounds: int) -> DataFrame
     texts = _texts(docs)
     shared = docs.sparkSession.sparkContext.broadcast(frequency_levels(texts.select("text"), k))
     measured = materialized(texts.mapInArrow(_measure(shared, k, percent), _MEASURED), "measured")
-    join = _Join(texts, measured, shared, k, percent)
-    empty = join.hits.limit(0).select(F.col("class").alias("u"), F.col("class").alias("v"))
-    links = empty
-    roots = empty.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    placed, number, crowd, before = join.open_hits(roots), 0, 0.0, math.inf
-    # Rounds go on while they thin out what would else be compared pair by pair.
-    while number < hub_rounds or number < MOST_HUB_ROUNDS and CROWDED < crowd < LEFT * before:
-        found = materialized(join.links(join.hub_pairs(placed, number)), "found")
-        links = links.union(found)
-        roots = components(links)
-        placed = join.open_hits(roots)
-        number, before, crowd = number + 1, crowd or math.inf, join.crowd(placed)
-    found = materialized(join.links(join.all_pairs(placed)), "found")
-    roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(found))
+    with temporary(docs.sparkSession) as kept:
+        roots = _roots(_Join(texts, measured, shared, k, percent, kept), hub_rounds, kept)
     classes = measured.where(F.col("class").isNotNull()).groupBy("class").agg(
         F.min("doc_id").alias("class_id"))
     classes = classes.join(
@@ -441,6 +433,22 @@ def _rooted(docs: DataFrame, k: int, percent: int, hub_rounds: int) -> DataFrame
     return measured.select("doc_id", "text_key", "n", "class").join(classes, "class", "left")
 
 
+def _roots(join: _Join, hub_rounds: int, kept) -> DataFrame:
+    """node and root of every class that is linked to a smaller one; written."""
+    links = join.hits.limit(0).select(F.col("class").alias("u"), F.col("class").alias("v"))
+    roots = links.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    placed, number, crowd, before = join.open_hits(roots, kept), 0, 0.0, math.inf
+    # Rounds go on while they thin out what would else be compared pair by pair.
+    while number < hub_rounds or number < MOST_HUB_ROUNDS and CROWDED < crowd < LEFT * before:
+        links = links.union(join.links(join.hub_pairs(placed, number)))
+        roots = components(links)
+        placed = join.open_hits(roots, kept)
+        number, before, crowd = number + 1, crowd or math.inf, join.crowd(placed)
+    found = join.links(join.all_pairs(placed))
+    return components(
+        roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(found))
+
+
 def one_of_each_group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row of each component, and every row without words, with their columns.
 
