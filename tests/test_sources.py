@@ -245,3 +245,13 @@ def test_scratch_folder(spark):
     df = spark.createDataFrame([(1, "a")], "id int, s string")
     out = materialized(df, "t")
     assert out.collect() == df.collect() and out.schema == df.schema
+
+
+def test_temporary_results_are_deleted_at_the_end(spark, tmp_path, monkeypatch):
+    from stocklens.sources import scratch
+
+    monkeypatch.setattr(scratch, "shared_dir", lambda _: str(tmp_path))
+    with scratch.temporary(spark) as kept:
+        rows = kept(spark.range(3).repartition(2), "rows")
+        assert rows.count() == 3 and any((tmp_path / "stocklens").iterdir())
+    assert not any(p.is_dir() for p in (tmp_path / "stocklens").iterdir())
