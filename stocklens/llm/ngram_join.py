@@ -17,11 +17,17 @@ and classes are joined exactly:
    joins much of a large group of near copies with as many pairs as classes.
    Rounds go on while each thins out what is left, and that would make many more
    pairs than there are hits.
-4. All pairs of classes of different components that share a hit are then
-   compared, so that no link between components is lost. Pairs within a
-   component need no look; they cannot change it.
-
-A pair must pass the filters of all orders before its whole sets are compared.
+4. Where a key's classes still make many pairs of different components, as in a
+   group of texts just below the threshold, the classes are cut into blocks of
+   bounded size. Every two blocks meet in one task, which counts the shared
+   shingles of all their pairs at once and gives links of a spanning forest, so
+   rows grow with the classes and not with their pairs.
+5. All other pairs of classes of different components that share a hit are then
+   compared one by one, so that no link between components is lost. Pairs within
+   a component need no look; they cannot change it.
+
+A pair of steps 3 and 5 must pass the filters of all orders before its whole sets
+are compared.
 """
 
 from __future__ import annotations
@@ -34,6 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stocklens.llm.bit_tables import bit_table, may_hold
 from stocklens.llm.components import components
 from stocklens.llm.cuts import free_names
 from stocklens.llm.text import VISIBLE, Hasher, byte_rows, distinct, grams, lists, mix, whole
@@ -45,6 +52,10 @@ COUNTER_BITS, SLICE = 20, 1 << 12
 HUB_ROUNDS, MOST_HUB_ROUNDS = 2, 12
 #: Pairs for each hit from which on another round is made, and the share of them that it may leave.
 CROWDED, LEFT = 16, 0.8
+#: Classes of a block, and shingles of all its classes, about.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
+#: Holders up to which a shingle is counted pair by pair, and other shingles counted at a time.
+FEW, AT_ONCE = 16, 2048
 
 _SEEDS = tuple(np.uint64(s) for s in (0x243F6A8885A308D3, 0x13198A2E03707344))
 
@@ -171,15 +182,21 @@ def _measure(shared, k: int, percent: int):
 _MEASURED = "doc_id long, text_key long, n long, class long, first boolean, prefix array<long>"
 
 
-def _whole_sets(shared, k: int, percent: int):
+def _whole_sets(shared, wanted, k: int, percent: int):
+    """Class, set and prefixes of the rows whose hash may be wanted."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, levels = Hasher(VISIBLE, lower=True), shared.value
         for batch in batches:
+            near = may_hold(wanted.value, batch.column(0).to_numpy().view(np.uint64))
+            batch = batch.filter(pa.array(near))
             sets = [shingles(data, hasher, k) for data in byte_rows(batch.column(1))]
+            sets = [s for s in sets if len(s)]
             both = [prefixes(s, levels, percent) for s in sets]
             columns = [sets, [b[0] for b in both], [b[1] for b in both]]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) for x in sets], pa.int64()),
+                [pa.array([_class(x) for x in sets], pa.int64()),
+                 pa.array([len(x) for x in sets], pa.int64()),
                  *(lists([x.view(np.int64) for x in c], pa.int64()) for c in columns)],
                 ["class", "n", "tokens", "prefix0", "prefix1"])
 
@@ -227,6 +244,59 @@ def _verify(percent: int):
     return run
 
 
+def overlaps(sizes: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Shared elements of every two of the sets that follow each other in ``tokens``."""
+    m = len(sizes)
+    row = np.repeat(np.arange(m), sizes)
+    order = np.argsort(tokens, kind="stable")
+    tokens, row = tokens[order], row[order]
+    first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])[:len(tokens)])
+    holders = np.diff(np.append(first, len(tokens)))
+    held = np.repeat(holders, holders)
+    out = np.zeros((m, m), np.float32)
+    rare = held <= FEW
+    keys, rows = tokens[rare], row[rare]
+    for step in range(1, FEW):
+        # Rows of one element ascend, so each pair is met once.
+        met = keys[step:] == keys[:-step]
+        if not met.any():
+            break
+        np.add.at(out.reshape(-1), rows[:-step][met] * m + rows[step:][met], np.float32(1))
+    out += out.T
+    rows = row[~rare]
+    column = np.repeat(np.arange((holders > FEW).sum()), holders[holders > FEW])
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, AT_ONCE):
+        a, b = np.searchsorted(column, [at, at + AT_ONCE])
+        some = np.zeros((m, min(AT_ONCE, int(column[-1]) + 1 - at)), np.float32)
+        some[rows[a:b], column[a:b] - at] = 1
+        out += some @ some.T
+    return out
+
+
+def _forest(percent: int):
+    """Links of a spanning forest of a block's classes, between different components."""
+
+    def run(block: pa.Table) -> pa.Table:
+        block = block.combine_chunks()
+        node, part, n = (block.column(c).to_numpy() for c in ("class", "part", "n"))
+        tokens = block.column("tokens").combine_chunks().flatten().to_numpy()
+        shared = overlaps(n, tokens)
+        seen, links = np.zeros(len(node), bool), []
+        for root in range(len(node)):
+            seen[root], reached = True, [] if seen[root] else [root]
+            while reached:
+                x = reached.pop()
+                near = (100 + percent) * shared[x].astype(np.int64) >= percent * (n[x] + n)
+                new = np.flatnonzero(near & (part != part[x]) & ~seen)
+                seen[new] = True
+                reached.extend(new.tolist())
+                links.append((np.full(len(new), node[x]), node[new]))
+        u, v = (np.concatenate([np.zeros(0, np.int64), *side]) for side in zip(*links))
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return run
+
+
 def _least_shared(n: Column, m: Column, percent: int) -> Column:
     """Prefix shingles that similar sets of these sizes share at least.
 
@@ -288,14 +358,12 @@ class _Join:
             "class", "one.doc_id", "one.text_key")
         spoken = kept(spoken, "spoken")
         spark = docs.sparkSession
-        wanted = spark.sparkContext.broadcast(
-            _added_up(spoken.select("text_key").mapInArrow(_tally_rows, _SLICES)))
-        row = [F.col("s.doc_id").eqNullSafe(F.col("d.doc_id")),
-               F.col("s.text_key") == F.col("d.text_key")]
-        sifted = docs.mapInArrow(_sift(wanted), docs.schema)
-        texts = sifted.alias("d").join(spoken.alias("s"), row).select("class", "text")
+        # The row is known by a hash, so texts are not moved; a few other rows come along.
+        row = F.xxhash64("doc_id", "text_key")
+        wanted = spark.sparkContext.broadcast(bit_table(spoken.select(row)))
+        texts = docs.select(row.alias("row"), "text")
         self.sets = kept(
-            texts.mapInArrow(_whole_sets(levels, k, percent), _SETS), "sets")
+            texts.mapInArrow(_whole_sets(levels, wanted, k, percent), _SETS), "sets")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (u, v) of classes that are similar enough.
@@ -330,15 +398,19 @@ class _Join:
         Sets of other classes are left out before they are shuffled.
         """
         classes = pairs.select(F.explode(F.array("u", "v")).alias("class")).distinct()
-        table = pairs.sparkSession.sparkContext.broadcast(
-            _added_up(classes.mapInArrow(_tally_rows, _SLICES)))
-        wanted = self.sets.select(F.lit(0).alias("_"), "class", *columns)
-        wanted = wanted.mapInArrow(_sift(table), wanted.schema)
+        wanted = self._sets_of(classes, columns)
         for side in "uv":
             pairs = pairs.join(wanted.select(
                 F.col("class").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
         return pairs
 
+    def _sets_of(self, classes: DataFrame, columns: list[str]) -> DataFrame:
+        """Columns of the sets of the given classes, and of a few others."""
+        table = classes.sparkSession.sparkContext.broadcast(
+            _added_up(classes.mapInArrow(_tally_rows, _SLICES)))
+        wanted = self.sets.select(F.lit(0).alias("_"), "class", *columns)
+        return wanted.mapInArrow(_sift(table), wanted.schema)
+
     def open_hits(self, roots: DataFrame, kept) -> DataFrame:
         """Hits whose key is held by several components, with the component of each class."""
         known = roots.select(F.col("node").alias("class"), "root")
@@ -370,20 +442,48 @@ class _Join:
             F.col("class").alias("u"), F.col("best.hub").alias("v"), F.col("n").alias("n_u"),
             F.col("best.n_hub").alias("n_v"), (F.col("best.shared") * 4).alias("shared"))
 
-    def all_pairs(self, placed: DataFrame) -> DataFrame:
-        """Every pair of classes of different components that shares a hit, once."""
-        held = placed.groupBy("class").agg(F.sort_array(F.collect_set("key")).alias("held"))
-        rows = placed.join(held, "class")
+    def crowds(self, placed: DataFrame) -> DataFrame:
+        """Keys whose classes make many pairs of different components: key and number of blocks."""
+        parts = placed.groupBy("key", "part").agg(
+            F.count("*").cast("double").alias("m"), F.sum("n").alias("n"))
+        held = parts.groupBy("key").agg(
+            F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("same"), F.sum("n").alias("n"))
+        held = held.where((F.col("m") * F.col("m") - F.col("same")) / 2 > F.col("m") * CROWDED)
+        return held.select("key", F.ceil(F.greatest(
+            F.col("m") / BLOCK, F.col("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+
+    def crowd_links(self, placed: DataFrame, crowds: DataFrame) -> DataFrame:
+        """Links that join the components of each crowd like all links of its pairs; written.
+
+        Each block of a key meets every other one in a task of its own; so a class
+        is sent there once for each other block, with its set.
+        """
+        members = placed.join(crowds, "key")
+        own = F.pmod(F.xxhash64(F.lit("block"), "class"), F.col("blocks"))
+        others = F.when(F.col("blocks") < 3, F.array(F.lit(0).cast("long"))).otherwise(F.filter(
+            F.sequence(F.lit(0).cast("long"), F.col("blocks") - F.lit(1).cast("long")), lambda x: x != own))
+        own = F.when(F.col("blocks") < 3, F.lit(0).cast("long")).otherwise(own)
+        met = members.select("key", "class", "part", "n", own.alias("own"), F.explode(others).alias("other"))
+        met = met.select("key", "class", "part", "n", F.least("own", "other").alias("low"),
+                         F.greatest("own", "other").alias("high"))
+        sets = self._sets_of(members.select("class").distinct(), ["tokens"]).select("class", "tokens")
+        found = met.join(sets, "class").groupBy("key", "low", "high").applyInArrow(
+            _forest(self.percent), "u long, v long")
+        return materialized(found, "found")
+
+    def all_pairs(self, placed: DataFrame, crowds: DataFrame) -> DataFrame:
+        """Every pair of classes of different components that shares a hit, once.
+
+        Pairs that share the key of a crowd have been looked at. Keys of no crowd
+        make a bounded number of pairs for each hit.
+        """
+        rows = placed.join(crowds, "key", "left_anti")
         left, right = (rows.select("key", *[F.col(x).alias(f"{x}_{c}") for x in
-                                            ("class", "part", "n", "held")]) for c in "uv")
+                                            ("class", "part", "n")]) for c in "uv")
         apart = (F.col("class_u") < F.col("class_v")) & (F.col("part_u") != F.col("part_v"))
-        # The arrays are only looked at where the condition before holds.
-        common = F.array_intersect("held_u", "held_v")
-        once = F.when(apart, F.array_min(common) == F.col("key"))
-        met = left.join(right, "key").where(F.coalesce(once, F.lit(False)))
-        return met.select(
-            F.col("class_u").alias("u"), F.col("class_v").alias("v"), "n_u", "n_v",
-            F.size(common).alias("shared"))
+        met = left.join(right, "key").where(apart)
+        return met.groupBy(F.col("class_u").alias("u"), F.col("class_v").alias("v"), "n_u", "n_v").agg(
+            F.count("*").alias("shared"))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -444,7 +544,12 @@ def _roots(join: _Join, hub_rounds: int, kept) -> DataFrame:
         roots = components(links)
         placed = join.open_hits(roots, kept)
         number, before, crowd = number + 1, crowd or math.inf, join.crowd(placed)
-    found = join.links(join.all_pairs(placed))
+    crowds = kept(join.crowds(placed), "crowds")
+    if not crowds.isEmpty():
+        links = links.union(join.crowd_links(placed, crowds))
+        roots = components(links)
+        placed = join.open_hits(roots, kept)
+    found = join.links(join.all_pairs(placed, crowds))
     return components(
         roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(found))
 

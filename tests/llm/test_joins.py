@@ -170,3 +170,32 @@ def test_one_of_each_group_with_columns_of_its_own_names(documents):
         docs = docs.selectExpr("*", f"'own' AS {name}")
     kept = J.one_of_each_group(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
+def test_overlaps_of_sets():
+    rng = np.random.default_rng(3)
+    sets = [rng.choice(400, rng.integers(0, 90), replace=False) for _ in range(50)] + [np.arange(5000)] * 20
+    found = J.overlaps(np.array([len(s) for s in sets]), np.concatenate(sets).astype(np.int64))
+    for i, a in enumerate(sets):
+        assert [int(x) for j, x in enumerate(found[i]) if j != i] == [
+            len(np.intersect1d(a, b)) for j, b in enumerate(sets) if j != i]
+
+
+@pytest.mark.parametrize("block", [1024, 24])
+def test_a_crowd_just_below_the_threshold(monkeypatch, documents, block):
+    """Its links are all found, and the pairs compared one by one do not grow with its square."""
+    rng = np.random.default_rng(5)
+    words, texts = [f"w{i}" for i in range(150)], {}
+    for i in range(240):
+        own = list(words)
+        for at in rng.choice(150, rng.integers(2, 9), replace=False):
+            own[at] = f"x{i}y{at}"
+        texts[i] = " ".join(own)
+    monkeypatch.setattr(J, "BLOCK", block)
+    seen, links = [], J._Join.links
+    monkeypatch.setattr(J._Join, "links", lambda self, pairs: (
+        seen.append(pairs.count()), links(self, pairs))[1])
+    found = J.ngram_components(documents(texts), 4, 85, 0)
+    rows = sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect())
+    assert rows == sorted(brute([*texts.items()], 4, 85))
+    assert sum(seen) <= J.CROWDED * len(texts)
