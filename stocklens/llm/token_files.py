@@ -35,7 +35,7 @@ KEPT_PIECES = 1_500_000
 #: Bytes of text that are encoded together.
 GROUP = 3 << 20
 #: Pieces that go through the library as one text.
-LINES = 4096
+LINES = 512
 
 WRITER = {
     "compression": "zstd",
