@@ -194,17 +194,19 @@ def _spelt(numbers: np.ndarray) -> tuple[np.ndarray, int]:
     return np.stack(places, axis=1).ravel(), digits
 
 
-def _occurrences(
+def _repeated(
     numbers: list[tuple[int, ...]], ids: list, phrases: np.ndarray, digits: int,
-) -> list[list[tuple[int, int]]]:
-    """First word and length of the phrases' occurrences in each document, by automata.
+) -> list[np.ndarray]:
+    """Which words of each document an occurrence of a phrase covers, by automata.
 
     A phrase is the place of its document, its first word, its length and its
-    smallest holder. Only the phrases of one automaton are spelt out at a time.
+    smallest holder. Only the phrases of one automaton are spelt out at a time, and
+    only the occurrences in one document are held: in a group of near copies a
+    word may be in many.
     """
     import ahocorasick
 
-    found: list[list[tuple[int, int]]] = [[] for _ in numbers]
+    found = [np.zeros(len(sequence) // digits, bool) for sequence in numbers]
     for at in range(0, len(phrases), SHARD):
         shard = phrases[at:at + SHARD]
         automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
@@ -215,9 +217,10 @@ def _occurrences(
         automaton.make_automaton()
         for sequence, doc_id, out in zip(numbers, ids, found):
             if doc_id is not None:
-                out.extend([((end + 1) // digits - length, length)
-                            for end, (holder, length) in automaton.iter(sequence)
-                            if holder < doc_id])
+                places = np.array([((end + 1) // digits - length, length)
+                                   for end, (holder, length) in automaton.iter(sequence)
+                                   if holder < doc_id], np.int64).reshape(-1, 2)
+                out |= covered(places[:, 0], places[:, 1], len(out))
     return found
 
 
@@ -264,11 +267,9 @@ def _clean(phrase: int):
             if a < b and len(w) >= phrase:
                 of = _phrases_of(w, wanted[a:b], phrase)
                 compiled.append(np.column_stack([np.full(len(of), place), of]))
-        found = _occurrences(numbers, ids, np.concatenate(compiled), digits)
+        found = _repeated(numbers, ids, np.concatenate(compiled), digits)
         kept, gone, removed = [], [], []
-        for text, (starts, ends), places in zip(texts, spans, found):
-            places = np.array(places, np.int64).reshape(-1, 2)
-            drop = covered(places[:, 0], places[:, 1], len(starts))
+        for text, drop in zip(texts, found):
             raw = text.tobytes().split()
             kept.append(b" ".join([r for r, d in zip(raw, drop.tolist()) if not d]).decode())
             gone.append(int(drop.sum()))

@@ -199,3 +199,18 @@ def test_a_crowd_just_below_the_threshold(monkeypatch, documents, block):
     rows = sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect())
     assert rows == sorted(brute([*texts.items()], 4, 85))
     assert sum(seen) <= J.CROWDED * len(texts)
+
+
+def test_repeated_words_are_held_as_marks():
+    """Occurrences are not kept: what a phrase met many times leaves does not grow with them."""
+    import tracemalloc
+
+    numbers, digits = S._spelt(np.zeros(60_000, np.int64))
+    phrases = np.array([[0, 0, length, 1] for length in range(13, 33)])
+    tracemalloc.start()
+    before = tracemalloc.get_traced_memory()[0]
+    sequence = tuple(numbers[:3_000].tolist())
+    found = S._repeated([sequence] * 20, [2] * 20, phrases, digits)
+    grown = tracemalloc.get_traced_memory()[0] - before
+    tracemalloc.stop()
+    assert all(f.all() and len(f) == 3_000 for f in found) and grown < 1_000_000
