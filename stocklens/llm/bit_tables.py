@@ -7,7 +7,7 @@ the fuller the table, so what follows must not rely on it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,17 +21,24 @@ def _places(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - PLACE_BITS)).astype(np.int64)
 
 
-def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = np.zeros((1 << PLACE_BITS) // 8, np.uint8)
-    for batch in batches:
-        places = _places(batch.column(0).drop_null().to_numpy().view(np.uint64))
-        np.bitwise_or.at(table, places >> 3, np.uint8(128) >> (places & 7).astype(np.uint8))
-    slices = table.reshape(-1, SLICE)
-    used = np.flatnonzero(slices.any(1))
-    for i in used:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([i], pa.int32()), pa.array([slices[i].tobytes()], pa.binary())],
-            ["slice", "bits"])
+def _own(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column(0).drop_null().to_numpy().view(np.uint64)
+
+
+def _marked(hashes_of: Callable[[pa.RecordBatch], np.ndarray]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros((1 << PLACE_BITS) // 8, np.uint8)
+        for batch in batches:
+            places = _places(hashes_of(batch))
+            np.bitwise_or.at(table, places >> 3, np.uint8(128) >> (places & 7).astype(np.uint8))
+        slices = table.reshape(-1, SLICE)
+        used = np.flatnonzero(slices.any(1))
+        for i in used:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([i], pa.int32()), pa.array([slices[i].tobytes()], pa.binary())],
+                ["slice", "bits"])
+
+    return run
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,10 +52,17 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
          pa.array([t.tobytes() for t in totals.values()], pa.binary())], ["slice", "bits"])
 
 
-def bit_table(hashes: DataFrame) -> np.ndarray:
-    """The table of a frame's only column, 64-bit hashes; nulls are left out."""
+def bit_table(
+    rows: DataFrame, hashes_of: Callable[[pa.RecordBatch], np.ndarray] = _own,
+) -> np.ndarray:
+    """The table of the hashes that ``hashes_of`` takes from a batch of rows.
+
+    Without it they are the frame's only column, 64-bit hashes; nulls are left
+    out. A Python step before this one would take a second worker for each task.
+    """
     schema = "slice int, bits binary"
-    slices = hashes.mapInArrow(_marked, schema).repartition("slice").mapInArrow(_merged, schema)
+    slices = rows.mapInArrow(_marked(hashes_of), schema).repartition("slice").mapInArrow(
+        _merged, schema)
     table = np.zeros((1 << PLACE_BITS) // 8, np.uint8).reshape(-1, SLICE)
     for row in slices.toLocalIterator():
         table[row["slice"]] = np.frombuffer(row["bits"], np.uint8)

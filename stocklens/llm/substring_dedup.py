@@ -46,9 +46,9 @@ from stocklens.sources.scratch import materialized, removed, run_path
 #: Words of a phrase and of an anchor.
 PHRASE, ANCHOR = 13, 5
 #: Bytes of text of a bucket of documents, about.
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 1 << 20
 #: Phrases of one automaton.
-SHARD = 20_000
+SHARD = 5_000
 #: A word is spelt in digits of this base: an automaton looks through a node's
 #: branches one by one, and a branch for each word of the vocabulary would be slow.
 BASE = 64
@@ -135,12 +135,10 @@ def _held(stretch: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
     return mix(stretch ^ mix(doc_id))
 
 
-def _open_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _open_marks(batch: pa.RecordBatch) -> np.ndarray:
     """What the bit table of open stretches holds: documents, and stretches with documents."""
-    for batch in batches:
-        stretch, ids = (c.to_numpy().view(np.uint64) for c in batch.columns)
-        marks = np.concatenate([mix(ids), _held(stretch, ids)]).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(marks)], ["hash"])
+    stretch, ids = (c.to_numpy().view(np.uint64) for c in batch.columns)
+    return np.concatenate([mix(ids), _held(stretch, ids)])
 
 
 def _windows(shared, phrase: int):
@@ -176,10 +174,8 @@ def _sift(shared):
     return run
 
 
-def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = mix(batch.column(0).to_numpy().view(np.uint64)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(ids)], ["hash"])
+def _mixed(batch: pa.RecordBatch) -> np.ndarray:
+    return mix(batch.column(0).to_numpy().view(np.uint64))
 
 
 def _spelt(numbers: np.ndarray) -> tuple[np.ndarray, int]:
@@ -329,7 +325,7 @@ def _later_holders(texts: DataFrame, phrase: int) -> DataFrame:
     several = first.groupBy("anchor").agg(
         F.min("stretch").alias("a"), F.max("stretch").alias("b")).where("a < b").select("anchor")
     unsure = first.join(several, "anchor").select("stretch", "holder")
-    marks = spark.sparkContext.broadcast(bit_table(unsure.mapInArrow(_open_marks, "hash long")))
+    marks = spark.sparkContext.broadcast(bit_table(unsure, _open_marks))
     windows = kept(texts.mapInArrow(_windows(marks, phrase), "window long, doc_id long"), "windows")
     later = _later(held, first, "stretch").union(
         _later(windows, _first(windows, "window"), "window"))
@@ -351,8 +347,7 @@ def cleaned_documents(docs: DataFrame, phrase: int = PHRASE) -> DataFrame:
                         F.coalesce("text", F.lit("")).alias("text")).select(
         "doc_id", F.xxhash64("text").alias("text_key"), "text")
     later = _later_holders(texts, phrase)
-    losing = spark.sparkContext.broadcast(bit_table(
-        later.select("doc_id").distinct().mapInArrow(_mixed, "hash long")))
+    losing = spark.sparkContext.broadcast(bit_table(later.select("doc_id").distinct(), _mixed))
     near = texts.mapInArrow(_sift(losing), texts.schema)
     size = near.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, size // BUCKET_BYTES)

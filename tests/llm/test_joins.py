@@ -214,3 +214,16 @@ def test_repeated_words_are_held_as_marks():
     grown = tracemalloc.get_traced_memory()[0] - before
     tracemalloc.stop()
     assert all(f.all() and len(f) == 3_000 for f in found) and grown < 1_000_000
+
+
+def test_tasks_of_op10_take_one_python_worker(documents, corpus, monkeypatch):
+    table, top = S.bit_table, []
+
+    def spy(rows, *hashes_of):
+        top.append(rows._jdf.queryExecution().optimizedPlan().nodeName())
+        return table(rows, *hashes_of)
+
+    monkeypatch.setattr(S, "bit_table", spy)
+    S.remove_repeats(documents(corpus)).collect()
+    # A Python step right before that of the table would be a second worker in the same task.
+    assert len(top) == 3 and "MapInArrow" not in top
