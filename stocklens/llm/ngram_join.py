@@ -535,21 +535,22 @@ def _rooted(docs: DataFrame, k: int, percent: int, hub_rounds: int) -> DataFrame
 
 def _roots(join: _Join, hub_rounds: int, kept) -> DataFrame:
     """node and root of every class that is linked to a smaller one; written."""
-    links = join.hits.limit(0).select(F.col("class").alias("u"), F.col("class").alias("v"))
-    roots = links.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    roots = join.hits.limit(0).select(F.col("class").alias("node"), F.col("class").alias("root"))
     placed, number, crowd, before = join.open_hits(roots, kept), 0, 0.0, math.inf
     # Rounds go on while they thin out what would else be compared pair by pair.
     while number < hub_rounds or number < MOST_HUB_ROUNDS and CROWDED < crowd < LEFT * before:
-        links = links.union(join.links(join.hub_pairs(placed, number)))
-        roots = components(links)
+        roots = _tied(roots, join.links(join.hub_pairs(placed, number)))
         placed = join.open_hits(roots, kept)
         number, before, crowd = number + 1, crowd or math.inf, join.crowd(placed)
     crowds = kept(join.crowds(placed), "crowds")
     if not crowds.isEmpty():
-        links = links.union(join.crowd_links(placed, crowds))
-        roots = components(links)
+        roots = _tied(roots, join.crowd_links(placed, crowds))
         placed = join.open_hits(roots, kept)
-    found = join.links(join.all_pairs(placed, crowds))
+    return _tied(roots, join.links(join.all_pairs(placed, crowds)))
+
+
+def _tied(roots: DataFrame, found: DataFrame) -> DataFrame:
+    """Roots after more links: components known so far go on as their links to the root."""
     return components(
         roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(found))
 

@@ -227,3 +227,13 @@ def test_tasks_of_op10_take_one_python_worker(documents, corpus, monkeypatch):
     S.remove_repeats(documents(corpus)).collect()
     # A Python step right before that of the table would be a second worker in the same task.
     assert len(top) == 3 and "MapInArrow" not in top
+
+
+@pytest.mark.parametrize("edges", [[], [(i, 0) for i in range(1, 30)], [(2, 7), (1, 1), (7, 2), (3, 9)]])
+def test_settled_components_take_no_round(spark, monkeypatch, edges):
+    written, write = [], C.materialized
+    monkeypatch.setattr(C, "materialized", lambda df, label: (written.append(label), write(df, label))[1])
+    found = C.components(spark.createDataFrame(edges, "u long, v long"))
+    assert {r.node: r.root for r in found.collect()} == {
+        max(e): min(e) for e in edges if e[0] != e[1]}
+    assert len(written) == 1

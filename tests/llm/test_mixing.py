@@ -120,3 +120,17 @@ def test_small_chances_are_drawn_from(spark):
     for name in ("_mix_source", "_MIX_chance"):
         docs = docs.withColumn(name, F.lit("own"))
     assert M.sample_mixture(docs).columns == docs.columns
+
+
+def test_a_round_reads_its_cells_once(docs, monkeypatch):
+    """The plan of a raking round does not double with each margin."""
+    leaves, write = [], M.materialized
+
+    def spy(df, label):
+        leaves.append((label, df._jdf.queryExecution().optimizedPlan().collectLeaves().size()))
+        return write(df, label)
+
+    monkeypatch.setattr(M, "materialized", spy)
+    M.mixture(docs).collect()
+    rounds = [n for label, n in leaves if label == "rake"]
+    assert len(rounds) > 1 and set(rounds[1:]) == {1}
