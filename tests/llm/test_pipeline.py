@@ -65,3 +65,12 @@ def test_stages_take_extra_columns_and_odd_rows(spark, documents, corpus):
 def test_every_operator_has_a_query():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
     assert numbers == list(range(1, 14)) and set(ORACLE) <= set(QUERIES)
+
+
+def test_written_stages_give_their_shuffles_up(spark, monkeypatch):
+    from stocklens.sources import scratch
+
+    calls = []
+    monkeypatch.setattr(scratch, "shuffles_released", calls.append)
+    assert scratch.materialized(spark.range(9).repartition(3), "t").count() == 9
+    assert calls == [spark]
