@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,15 +84,32 @@ def date_by_name(spark: SparkSession, directory: str, glob: str = "*.parquet") -
         raise ValueError(f"the storage does not keep the times of files: {directory}")
 
 
+@contextmanager
+def state_partitions(spark: SparkSession) -> Iterator[None]:
+    """A stream started in this block keeps its state in as many partitions as there are cores, at most.
+
+    Micro-batches are bounded, so a setting that grows with the table would only add tasks, each of
+    which loads and commits its part of the state in every one of them.
+    """
+    setting = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, min(int(before), spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def start_to_files(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Append a stream to Parquet files, exactly once, for all data there is."""
-    return (
+    writer = (
         stream.writeStream.format("parquet")
         .outputMode("append")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .start(out)
     )
+    with state_partitions(stream.sparkSession):
+        return writer.start(out)
 
 
 def run_to_files(stream: DataFrame, label: str) -> DataFrame:
@@ -114,13 +132,14 @@ def start_updates(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuer
     def put(rows: DataFrame, batch_id: int) -> None:
         rows.write.mode("overwrite").parquet(f"{out}/{BATCH}={batch_id}")
 
-    return (
+    writer = (
         stream.writeStream.foreachBatch(put)
         .outputMode("update")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .start()
     )
+    with state_partitions(stream.sparkSession):
+        return writer.start()
 
 
 def latest_rows(spark: SparkSession, out: str, keys: Sequence[str]) -> DataFrame:
