@@ -5,7 +5,7 @@ arrives after a newer one of its key raises no alert. Here each key keeps the
 readings that may still be overtaken, and puts them in order before it looks
 for a crossing: a reading is released once the watermark has passed its time,
 which is when Spark no longer lets an earlier one through. A key holds the
-readings of about the lateness, not its history.
+readings of about the lateness, not its history. The keys lie in ``buckets``.
 """
 
 from __future__ import annotations
@@ -13,23 +13,36 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from stocklens.streaming.buckets import (
+    BUCKET,
+    BUCKETS,
+    NO_KEY,
+    arrays,
+    bounds,
+    bucket_of,
+    falls,
+    joined,
+    key_codes,
+    nullable,
+    packed,
+    unpacked,
+    whole,
+)
 from stocklens.streaming.crossings import UPDATE_COLUMNS, alert_columns
 
-#: Columns of a reading that waits: its time in ms, and what an alert needs.
-_WAITING = ["time", "seq", "level", "min_level", "name"]
-_STATE = T.StructType([
-    T.StructField("last", T.ArrayType(T.DoubleType())),
-    T.StructField("waiting", T.ArrayType(T.StructType([
-        T.StructField("time", T.LongType()), T.StructField("seq", T.LongType()),
-        T.StructField("level", T.DoubleType()), T.StructField("min_level", T.DoubleType()),
-        T.StructField("name", T.StringType())]))),
-])
+#: Columns of a reading that waits: its key, its time in ms, and what an alert needs.
+_WAITING = ["product_id", "time", "seq", "_no_seq", "level", "min_level", "name"]
+_LAST = ["product_id", "level", "min_level"]
+#: Of the keys of a bucket: the last reading released, and the readings that wait; null for none.
+_STATE = T.StructType([T.StructField("last", T.BinaryType()), T.StructField("waiting", T.BinaryType())])
 
 
 def wall_clock_time(column: Column) -> Column:
@@ -40,38 +53,54 @@ def wall_clock_time(column: Column) -> Column:
     return F.concat(column.cast("timestamp_ntz").cast("string"), F.lit("Z")).cast("timestamp")
 
 
-def _crossing(ready: pd.DataFrame, last: list[float] | None) -> pd.Series:
-    old_level, old_min = ready["level"].shift(), ready["min_level"].shift()
-    if last is not None:
-        old_level.iloc[0], old_min.iloc[0] = last
-    return (old_level > old_min) & (ready["level"] <= ready["min_level"])
+def _alerts(ready: dict[str, np.ndarray], last: dict[str, np.ndarray]) -> tuple[np.ndarray, dict]:
+    """Which of the readings cross, as their places in order, and the last reading of each key after them."""
+    held, count = len(last["level"]), len(ready["level"])
+    fresh = np.arange(held + count) >= held
+    ids, level, least = (joined(last[c], ready[c]) for c in _LAST)
+    time, seq, no_seq = (np.concatenate([np.zeros(held, ready[c].dtype), ready[c]])
+                         for c in ("time", "seq", "_no_seq"))
+    codes = key_codes(ids, np.zeros(len(ids), bool))
+    order = np.lexsort((seq, no_seq, time, fresh, codes))
+    first, final = bounds(codes[order])
+    crossed = order[falls(first, level[order], least[order])] - held
+    return crossed, dict(zip(_LAST, (c[order[final]] for c in (ids, level, least))))
 
 
 def _released(
     key: tuple[Any, ...], chunks: Iterator[pd.DataFrame], state: GroupState
 ) -> Iterator[pd.DataFrame]:
-    """Alerts among the readings of one key that the watermark has passed."""
-    last, waiting = state.get if state.exists else (None, [])
-    parts = [pd.DataFrame([tuple(w) for w in waiting], columns=_WAITING), *chunks]
-    parts = [p[_WAITING] for p in parts if len(p)]
-    if not parts or pd.isna(key[0]):
+    """Alerts among the readings of a bucket's keys that the watermark has passed."""
+    last, waiting = state.get if state.exists else (None, None)
+    parts = [] if waiting is None else [unpacked(waiting)]
+    for chunk in chunks:
+        keyed = chunk.loc[~chunk[NO_KEY].to_numpy(), _WAITING]
+        if len(keyed):
+            parts.append(pa.Table.from_pandas(keyed, preserve_index=False).replace_schema_metadata(None))
+    if not parts:
         return
-    rows = pd.concat(parts).sort_values(["time", "seq"], kind="stable", ignore_index=True)
-    passed = rows["time"] <= state.getCurrentWatermarkMs()
-    ready, rest = rows[passed], rows[~passed]
-    if len(ready):
-        crossed = ready[_crossing(ready, last)]
-        last = [float(x) for x in ready.iloc[-1][["level", "min_level"]]]
+    # The names of a part may all be null, which leaves its column without a type.
+    rows = pa.concat_tables(parts, promote_options="permissive")
+    time = rows["time"].to_numpy()
+    passed = time <= state.getCurrentWatermarkMs()
+    if passed.any():
+        ready = arrays(rows.filter(pa.array(passed)))
+        was = arrays(unpacked(last)) if last is not None else {c: ready[c][:0] for c in _LAST}
+        crossed, newest = _alerts(ready, was)
+        last = packed(newest)
         if len(crossed):
-            yield crossed.assign(product_id=key[0])[UPDATE_COLUMNS]
-    text = rest["name"].astype(object).where(rest["name"].notna(), None)
-    columns = (rest["time"], rest["seq"], rest["level"], rest["min_level"], text)
-    state.update((last, list(zip(*(c.tolist() for c in columns)))))
+            found = {c: ready[c][crossed] for c in ready}
+            found["seq"] = nullable(found["seq"], found["_no_seq"])
+            yield pd.DataFrame({c: found[c] for c in UPDATE_COLUMNS})
+    rest = rows.filter(pa.array(~passed))
+    state.update((last, packed(rest.combine_chunks()) if len(rest) else None))
     if len(rest):
-        state.setTimeoutTimestamp(int(rest["time"].iloc[0]))
+        state.setTimeoutTimestamp(int(time[~passed].min()))
 
 
-def reordered_alerts_stream(updates: DataFrame, time: str = "ts", lateness: str = "1 hour") -> DataFrame:
+def reordered_alerts_stream(
+    updates: DataFrame, time: str = "ts", lateness: str = "1 hour", buckets: int = BUCKETS
+) -> DataFrame:
     """Stream: the alerts of ``crossings.crossing_alerts``, whatever the order of arrival.
 
     ``updates`` has the columns of an update and ``time``, a timestamp that does
@@ -88,9 +117,13 @@ def reordered_alerts_stream(updates: DataFrame, time: str = "ts", lateness: str
         "product_id", F.col("seq").cast("long"), F.col("level").cast("double"),
         F.col("min_level").cast("double"), F.col("name").cast("string"), instant.alias("_at"),
     ).where("_at IS NOT NULL").withWatermark("_at", lateness)
-    slim = slim.withColumn("time", F.unix_millis("_at"))
     out = T.StructType([f for f in slim.schema.fields if f.name in UPDATE_COLUMNS])
-    found = slim.groupBy("product_id").applyInPandasWithState(
+    dealt = slim.select(
+        bucket_of("product_id", buckets), whole(slim, "product_id"), F.isnull("product_id").alias(NO_KEY),
+        F.unix_millis("_at").alias("time"), whole(slim, "seq"), F.isnull("seq").alias("_no_seq"),
+        "level", "min_level", "name", "_at",
+    )
+    found = dealt.groupBy(BUCKET).applyInPandasWithState(
         _released, outputStructType=out, stateStructType=_STATE, outputMode="append",
         timeoutConf=GroupStateTimeout.EventTimeTimeout,
     )

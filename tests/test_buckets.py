@@ -7,7 +7,7 @@ import random
 import pytest
 
 from stocklens.sources.scratch import run_path
-from stocklens.streaming import buckets, crossings, live
+from stocklens.streaming import buckets, crossings, live, reorder
 
 SCHEMA = "ts timestamp_ntz, product_id long, seq long, level double, min_level double, name string"
 
@@ -92,3 +92,15 @@ def test_state_has_no_more_partitions_than_cores(spark, tmp_path):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert state["numShufflePartitions"] <= spark.sparkContext.defaultParallelism
     assert found(got) == found(crossings.crossing_alerts(spark.createDataFrame(rows, SCHEMA)))
+
+
+def test_waiting_readings_of_many_keys_lie_in_few_groups(spark, tmp_path):
+    """Any order of arrival; the readings without a key close the stream and raise no alert."""
+    rows = [r for r in readings(1000, 6) if r[1] is not None]
+    random.Random(4).shuffle(rows)
+    parts = [*(rows[i:i + 1500] for i in range(0, len(rows), 1500)), [(at(500), None, None, None, None, None)]]
+    stream = reorder.reordered_alerts_stream(files(spark, tmp_path, parts), lateness="10 minutes")
+    got, state = written(spark, stream)
+    expected = found(crossings.crossing_alerts(spark.createDataFrame(rows, SCHEMA)))
+    assert found(got) == expected and len(expected) > 1000
+    assert state["numRowsTotal"] <= buckets.BUCKETS
