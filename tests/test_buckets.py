@@ -6,8 +6,9 @@ import random
 
 import pytest
 
+from stocklens.functions import labels as L
 from stocklens.sources.scratch import run_path
-from stocklens.streaming import buckets, crossings, live, reorder
+from stocklens.streaming import buckets, crossings, ledger, ledger_stream, live, reorder
 
 SCHEMA = "ts timestamp_ntz, product_id long, seq long, level double, min_level double, name string"
 
@@ -104,3 +105,23 @@ def test_waiting_readings_of_many_keys_lie_in_few_groups(spark, tmp_path):
     expected = found(crossings.crossing_alerts(spark.createDataFrame(rows, SCHEMA)))
     assert found(got) == expected and len(expected) > 1000
     assert state["numRowsTotal"] <= buckets.BUCKETS
+
+
+def test_levels_of_many_products_lie_in_few_groups(spark, tmp_path):
+    """A thousand products with late and repeated movements, nulls and large numbers."""
+    rng, schema = random.Random(2), ("movement_id long, product_id long, kind string, quantity int, "
+                                     "moved_at timestamp_ntz, stock_before long, stock_after long")
+    kinds = (L.KIND_OUT, L.KIND_IN, None, "OTRO", L.KIND_LOSS)
+    rows = [(rng.choice([None, 2**60 + i]), 2**60 + i % 1000, rng.choice(kinds), rng.choice([None, 1, 2, 7]),
+             at(i // 500), rng.choice([None, 2**59 + 1]), rng.choice([None, 2**59 + 3])) for i in range(4000)]
+    rows += rows[::50]
+    rng.shuffle(rows)
+    stream = files(spark, tmp_path, [rows[i:i + 1200] for i in range(0, len(rows), 1200)], schema)
+    got, state = written(spark, ledger_stream.ledger_changes_stream(stream, "1 hour"))
+    stand, batch = ledger_stream.settled(got), spark.createDataFrame(rows, schema)
+    columns = ("product_id", "movement_id", "kind", "quantity", "moved_at")
+    assert found(stand.select(*columns, "stock")) == found(ledger.apply_movements(batch).select(*columns, "stock"))
+    columns = (*columns, "wrong_sum", "gap")
+    assert found(stand.where("wrong_sum OR gap").select(*columns)) == found(
+        ledger.ledger_breaks(batch).select(*columns))
+    assert state["numRowsTotal"] <= buckets.BUCKETS
