@@ -125,3 +125,20 @@ def test_levels_of_many_products_lie_in_few_groups(spark, tmp_path):
     assert found(stand.where("wrong_sum OR gap").select(*columns)) == found(
         ledger.ledger_breaks(batch).select(*columns))
     assert state["numRowsTotal"] <= buckets.BUCKETS
+
+
+def test_breaks_are_taken_back_after_movements_were_folded(spark, tmp_path):
+    """One bucket for two products; what the watermark passed is the level before the next movement."""
+    schema = ("movement_id long, product_id long, kind string, quantity int, "
+              "moved_at timestamp_ntz, stock_before int, stock_after int")
+    parts = [[(1, 1, L.KIND_IN, 5, at(0), 10, 15), (2, 1, L.KIND_IN, 1, at(200), 17, 18),
+              (3, 2, L.KIND_IN, 5, at(0), 10, 15)],
+             [(4, 1, L.KIND_IN, 2, at(190), 15, 17), (5, 2, L.KIND_IN, 1, at(200), 16, 17)],
+             [(6, 2, L.KIND_OUT, 1, at(199), 15, 16)]]
+    stream = files(spark, tmp_path, parts, schema)
+    got, _ = written(spark, ledger_stream.ledger_changes_stream(stream, "20 minutes", buckets=1))
+    shown = sorted((r.movement_id, r.stock, r.wrong_sum, r.gap, r.change) for r in got.collect())
+    assert shown == [(1, 15, False, False, 1), (2, 16, False, True, -1), (2, 16, False, True, 1),
+                     (2, 18, False, False, 1), (3, 15, False, False, 1), (4, 17, False, False, 1),
+                     (5, 15, False, False, 1), (5, 16, False, True, -1), (5, 16, False, True, 1),
+                     (6, 14, True, False, 1)]
