@@ -382,17 +382,24 @@ def _event_rows(events: DataFrame) -> DataFrame:
 # Files that the events are dealt to for a stream, at least, and rows of one at most; each is a
 # micro-batch.
 EVENT_FILES, EVENT_ROWS = 4, 250_000
+#: Full files that a task writes of a large table: only its last one is a remainder.
+TASK_FILES = 4
+
+
+def _tasks(rows: DataFrame) -> int:
+    """Tasks that deal the rows to files."""
+    return max(EVENT_FILES, -(-rows.count() // (TASK_FILES * EVENT_ROWS)))
 
 
 def _event_stream(spark: SparkSession, d: str, by: Column | None = None) -> DataFrame:
     """The events as a stream of bounded micro-batches, in sequence or dealt out by a column."""
     path = run_path(spark, "events")
     events = star.star_table(spark, d, "events")
-    files = max(EVENT_FILES, -(-events.count() // EVENT_ROWS))
+    tasks = _tasks(events)
     if by is None:
-        dealt = events.repartitionByRange(files, "event_id").sortWithinPartitions("event_id")
+        dealt = events.repartitionByRange(tasks, "event_id").sortWithinPartitions("event_id")
     else:
-        dealt = events.repartition(files, by)
+        dealt = events.repartition(tasks, by)
     dealt.write.option("maxRecordsPerFile", EVENT_ROWS).parquet(path)
     if by is None:
         live.date_by_name(spark, path)
@@ -421,9 +428,8 @@ def _late_events(spark: SparkSession, d: str, days: int) -> DataFrame:
     none = [F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema if f.name != "ts"]
     closing = events.agg((F.max("ts") + F.expr(f"INTERVAL '{2 * days + 1}' DAY")).alias("ts"))
     closing = closing.select("ts", *none).withColumn("_arrival", F.col("ts"))
-    files = max(EVENT_FILES, -(-events.count() // EVENT_ROWS))
     dealt = events.withColumn("_arrival", arrival).unionByName(closing)
-    dealt = dealt.repartitionByRange(files, "_arrival").sortWithinPartitions("_arrival")
+    dealt = dealt.repartitionByRange(_tasks(events), "_arrival").sortWithinPartitions("_arrival")
     dealt.drop("_arrival").write.option("maxRecordsPerFile", EVENT_ROWS).parquet(path)
     live.date_by_name(spark, path)
     return live.file_stream(spark, path, star.STAR_SCHEMAS["events"], files_per_trigger=1)
@@ -501,8 +507,7 @@ def _late_movements(spark: SparkSession, rows: DataFrame) -> DataFrame:
     delay = F.pmod(F.xxhash64("movement_id"), F.lit(MOVEMENT_DELAY_DAYS * 86_400)).cast("int")
     arrival = F.col("moved_at") + F.make_dt_interval(secs=delay.cast("decimal(18,6)"))
     rows = materialized(rows.withColumn("_arrival", arrival), "movements")
-    files = max(EVENT_FILES, -(-rows.count() // EVENT_ROWS))
-    dealt = rows.repartitionByRange(files, "_arrival").sortWithinPartitions("_arrival")
+    dealt = rows.repartitionByRange(_tasks(rows), "_arrival").sortWithinPartitions("_arrival")
     dealt.drop("_arrival").write.option("maxRecordsPerFile", EVENT_ROWS).parquet(path)
     live.date_by_name(spark, path)
     return live.file_stream(spark, path, rows.drop("_arrival").schema, files_per_trigger=1)

@@ -142,3 +142,26 @@ def test_breaks_are_taken_back_after_movements_were_folded(spark, tmp_path):
                      (2, 18, False, False, 1), (3, 15, False, False, 1), (4, 17, False, False, 1),
                      (5, 15, False, False, 1), (5, 16, False, True, -1), (5, 16, False, True, 1),
                      (6, 14, True, False, 1)]
+
+
+def test_events_are_dealt_to_full_files(spark, monkeypatch, tmp_path):
+    """At most one file of a task is a remainder: each file is a micro-batch that reads all that waits."""
+    import inventory_queries as queries
+
+    monkeypatch.setattr(queries, "EVENT_ROWS", 50)
+    monkeypatch.setattr(queries, "run_path", lambda spark, label: str(tmp_path / label))
+    spark.range(3000).selectExpr(
+        "id as event_id", "id % 20 as user_id", "100D as value", "'view' as event_type",
+        "timestamp_ntz'2001-01-01 00:00:00' + make_dt_interval(0, 0, id) as ts", "'{}' as props",
+    ).write.parquet(str(tmp_path / "events.parquet"))
+    # As with large tables, the cuts are estimated from few rows a task.
+    setting = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+    spark.conf.set(setting, 5)
+    try:
+        queries._late_events(spark, str(tmp_path), 1)
+    finally:
+        spark.conf.unset(setting)
+    files = list((tmp_path / "late-events").glob("*.parquet"))
+    held = [spark.read.parquet(str(f)).count() for f in files]
+    assert sum(held) == 3001 and max(held) <= 50
+    assert sum(n < 50 for n in held) <= 3000 / 50 / queries.TASK_FILES + 1
