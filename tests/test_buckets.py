@@ -165,3 +165,23 @@ def test_events_are_dealt_to_full_files(spark, monkeypatch, tmp_path):
     held = [spark.read.parquet(str(f)).count() for f in files]
     assert sum(held) == 3001 and max(held) <= 50
     assert sum(n < 50 for n in held) <= 3000 / 50 / queries.TASK_FILES + 1
+
+
+def test_sums_have_no_more_partitions_than_cores(spark, tmp_path):
+    """Each micro-batch writes as many files as the state has partitions."""
+    schema = "product_id long, kind string, quantity int"
+    rows = [(i % 300, L.KIND_IN, 1) for i in range(900)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 32)
+    try:
+        sums = ledger.stock_on_hand(files(spark, tmp_path / "in", [rows[:400], rows[400:]], schema))
+        out = run_path(spark, "o")
+        query = live.start_updates(sums, out, run_path(spark, "c"))
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    cores = spark.sparkContext.defaultParallelism
+    assert query.lastProgress["stateOperators"][0]["numShufflePartitions"] <= cores
+    assert len(spark.read.parquet(out).inputFiles()) <= 2 * cores
+    got = live.latest_rows(spark, out, ("product_id",))
+    assert found(got) == [*sorted(((i, 3, 3) for i in range(300)), key=str)]
