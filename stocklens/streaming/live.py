@@ -84,16 +84,22 @@ def date_by_name(spark: SparkSession, directory: str, glob: str = "*.parquet") -
         raise ValueError(f"the storage does not keep the times of files: {directory}")
 
 
+#: A stream keeps its partitions for good, and few cores may be there when it starts.
+STATE_PARTITIONS = 8
+
+
 @contextmanager
 def state_partitions(spark: SparkSession) -> Iterator[None]:
     """A stream started in this block keeps its state in as many partitions as there are cores, at most.
 
     Micro-batches are bounded, so a setting that grows with the table would only add tasks, each of
-    which loads and commits its part of the state in every one of them.
+    which loads and commits its part of the state in every one of them. Up to ``STATE_PARTITIONS``
+    are taken in any case.
     """
     setting = "spark.sql.shuffle.partitions"
     before = spark.conf.get(setting)
-    spark.conf.set(setting, min(int(before), spark.sparkContext.defaultParallelism))
+    most = max(STATE_PARTITIONS, spark.sparkContext.defaultParallelism)
+    spark.conf.set(setting, min(int(before), most))
     try:
         yield
     finally:
